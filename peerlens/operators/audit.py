@@ -98,7 +98,9 @@ def privacy_validation(
     capped only.
     """
     cells = cut_lineage(cells)
-    shares = cell_shares(attach_weights(cells, weights))
+    if weights is not None:
+        weights = cut_lineage(weights)
+    shares = cut_lineage(cell_shares(attach_weights(cells, weights)))
     stats = constraint_stats(cells, volumes)
     outcome = tier_outcome(
         shares.select(*CELL, "peer", "share"), stats, rule, settings, dynamic

@@ -104,7 +104,7 @@ def fit_weights(
     high: float = 10.0,
     rounds: int | None = None,
     max_rounds: int = 50,
-    checkpoint_every: int = 4,
+    check_every: int = 4,
     slack: float = COMPARISON_EPSILON,
 ) -> DataFrame:
     """Multipliers in ``[low, high]``, mean near 1, that respect every cell's cap.
@@ -112,9 +112,8 @@ def fit_weights(
     ``cells`` is ``run_id, CELL, peer, v, cap`` with only the cells to govern;
     ``cap`` may differ by row (a protected peer has its own).  ``population`` is
     ``run_id, peer``.  All runs - rules, presets, dimension subsets - advance
-    together in each round.  With ``rounds`` a fixed number is chained lazily;
-    otherwise rounds go on until no share exceeds its cap by more than
-    ``slack``, with the lineage cut every few rounds.  Returns
+    together in each round.  ``rounds`` asks for a fixed number; otherwise rounds
+    go on until no share exceeds its cap by more than ``slack``.  Returns
     ``run_id, dimension, peer, multiplier``.
     """
     scope = F.col("dimension") if per_dimension else F.lit("*")
@@ -130,19 +129,15 @@ def fit_weights(
         )
     else:
         start = population.withColumn("scope", F.lit("*"))
-    weights = start.select("run_id", "scope", "peer", F.lit(1.0).alias("m"))
-    if rounds is not None:
-        for _ in range(rounds):
-            weights = scaling_round(governed, weights, low, high)
-    else:
-        governed = cut_lineage(governed)
-        weights = cut_lineage(weights)
-        for done in range(1, max_rounds + 1):
-            weights = scaling_round(governed, weights, low, high)
-            if done % checkpoint_every == 0 or done == max_rounds:
-                weights = cut_lineage(weights)
-                if residual_excess(governed, weights) <= slack:
-                    break
+    # Each round reads the weights and the cells more than once, so both are
+    # materialised; a chain of lazy rounds would double in size every time.
+    governed = cut_lineage(governed)
+    weights = cut_lineage(start.select("run_id", "scope", "peer", F.lit(1.0).alias("m")))
+    for done in range(1, (rounds or max_rounds) + 1):
+        weights = cut_lineage(scaling_round(governed, weights, low, high))
+        # Reading the stop test (one number) every few rounds is enough.
+        if rounds is None and done % check_every == 0 and residual_excess(governed, weights) <= slack:
+            break
     rescaled = rescale_mean_one(weights, ["run_id", "scope"], low, high)
     return rescaled.select(
         "run_id",
@@ -185,10 +180,11 @@ def waterfill_mean(
     """Scale the free weights to the mean, fix those that hit a bound, repeat.
 
     Weights that a round pushes out of bounds are fixed there; the rest share
-    what is left.  A round that fixes nothing reaches the mean, and further
-    rounds then change nothing, so ``rounds`` may be generous.
+    what is left.  A round that fixes nothing reaches the mean and ends the run.
     """
-    current = weights.withColumn("_free", F.lit(True)).withColumn("_done", F.lit(False))
+    current = cut_lineage(
+        weights.withColumn("_free", F.lit(True)).withColumn("_done", F.lit(False))
+    )
     for _ in range(rounds):
         stats = add_group_values(
             current,
@@ -207,15 +203,20 @@ def waterfill_mean(
             keys,
             _any=F.max(F.col("_out")),
         )
-        current = marked.select(
-            *[c for c in weights.columns if c != "m"],
-            F.when(~F.col("_any"), F.col("_s"))
-            .when(F.col("_out"), clamp(F.col("_s"), low, high))
-            .otherwise(F.col("m"))
-            .alias("m"),
-            (F.col("_free") & ~F.col("_out")).alias("_free"),
-            (~F.col("_any")).alias("_done"),
+        current = cut_lineage(
+            marked.select(
+                *[c for c in weights.columns if c != "m"],
+                F.when(~F.col("_any"), F.col("_s"))
+                .when(F.col("_out"), clamp(F.col("_s"), low, high))
+                .otherwise(F.col("m"))
+                .alias("m"),
+                (F.col("_free") & ~F.col("_out")).alias("_free"),
+                (~F.col("_any")).alias("_done"),
+            )
         )
+        # Whether any run still moves: one value to the driver.
+        if current.where(~F.col("_done")).isEmpty():
+            break
     return current.drop("_free", "_done")
 
 
