@@ -463,7 +463,7 @@ SQL["cap_slack"] = statement(
     *AUDIT, *fitted(25.0, 1), fitted_shares(),
     f"sl AS (SELECT v * m AS o, sum(v * m) OVER (PARTITION BY {CELL}) AS tot FROM ws)",
     "sx AS (SELECT *, greatest(0.0, o - 0.25 * tot) AS slack FROM sl)",
-    select=f"SELECT round(max(slack), 6) AS max_slack, round(sum(slack), 6) AS sum_slack, round(max({pct('slack', 'tot')}), 6) AS max_pct_of_cell, "
+    select=f"SELECT round(max(slack), 2) AS max_slack, round(sum(slack), 2) AS sum_slack, round(max({pct('slack', 'tot')}), 6) AS max_pct_of_cell, "
     f"round(max({pct('slack', 'o')}), 6) AS max_pct_of_peer, round({pct('sum(slack)', 'sum(o)')}, 6) AS sum_pct_of_volume, sum(slack) > 1e-6 AS excess FROM sx",
 )
 SQL["weighting_verdict"] = statement(

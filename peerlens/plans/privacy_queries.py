@@ -404,7 +404,7 @@ def cap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cap_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = audit_cells(spark, sf_dir)
     rows = weights.attach_weights(cells, fitted(cells, 25.0, rounds=1).drop("run_id"))
-    return tidy(weights.cap_slack(cut_lineage(rows), 25.0))
+    return tidy(weights.cap_slack(cut_lineage(rows), 25.0), ("max_slack", "sum_slack"))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,3 +68,10 @@ def add_group_values(df: DataFrame, keys: list[str], **aggregates: Column) -> Da
     """
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
     return join_keys(df, totals, keys)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder for a written table."""
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
