@@ -44,13 +44,14 @@ def normalize_period(value: Column) -> Column:
 
 
 def period_to_date(value: Column) -> Column:
-    """ISO date where the label is a date or month, else the label."""
+    """ISO date where the label is a date, month or year, else the label."""
     text = F.trim(value.cast("string"))
     day = F.coalesce(
         F.try_to_timestamp(text, F.lit("yyyy-MM-dd")),
         F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")),
         F.try_to_timestamp(text, F.lit("yyyy-MM")),
         F.try_to_timestamp(text, F.lit("yyyy/MM/dd")),
+        F.try_to_timestamp(text, F.lit("yyyy")),
     )
     return F.coalesce(F.date_format(day, "yyyy-MM-dd"), text)
 

@@ -76,23 +76,30 @@ def validate_events(lines: DataFrame, keep: list[str] | None = None) -> DataFram
     The variant type string tells key set and JSON types in one comparison.
     """
     keep = keep or [c for c in lines.columns if c != "value"]
+    fields = F.struct(
+        F.schema_of_variant("v").alias("_type"),
+        F.try_variant_get("v", "$.schema_version", "bigint").alias("schema_version"),
+        _text("ts").alias("_ts"),
+        _text("event").alias("event"),
+        _text("user").alias("user"),
+        _text("session_id").alias("session_id"),
+        _text("app_version").alias("app_version"),
+        *[
+            _text(f"props.{n}").alias(n)
+            for n in ("launch_context", "surface", "action", "reason", "category")
+        ],
+        F.try_variant_get("v", "$.props.duration_s", "double").alias("duration_s"),
+    )
+    # Exploding one-element arrays keeps the tests below from being pushed into
+    # the parsing, where every test would parse the line again.
     parsed = (
         lines.where(F.octet_length("value") <= MAX_RECORD_BYTES)
-        .withColumn("v", F.try_parse_json("value"))
-        .withColumn("_type", F.schema_of_variant("v"))
+        .select(*keep, F.explode(F.array(F.try_parse_json("value"))).alias("v"))
+        .where(F.col("v").isNotNull())
+        .select(*keep, F.explode(F.array(fields)).alias("_f"))
+        .select(*keep, "_f.*")
         .where(F.col("_type").rlike(ENVELOPE))
-        .select(
-            *keep,
-            F.regexp_extract("_type", "props: (OBJECT<.*>), schema_version", 1).alias("_props"),
-            F.try_variant_get("v", "$.schema_version", "bigint").alias("schema_version"),
-            _text("ts").alias("_ts"),
-            _text("event").alias("event"),
-            _text("user").alias("user"),
-            _text("session_id").alias("session_id"),
-            _text("app_version").alias("app_version"),
-            *[_text(f"props.{n}").alias(n) for n in ("launch_context", "surface", "action", "reason", "category")],
-            F.try_variant_get("v", "$.props.duration_s", "double").alias("duration_s"),
-        )
+        .withColumn("_props", F.regexp_extract("_type", "props: (OBJECT<.*>), schema_version", 1))
         .withColumn("ts", F.try_to_timestamp("_ts"))
     )
     event, props = F.col("event"), F.col("_props")
@@ -140,12 +147,12 @@ def validate_events(lines: DataFrame, keep: list[str] | None = None) -> DataFram
         & (F.octet_length(version) <= MAX_NAME_BYTES)
         & per_event
     )
-    return parsed.where(valid).withColumn("duration_s", duration).drop("_ts", "_props")
+    return parsed.where(valid).withColumn("duration_s", duration).drop("_ts", "_props", "_type")
 
 
-def read_events_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Valid events of ``<path>/*.jsonl`` with their file and position."""
-    return validate_events(read_event_lines(spark, f"{path.rstrip('/')}/*.jsonl"))
+def read_events_jsonl(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Valid events of the log files in a folder, with their file and position."""
+    return validate_events(read_event_lines(spark, f"{path.rstrip('/')}/{pattern}"))
 
 
 def file_owner_gate(events: DataFrame) -> DataFrame:

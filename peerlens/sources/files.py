@@ -19,12 +19,22 @@ def read_long_csv(
 ) -> DataFrame:
     """Header CSV with normalised names.
 
-    Give a ``schema`` for large inputs: inferring one costs another pass.
+    Without a ``schema`` a column is a number if all its values are, else text, so
+    labels such as ``2024-01`` stay as they are.  Finding that out takes one more
+    pass; give a schema for large inputs.
     """
     reader = spark.read.option("header", True)
-    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    df = normalize_columns(df)
-    return df if limit is None else df.limit(limit)
+    df = normalize_columns(reader.schema(schema).csv(path) if schema else reader.csv(path))
+    if limit is not None:
+        df = df.limit(limit)
+    if schema:
+        return df
+    number = {c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in df.columns}
+    # One row of flags to the driver.
+    numeric = df.agg(
+        *[((F.count(c) > 0) & (F.count(c) == F.count(number[c]))).alias(c) for c in df.columns]
+    ).first()
+    return df.select(*[(number[c] if numeric[c] else F.col(c)).alias(c) for c in df.columns])
 
 
 def requested_columns(roles: Roles, dimensions_known: bool = True) -> list[str] | None:

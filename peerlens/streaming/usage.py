@@ -30,23 +30,18 @@ def started_sessions(events: DataFrame, start: str = "session_start", lateness:
     )
 
 
-def keep_updated(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Run over all available data, appending each batch's changed rows with its id."""
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        # A batch that is run again after a failure replaces its own folder.
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what has arrived and append the final rows to Parquet files.
 
+    The file sink commits each batch once, so a restart after a lost executor or
+    driver neither repeats nor drops rows.  Windows still open at the watermark
+    stay in the state until a later run closes them.
+    """
     return (
-        stream.writeStream.outputMode(mode)
+        stream.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(append)
         .start()
     )
-
-
-def latest(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Current state from the appended changes: the newest batch wins per key."""
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-    return newest.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
