@@ -9,13 +9,13 @@ from peerlens.functions.ordered import weighted_percentile
 from peerlens.operators.cells import (
     CELL,
     GENERAL,
-    aggregate_cells,
     over_all_periods,
     percent,
+    ready_cells,
 )
 from peerlens.operators.weights import attach_weights
 from peerlens.roles import Roles
-from peerlens.session import cut_lineage, join_keys
+from peerlens.session import join_keys
 
 # Best-in-class percentiles.
 SHARE_PERCENTILE = 0.85
@@ -42,7 +42,7 @@ def share_analysis(
     denominator.  Those absent peers all look alike, so each cell gets one row
     carrying their combined weight instead of a category x peer grid.
     """
-    summed = cut_lineage(aggregate_cells(df, roles, [roles.metric], with_whole=False))
+    summed = ready_cells(df, roles, [roles.metric])
     cells = with_general_rows(summed, roles, [roles.metric]).withColumnRenamed(roles.metric, "v")
     block = ["dimension", "time_period"]
     is_target = (
@@ -103,7 +103,7 @@ def share_analysis(
 def rate_cells(df: DataFrame, roles: Roles) -> DataFrame:
     """Cells of all rates, long: ``rate, CELL, peer, num, den``."""
     columns = [roles.total, *dict.fromkeys(roles.numerators.values())]
-    summed = cut_lineage(aggregate_cells(df, roles, columns, with_whole=False))
+    summed = ready_cells(df, roles, columns)
     cells = with_general_rows(summed, roles, columns)
     pairs = F.array(
         *[

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.roles import Roles
-from peerlens.session import add_group_values, join_keys
+from peerlens.session import add_group_values, cut_lineage, join_keys
 
 CELL = ["dimension", "category", "time_period"]
 # Reserved label of the row that totals a whole period over all categories.
@@ -23,36 +23,101 @@ def filled_sum(column: str | Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0.0))
 
 
-def aggregate_cells(df: DataFrame, roles: Roles, metrics: list[str], *, with_whole: bool = True) -> DataFrame:
-    """Sum ``metrics`` by dimension, category, period and entity in one scan.
+def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, flags: bool) -> DataFrame:
+    """Facts summed by dimension, category, period and entity, null labels kept.
 
-    Null entities and categories are left out, null periods are kept (they still
-    count in figures over all periods).  With ``with_whole`` a pseudo-dimension
-    carries each entity's own total per period.  The target is kept; callers
-    split it off.
+    All dimensions are handled in one scan; rows are combined before the shuffle.
     """
     labels = list(roles.dimensions)
+    sums = [f"_m{i}" for i in range(len(metrics))]
     wide = df.select(
         F.col(roles.entity).cast("string").alias("peer"),
         (F.col(roles.time).cast("string") if roles.time else F.lit(None).cast("string")).alias(
             "time_period"
         ),
         *[F.col(d).cast("string").alias(d) for d in labels],
-        *([F.lit("all").alias(WHOLE)] if with_whole else []),
-        *[F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(metrics)],
-    ).where(F.col("peer").isNotNull())
-    sums = [f"_m{i}" for i in range(len(metrics))]
+        *([F.lit("all").alias(WHOLE)] if whole else []),
+        *[F.col(m).cast("double").alias(s) for m, s in zip(metrics, sums)],
+    )
     long = wide.unpivot(
         ["peer", "time_period", *sums],
-        labels + ([WHOLE] if with_whole else []),
+        labels + ([WHOLE] if whole else []),
         "dimension",
         "category",
-    ).where(F.col("category").isNotNull())
+    )
     return long.groupBy(*CELL, "peer").agg(
-        *[filled_sum(s).alias(m) for s, m in zip(sums, metrics)]
+        *[F.sum(s).alias(m) for m, s in zip(metrics, sums)],
+        *([F.max(F.col(s) > 0).alias(positive(m)) for m, s in zip(metrics, sums)] if flags else []),
     )
 
 
+def summed_with_flags(df: DataFrame, roles: Roles, metrics: list[str]) -> DataFrame:
+    """Sums and positivity flags per cell and entity, null labels kept."""
+    return _unpivoted(df, roles, metrics, whole=False, flags=True)
+
+
+def positive(metric: str) -> str:
+    """Name of the prepared flag: some fact row of the metric is positive."""
+    return f"{metric}__positive"
+
+
+def prepare_cells(df: DataFrame, roles: Roles, metrics: list[str] | None = None) -> DataFrame:
+    """Scan the facts once for a whole run and write the compact result.
+
+    The operators accept this table in place of the facts (``CELL, peer``, sums
+    and positivity flags; null labels and the target included), so that a run
+    with suppression, weights and exports does not read the facts once for each.
+    """
+    named = [roles.metric, roles.total, *roles.numerators.values(), *roles.secondary]
+    wanted = metrics or list(dict.fromkeys(m for m in named if m))
+    return cut_lineage(summed_with_flags(df, roles, wanted))
+
+
+def is_prepared(df: DataFrame) -> bool:
+    return {*CELL, "peer"} <= set(df.columns)
+
+
+def of_first_dimension(prepared: DataFrame, roles: Roles) -> DataFrame:
+    """Every fact exactly once: the prepared rows of one dimension."""
+    return prepared.where(F.col("dimension") == roles.dimensions[0])
+
+
+def aggregate_cells(df: DataFrame, roles: Roles, metrics: list[str], *, with_whole: bool = True) -> DataFrame:
+    """Sum ``metrics`` by dimension, category, period and entity.
+
+    Null entities and categories are left out, null periods are kept (they still
+    count in figures over all periods).  With ``with_whole`` a pseudo-dimension
+    carries each entity's own total per period.  The target is kept; callers
+    split it off.  ``df`` is the facts or a table from ``prepare_cells``.
+    """
+    values = [F.coalesce(m, F.lit(0.0)).alias(m) for m in metrics]
+    if not is_prepared(df):
+        cells = _unpivoted(
+            df.where(F.col(roles.entity).isNotNull()), roles, metrics, with_whole, flags=False
+        ).where(F.col("category").isNotNull())
+        return cells.select(*CELL, "peer", *values)
+    known = df.where(F.col("peer").isNotNull())
+    cells = known.where(
+        F.col("category").isNotNull() & F.col("dimension").isin(*roles.dimensions)
+    ).select(*CELL, "peer", *values)
+    if with_whole:
+        whole = (
+            of_first_dimension(known, roles)
+            .groupBy("time_period", "peer")
+            .agg(*[filled_sum(m).alias(m) for m in metrics])
+        )
+        cells = cells.unionByName(
+            whole.select(F.lit(WHOLE).alias("dimension"), F.lit("all").alias("category"), "*")
+        )
+    return cells if roles.time else over_all_periods(cells, metrics)
+
+
+def ready_cells(df: DataFrame, roles: Roles, metrics: list[str]) -> DataFrame:
+    """Cells that may be read several times: prepared already, or written now."""
+    cells = aggregate_cells(df, roles, metrics, with_whole=False)
+    return cells if is_prepared(df) else cut_lineage(cells)
+
+
 def over_all_periods(cells: DataFrame, metrics: list[str], label: str | None = None) -> DataFrame:
     """Fold the period away; partial sums are re-aggregated, not the facts."""
     return (
@@ -96,14 +161,22 @@ def build_cells_timed(df: DataFrame, roles: Roles) -> DataFrame:
 
 def build_time_totals(df: DataFrame, roles: Roles) -> DataFrame:
     """Whole-period cells: each peer's share of the period over all categories."""
-    sums = (
-        df.where(F.col(roles.entity).isNotNull() & F.col(roles.time).isNotNull())
-        .groupBy(
-            F.col(roles.time).cast("string").alias("time_period"),
-            F.col(roles.entity).cast("string").alias("peer"),
+    if is_prepared(df):
+        sums = (
+            of_first_dimension(df, roles)
+            .where(F.col("peer").isNotNull() & F.col("time_period").isNotNull())
+            .groupBy("time_period", "peer")
+            .agg(filled_sum(roles.metric).alias("category_volume"))
+        )
+    else:
+        sums = (
+            df.where(F.col(roles.entity).isNotNull() & F.col(roles.time).isNotNull())
+            .groupBy(
+                F.col(roles.time).cast("string").alias("time_period"),
+                F.col(roles.entity).cast("string").alias("peer"),
+            )
+            .agg(filled_sum(F.col(roles.metric).cast("double")).alias("category_volume"))
         )
-        .agg(filled_sum(F.col(roles.metric).cast("double")).alias("category_volume"))
-    )
     cells = peers_only(sums, roles.target).select(
         F.lit(WHOLE).alias("dimension"),
         F.col("time_period").alias("category"),
@@ -117,10 +190,13 @@ def build_time_totals(df: DataFrame, roles: Roles) -> DataFrame:
 
 def peer_volumes(df: DataFrame, roles: Roles) -> DataFrame:
     """Each peer's metric over everything."""
+    if is_prepared(df):
+        rows, value = of_first_dimension(df, roles), F.col(roles.metric)
+    else:
+        rows = df.withColumn("peer", F.col(roles.entity).cast("string"))
+        value = F.col(roles.metric).cast("double")
     sums = (
-        df.where(F.col(roles.entity).isNotNull())
-        .groupBy(F.col(roles.entity).cast("string").alias("peer"))
-        .agg(filled_sum(F.col(roles.metric).cast("double")).alias("volume"))
+        rows.where(F.col("peer").isNotNull()).groupBy("peer").agg(filled_sum(value).alias("volume"))
     )
     return peers_only(sums, roles.target)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.operators.cells import CELL, aggregate_cells, percent
+from peerlens.operators.cells import CELL, aggregate_cells, is_prepared, percent
 from peerlens.operators.weights import attach_weights
 from peerlens.roles import Roles
 
@@ -17,7 +17,8 @@ def share_impact(df: DataFrame, roles: Roles, weights: DataFrame | None, extra:
     With ``extra`` keys (such as ``run_id``) in ``weights``, every run is answered
     at once.
     """
-    usable = df.where(F.col(roles.metric) >= 0)
+    # A prepared table has been made from usable rows already.
+    usable = df if is_prepared(df) else df.where(F.col(roles.metric) >= 0)
     cells = aggregate_cells(usable, roles, [roles.metric], with_whole=False).withColumnRenamed(
         roles.metric, "v"
     )

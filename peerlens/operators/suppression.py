@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.operators.cells import CELL, GENERAL, peers_only
+from peerlens.operators.cells import (
+    CELL,
+    GENERAL,
+    is_prepared,
+    peers_only,
+    positive,
+    summed_with_flags,
+)
 from peerlens.roles import Roles
 from peerlens.session import join_keys
 
@@ -18,31 +25,26 @@ def participation(df: DataFrame, roles: Roles, metrics: list[str]) -> DataFrame:
     ``CELL, peer, metric, positive, total``; the null category is a group of its
     own here.
     """
-    entity = F.col(roles.entity).cast("string")
     timed = roles.time is not None
-    wide = peers_only(
-        df.select(
-            entity.alias("peer"),
-            (F.col(roles.time).cast("string") if timed else F.lit(None).cast("string")).alias("time_period"),
-            *[F.col(d).cast("string").alias(d) for d in roles.dimensions],
-            *[F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(metrics)],
-        ),
-        roles.target,
-    )
-    sums = [f"_m{i}" for i in range(len(metrics))]
-    long = wide.unpivot(["peer", "time_period", *sums], list(roles.dimensions), "dimension", "category")
-    grouped = long.groupBy(*CELL, "peer").agg(
-        *[F.max(F.col(s) > 0).alias(f"_p{i}") for i, s in enumerate(sums)],
-        *[F.sum(s).alias(s) for s in sums],
-    )
+    if is_prepared(df):
+        grouped = df.where(F.col("dimension").isin(*roles.dimensions))
+    else:
+        grouped = summed_with_flags(df, roles, metrics)
+    grouped = peers_only(grouped, roles.target)
+    if not timed:
+        grouped = grouped.withColumn("time_period", F.lit(None).cast("string"))
+        grouped = grouped.groupBy(*CELL, "peer").agg(
+            *[F.max(positive(m)).alias(positive(m)) for m in metrics],
+            *[F.sum(m).alias(m) for m in metrics],
+        )
     per_metric = F.array(
         *[
             F.struct(
                 F.lit(m).alias("metric"),
-                F.coalesce(F.col(f"_p{i}"), F.lit(False)).alias("positive"),
-                F.coalesce(F.col(f"_m{i}"), F.lit(0.0)).alias("total"),
+                F.coalesce(F.col(positive(m)), F.lit(False)).alias("positive"),
+                F.coalesce(F.col(m), F.lit(0.0)).alias("total"),
             )
-            for i, m in enumerate(metrics)
+            for m in metrics
         ]
     )
     return grouped.select(*CELL, "peer", F.explode(per_metric).alias("_x")).select(

@@ -21,7 +21,8 @@ def fact_for(spark: SparkSession, sf_dir: str, roles: Roles, *more: str) -> Data
 
 def volume_weights(df: DataFrame, roles: Roles) -> DataFrame:
     """Weights from the data: large peers lighter, with an override on returnflag."""
-    volumes = cells.peer_volumes(df, Roles(roles.entity, (), metric="amount", target=roles.target))
+    amounts = Roles(roles.entity, roles.dimensions, metric="amount", target=roles.target)
+    volumes = cells.peer_volumes(df, amounts)
     mean = F.col("_mean")
     placed = cut_lineage(volumes.withColumn("_mean", volumes.agg(F.avg("volume")).scalar()))
     everywhere = placed.select(
@@ -77,14 +78,14 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def attach_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.SHARE)
+    df = w.prepared_for(spark, sf_dir, w.SHARE)
     rows = cells.governed_cells(df, w.SHARE)
     return tidy(weights.attach_weights(rows, volume_weights(df, w.SHARE)).drop("time_period"), MONEY)
 
 
 @query
 def cell_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.SHARE)
+    df = w.prepared_for(spark, sf_dir, w.SHARE)
     rows = weights.attach_weights(cells.governed_cells(df, w.SHARE), volume_weights(df, w.SHARE))
     out = cells.cell_shares(cut_lineage(rows))
     return tidy(out.select("dimension", "category", "peer", "raw_share", "share"))
@@ -108,7 +109,7 @@ def weighted_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def share_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: timed share analysis of the target with weighted peers."""
-    df = fact_for(spark, sf_dir, w.SHARE_TIMED)
+    df = w.prepared_for(spark, sf_dir, w.SHARE_TIMED)
     out = analysis.share_analysis(df, w.SHARE_TIMED, volume_weights(df, w.SHARE_TIMED))
     return tidy(out, ("original_total_volume",))
 
@@ -133,7 +134,7 @@ def share_analysis_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rate_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.RATE, "amount")
+    df = w.prepared_for(spark, sf_dir, w.RATE, "amount")
     return tidy(analysis.rate_analysis(df, w.RATE, volume_weights(df, w.RATE)))
 
 
@@ -153,7 +154,7 @@ def zero_bic_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def share_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.SHARE_TIMED)
+    df = w.prepared_for(spark, sf_dir, w.SHARE_TIMED)
     out = impact.share_impact(df, w.SHARE_TIMED, volume_weights(df, w.SHARE_TIMED))
     return tidy(
         impact.with_distortion_alias(out),
@@ -163,49 +164,49 @@ def share_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rate_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.RATE, "amount")
+    df = w.prepared_for(spark, sf_dir, w.RATE, "amount")
     out = impact.rate_impact(df, w.RATE, volume_weights(df, w.RATE))
     return tidy(impact.with_weight_effect_alias(out))
 
 
 @query
 def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.SHARE_TIMED)
+    df = w.prepared_for(spark, sf_dir, w.SHARE_TIMED)
     out = impact.share_impact(df, w.SHARE_TIMED, volume_weights(df, w.SHARE_TIMED))
     return tidy(impact.impact_summary(out))
 
 
 @query
 def impact_summary_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.RATE, "amount")
+    df = w.prepared_for(spark, sf_dir, w.RATE, "amount")
     out = impact.rate_impact(df, w.RATE, volume_weights(df, w.RATE))
     return tidy(impact.impact_summary(out, rate=True))
 
 
 @query
 def impact_summary_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.SHARE_TIMED)
+    df = w.prepared_for(spark, sf_dir, w.SHARE_TIMED)
     out = impact.share_impact(df, w.SHARE_TIMED, volume_weights(df, w.SHARE_TIMED))
     return tidy(impact.impact_summary_filtered(out))
 
 
 @query
 def weights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.SHARE)
+    df = w.prepared_for(spark, sf_dir, w.SHARE)
     out = weights.weights_table(volume_weights(df, w.SHARE), cells.peer_volumes(df, w.SHARE))
     return tidy(out, ("raw_volume", "balanced_volume"))
 
 
 @query
 def rank_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.SHARE)
+    df = w.prepared_for(spark, sf_dir, w.SHARE)
     table = weights.weights_table(volume_weights(df, w.SHARE), cells.peer_volumes(df, w.SHARE))
     return tidy(weights.rank_changes(table.where(F.col("weight_scope") == "Global")))
 
 
 @query
 def method_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.SHARE)
+    df = w.prepared_for(spark, sf_dir, w.SHARE)
     peers = cells.peer_volumes(df, w.SHARE).select("peer")
     return tidy(
         weights.method_breakdown(volume_weights(df, w.SHARE), peers, list(w.SHARE.dimensions))
@@ -221,7 +222,7 @@ def weights_are_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def representativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, w.SHARE_TIMED)
+    df = w.prepared_for(spark, sf_dir, w.SHARE_TIMED)
     table = volume_weights(df, w.SHARE_TIMED)
     moved = impact.share_impact(df, w.SHARE_TIMED, table).agg(
         F.avg(F.abs("impact_pp")).alias("mean_abs_impact_pp")
@@ -255,7 +256,7 @@ def hidden_outputs(df: DataFrame, roles: Roles, minimum: int) -> DataFrame:
 
 @query
 def balanced_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, BALANCED)
+    df = w.prepared_for(spark, sf_dir, BALANCED)
     records = suppression.suppress_thin_cells(df, BALANCED, 6)
     out = balanced.balanced_metrics(
         df,
@@ -271,7 +272,7 @@ def balanced_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def balanced_export_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = Roles("entity", ("brand", "linestatus"), metric="amount", secondary=("qty",), time="month", target="E3")
-    df = fact_for(spark, sf_dir, roles)
+    df = w.prepared_for(spark, sf_dir, roles)
     out = balanced.balanced_export_share(
         df,
         roles,
@@ -285,7 +286,7 @@ def balanced_export_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def balanced_export_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, BALANCED)
+    df = w.prepared_for(spark, sf_dir, BALANCED)
     out = balanced.balanced_export_rate(
         df,
         BALANCED,
@@ -299,7 +300,7 @@ def balanced_export_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def balanced_export_rate_calculated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fact_for(spark, sf_dir, BALANCED)
+    df = w.prepared_for(spark, sf_dir, BALANCED)
     out = balanced.balanced_export_rate(
         df,
         BALANCED,

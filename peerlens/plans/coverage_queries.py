@@ -23,7 +23,7 @@ PROTECTED = "E1"
 
 def universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Volumes and candidate units, both materialised."""
-    df = w.fact_for(spark, sf_dir, COVER)
+    df = w.prepared_for(spark, sf_dir, COVER)
     volumes = cut_lineage(coverage.unit_volumes(df, COVER))
     records = suppression.suppress_thin_cells(df, COVER, 6)
     return volumes, cut_lineage(coverage.candidate_units(volumes, records, overlay_entity=PROTECTED))
@@ -256,7 +256,7 @@ def removed_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reconcile_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The balanced rate export against the rates it should show, some of them edited."""
-    df = w.fact_for(spark, sf_dir, w.RATE, "amount")
+    df = w.prepared_for(spark, sf_dir, w.RATE, "amount")
     table = cut_lineage(volume_weights(df, w.RATE))
     export = balanced.balanced_export_rate(df, w.RATE, table)
     mine = reconcile.rates_of_export(export, "txn", {"approval": "approved", "fraud": "fraud"})

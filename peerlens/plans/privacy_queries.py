@@ -225,7 +225,7 @@ def with_null_labels(df: DataFrame) -> DataFrame:
 
 @query
 def suppress_thin_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_null_labels(w.fact_for(spark, sf_dir, THIN))
+    df = cell_ops.prepare_cells(with_null_labels(w.fact_for(spark, sf_dir, THIN)), THIN)
     cells = cell_ops.governed_cells(df, THIN).where(F.col("dimension") != cell_ops.WHOLE)
     infeasible = audit.structural_caps(cells, 25.0, **BOUNDS).select("dimension", "category")
     return suppression.suppress_thin_cells(df, THIN, 8, infeasible)
@@ -238,7 +238,7 @@ def metric_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thin_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    df = w.fact_for(spark, sf_dir, THIN, "qty")
+    df = w.prepared_for(spark, sf_dir, THIN, "qty")
     sums = cell_ops.aggregate_cells(df, THIN, ["amount", "qty"], with_whole=False)
     results = sums.groupBy(*CELL).agg(F.sum("amount").alias("amount"), F.sum("qty").alias("qty"))
     return df, results, suppression.suppress_thin_cells(df, THIN, 7)
@@ -273,7 +273,8 @@ def filter_release_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_safe_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, _, records = thin_results(spark, sf_dir)
     safe = suppression.safe_entities(df, THIN, records)
-    diagnostics = df.groupBy(F.col("entity").alias("peer")).agg(F.count("*").alias("n_rows"))
+    facts = w.fact_for(spark, sf_dir, THIN)
+    diagnostics = facts.groupBy(F.col("entity").alias("peer")).agg(F.count("*").alias("n_rows"))
     return suppression.filter_safe_entities(diagnostics, safe)
 
 
@@ -281,7 +282,8 @@ def filter_safe_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_safe_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, _, _ = thin_results(spark, sf_dir)
     records = suppression.suppress_thin_cells(df, THIN, 9)
-    totals = df.groupBy(F.col("month").alias("time_period")).agg(F.count("*").alias("n_rows"))
+    facts = w.fact_for(spark, sf_dir, THIN)
+    totals = facts.groupBy(F.col("month").alias("time_period")).agg(F.count("*").alias("n_rows"))
     return suppression.filter_safe_periods(totals, suppression.safe_entities(df, THIN, records))
 
 

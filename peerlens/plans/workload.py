@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peerlens.operators.cells import prepare_cells
 from peerlens.roles import Roles
 
 ORDER_COLUMNS = {"priority", "period", "month", "order_day", "segment"}
@@ -104,3 +105,11 @@ def columns_of(roles: Roles, *more: str) -> tuple[str, ...]:
 
 def fact_for(spark: SparkSession, sf_dir: str, roles: Roles, *more: str) -> DataFrame:
     return fact(spark, sf_dir, columns_of(roles, *more))
+
+
+def prepared_for(
+    spark: SparkSession, sf_dir: str, roles: Roles, *more: str
+) -> DataFrame:
+    """The facts of a run scanned once into a compact table."""
+    metrics = [c for c in columns_of(roles, *more) if c not in (roles.entity, roles.time, *roles.dimensions)]
+    return prepare_cells(fact_for(spark, sf_dir, roles, *more), roles, metrics)
