@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.operators.cells import CELL, aggregate_cells, percent
-from peerlens.operators.suppression import filter_suppressed, mark_suppressed
+from peerlens.operators.suppression import (
+    filter_metric_suppressed,
+    filter_suppressed,
+    mark_suppressed,
+)
 from peerlens.operators.weights import attach_weights
 from peerlens.roles import Roles
 
@@ -20,25 +24,11 @@ def _published_cells(
     return cells if suppressed is None else filter_suppressed(cells, suppressed)
 
 
-def _null_where_suppressed(
-    rows: DataFrame, records: DataFrame | None, metrics: dict[str, list[str]]
-) -> DataFrame:
-    """Null out each metric's columns in the cells where it is suppressed."""
+def _mark_outputs(rows: DataFrame, records: DataFrame | None, outputs: list[str]) -> DataFrame:
+    """Columns ``_hide_<output>`` for the rate outputs."""
     if records is None:
-        return rows
-    for i, (metric, columns) in enumerate(metrics.items()):
-        flag = f"_s{i}"
-        rows = mark_suppressed(rows, records.where(F.col("metric") == metric), flag)
-        for column in columns:
-            rows = rows.withColumn(column, F.when(~F.col(flag), F.col(column)))
-        rows = rows.drop(flag)
-    return rows
-
-
-def _mark_output(rows: DataFrame, records: DataFrame | None, output: str) -> DataFrame:
-    if records is None:
-        return rows.withColumn(f"_hide_{output}", F.lit(False))
-    return mark_suppressed(rows, records.where(F.col("output") == output), f"_hide_{output}")
+        return rows.select("*", *[F.lit(False).alias(f"_hide_{o}") for o in outputs])
+    return mark_suppressed(rows, records, {o: f"_hide_{o}" for o in outputs}, "output")
 
 
 def balanced_metrics(
@@ -67,17 +57,12 @@ def balanced_metrics(
     sums = rows.groupBy(*CELL).agg(
         *[F.sum(F.col(c) * F.col("m")).alias(o) for c, o in outputs.items()]
     )
-    sums = _null_where_suppressed(sums, suppressed_metrics, {c: [o] for c, o in outputs.items()})
-    if suppressed_outputs is not None:
-        for output, hidden in {
-            "approval": ["balanced_total", "balanced_approval_total"],
-            "fraud": ["balanced_fraud_total"],
-        }.items():
-            sums = _mark_output(sums, suppressed_outputs, output)
-            for column in set(hidden) & set(sums.columns):
-                sums = sums.withColumn(column, F.when(~F.col(f"_hide_{output}"), F.col(column)))
-            sums = sums.drop(f"_hide_{output}")
-    return sums
+    sums = filter_metric_suppressed(sums, suppressed_metrics, {c: [o] for c, o in outputs.items()})
+    by_output = {
+        "approval": ["balanced_total", "balanced_approval_total"],
+        "fraud": ["balanced_fraud_total"],
+    }
+    return filter_metric_suppressed(sums, suppressed_outputs, by_output, "output")
 
 
 def balanced_export_share(
@@ -119,7 +104,7 @@ def balanced_export_share(
         sums = sums.withColumn(
             f"{c}_impact_pp", F.col(f"balanced_{c}_share_pct") - F.col(f"raw_{c}_share_pct")
         )
-    sums = _null_where_suppressed(sums, suppressed_metrics, columns)
+    sums = filter_metric_suppressed(sums, suppressed_metrics, columns)
     return sums.select(*CELL, *[x for names in columns.values() for x in names])
 
 
@@ -149,53 +134,39 @@ def balanced_export_rate(
         *[F.sum(F.when(peers, F.col(c) * F.col("m")).otherwise(0.0)).alias(f"_b_{c}") for c in metrics],
         *[F.sum(F.when(peers, F.col(c)).otherwise(0.0)).alias(f"_r_{c}") for c in metrics],
     )
+    sums = _mark_outputs(sums, suppressed_outputs, list(numerators))
     shown = F.lit(False)
     for name in numerators:
-        sums = _mark_output(sums, suppressed_outputs, name)
         shown = shown | ~F.col(f"_hide_{name}")
     total = roles.total
     if suppressed_metrics is not None:
-        sums = mark_suppressed(
-            sums, suppressed_metrics.where(F.col("metric") == total), "_hide_total"
-        )
-        shown = shown & ~F.col("_hide_total")
-    values: list[str] = []
+        flags = {m: f"_hide_m_{m}" for m in (total, *roles.secondary)}
+        sums = mark_suppressed(sums, suppressed_metrics, flags)
+        shown = shown & ~F.col(f"_hide_m_{total}")
+    made: dict[str, Column] = {}
     if calculated:
-        sums = sums.withColumn("raw_total", F.when(shown, F.col(f"_r_{total}"))).withColumn(
-            "balanced_total", F.when(shown, F.col(f"_b_{total}"))
-        )
-        values += ["raw_total", "balanced_total"]
+        made["raw_total"] = F.when(shown, F.col(f"_r_{total}"))
+        made["balanced_total"] = F.when(shown, F.col(f"_b_{total}"))
         for name, c in numerators.items():
             visible = ~F.col(f"_hide_{name}")
             raw = percent(F.col(f"_r_{c}"), F.col(f"_r_{total}"))
-            balanced = percent(F.col(f"_b_{c}"), F.col(f"_b_{total}"))
-            made = {
-                f"balanced_{name}_total": F.col(f"_b_{c}"),
-                f"raw_{name}_rate_pct": raw,
-                f"balanced_{name}_rate_pct": balanced,
-                f"{name}_impact_pp": balanced - raw,
-            }
-            for column, value in made.items():
-                sums = sums.withColumn(column, F.when(visible, value))
-            values += list(made)
+            weighted = percent(F.col(f"_b_{c}"), F.col(f"_b_{total}"))
+            made[f"balanced_{name}_total"] = F.when(visible, F.col(f"_b_{c}"))
+            made[f"raw_{name}_rate_pct"] = F.when(visible, raw)
+            made[f"balanced_{name}_rate_pct"] = F.when(visible, weighted)
+            made[f"{name}_impact_pp"] = F.when(visible, weighted - raw)
     else:
-        sums = sums.withColumn(total, F.when(shown, F.col(f"_b_{total}")))
-        values.append(total)
+        made[total] = F.when(shown, F.col(f"_b_{total}"))
         for name, c in numerators.items():
-            sums = sums.withColumn(
-                c, F.when(~F.col(f"_hide_{name}") & (F.col(f"_b_{c}") > 0), F.col(f"_b_{c}"))
-            )
-            values.append(c)
+            made[c] = F.when(~F.col(f"_hide_{name}") & (F.col(f"_b_{c}") > 0), F.col(f"_b_{c}"))
         for c in roles.secondary:
-            sums = sums.withColumn(c, F.col(f"_b_{c}"))
-        sums = _null_where_suppressed(
-            sums, suppressed_metrics, {c: [c] for c in roles.secondary}
-        )
-        values += list(roles.secondary)
+            made[c] = F.col(f"_b_{c}")
+            if suppressed_metrics is not None:
+                made[c] = F.when(~F.col(f"_hide_m_{c}"), made[c])
     # A cell with every surface hidden would be a row of keys only.
     visible_any = shown
     for name in numerators:
         visible_any = visible_any | ~F.col(f"_hide_{name}")
     for c in () if calculated else roles.secondary:
-        visible_any = visible_any | F.col(c).isNotNull()
-    return sums.where(visible_any).select(*CELL, *values)
+        visible_any = visible_any | made[c].isNotNull()
+    return sums.where(visible_any).select(*CELL, *[v.alias(n) for n, v in made.items()])

@@ -134,38 +134,50 @@ def filter_suppressed(rows: DataFrame, records: DataFrame, extra: list[str] | No
     return join_keys(kept, exact.distinct(), [*extra, *CELL], "left_anti")
 
 
-def mark_suppressed(rows: DataFrame, records: DataFrame, flag: str) -> DataFrame:
-    """Like ``filter_suppressed``, but add a boolean column instead of dropping."""
-    anywhere = (
-        records.where(F.col("time_period").isNull())
-        .select("dimension", "category")
-        .distinct()
-        .withColumn("_any", F.lit(True))
-    )
-    exact = (
-        records.where(F.col("time_period").isNotNull())
-        .select(*CELL)
-        .distinct()
-        .withColumn("_exact", F.lit(True))
-    )
+def mark_suppressed(
+    rows: DataFrame, records: DataFrame, flags: dict[str, str], column: str = "metric"
+) -> DataFrame:
+    """Boolean columns telling which values of ``column`` are suppressed in a row's cell.
+
+    ``flags`` maps value to column name.  All values share one pair of joins: the
+    records are first folded to one row of flags per cell.
+    """
+
+    def folded(part: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+        return part.groupBy(*keys).agg(
+            *[F.max(F.col(column) == v).alias(f"{prefix}{i}") for i, v in enumerate(flags)]
+        )
+
+    wanted = records.where(F.col(column).isin(*flags))
+    anywhere = folded(wanted.where(F.col("time_period").isNull()), ["dimension", "category"], "_a")
+    exact = folded(wanted.where(F.col("time_period").isNotNull()), CELL, "_e")
     joined = join_keys(rows, anywhere, ["dimension", "category"], "left")
     joined = join_keys(joined, exact, CELL, "left")
-    return joined.withColumn(
-        flag, F.coalesce(F.col("_any"), F.col("_exact"), F.lit(False))
-    ).drop("_any", "_exact")
+    marks = [
+        (F.coalesce(f"_a{i}", F.lit(False)) | F.coalesce(f"_e{i}", F.lit(False))).alias(name)
+        for i, name in enumerate(flags.values())
+    ]
+    return joined.select(*rows.columns, *marks)
 
 
-def filter_metric_suppressed(rows: DataFrame, records: DataFrame, metrics: dict[str, str]) -> DataFrame:
-    """Null out a metric's column where that metric is suppressed; keep the row.
+def filter_metric_suppressed(
+    rows: DataFrame, records: DataFrame | None, metrics: dict[str, list[str]], column: str = "metric"
+) -> DataFrame:
+    """Null out a metric's columns where that metric is suppressed; keep the row.
 
-    ``metrics`` maps metric name to output column.
+    ``metrics`` maps metric name to output columns.
     """
-    out = rows
-    for i, (metric, column) in enumerate(metrics.items()):
-        flag = f"_s{i}"
-        out = mark_suppressed(out, records.where(F.col("metric") == metric), flag)
-        out = out.withColumn(column, F.when(~F.col(flag), F.col(column))).drop(flag)
-    return out
+    if records is None or not metrics:
+        return rows
+    flags = {metric: f"_s{i}" for i, metric in enumerate(metrics)}
+    marked = mark_suppressed(rows, records, flags, column)
+    hidden = {c: flags[m] for m, names in metrics.items() for c in names}
+    return marked.select(
+        *[
+            (F.when(~F.col(hidden[c]), F.col(c)) if c in hidden else F.col(c)).alias(c)
+            for c in rows.columns
+        ]
+    )
 
 
 def filter_release_set(rows: DataFrame, released: DataFrame) -> DataFrame:

@@ -254,7 +254,7 @@ def filter_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_metric_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, results, _ = thin_results(spark, sf_dir)
     records = suppression.metric_suppression(df, THIN, ["qty"], 7)
-    return tidy(suppression.filter_metric_suppressed(results, records, {"qty": "qty"}), ("amount",))
+    return tidy(suppression.filter_metric_suppressed(results, records, {"qty": ["qty"]}), ("amount",))
 
 
 @query
