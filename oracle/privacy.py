@@ -546,27 +546,35 @@ SQL["violation_penalty"] = statement(
 # Audit ------------------------------------------------------------------------
 
 AUDIT_ROWS = [
-    *AUDIT, *stats(), *fitted(40.0), fitted_shares(), *strict_tiers(10, 20.0, 10.0), *tier_counts("ws"),
+    FACT,
+    cells(("brand", "returnflag"), timed=True, target=None, name="plain", period="month"),
+    "whole AS (SELECT '_TIME_TOTAL_' AS dimension, month AS category, month AS time_period, entity AS peer, sum(amount) AS v FROM fact GROUP BY month, entity)",
+    "cells AS (SELECT * FROM plain UNION ALL SELECT * FROM whole)",
+    "vols AS (SELECT peer, sum(v) AS volume FROM whole GROUP BY peer)",
+    *stats(), *fitted(40.0), fitted_shares(), *strict_tiers(10, 20.0, 10.0), *tier_counts("ws"),
     f"ar AS (SELECT ws.*, {pct('v', 'tot')} AS raw, greatest(({LOWEST}) - 40.0, 0.0) AS mp FROM "
     f"(SELECT *, sum(v) OVER (PARTITION BY {CELL}) AS tot FROM ws) ws)",
     f"cm AS (SELECT {CELL}, max(mp) AS mc FROM ar GROUP BY ALL)",
     "grid AS (SELECT t.*, mc, p.peer, p.multiplier FROM tj t JOIN cm ON cm.dimension = t.dimension AND cm.category = t.category AND cm.time_period = t.time_period, w p)",
-    "au AS (SELECT g.dimension, g.category, g.time_period, g.peer, g.multiplier, coalesce(a.v, 0.0) AS v, coalesce(raw, 0.0) AS raw, coalesce(share, 0.0) AS share, "
+    "au AS (SELECT g.dimension, g.category, g.time_period, CASE WHEN a.peer IS NOT NULL THEN g.peer END AS peer, CASE WHEN a.peer IS NOT NULL THEN g.multiplier END AS multiplier, "
+    "coalesce(a.v, 0.0) AS v, coalesce(raw, 0.0) AS raw, coalesce(share, 0.0) AS share, "
     "g.enforce, g.tiers_passed, g.relaxed, CASE WHEN enforce THEN 'Enforced' WHEN reason = 'time_total' THEN 'Time total cap validation' ELSE 'Skipped (' || reason || ')' END "
     "AS detail, coalesce(mp, 0.0) > 0 AS sp, mc > 0 AS sc FROM grid g LEFT JOIN ar a ON a.dimension = g.dimension AND a.category = g.category "
     "AND a.time_period = g.time_period AND a.peer = g.peer)",
+    # One row per cell and peer; the absent ones, alike in every value, are counted.
     "audit AS (SELECT *, share > 40.0 + 0.0 + 1e-6 AS over FROM au)",
+    "folded AS (SELECT *, count(*) AS peers FROM audit GROUP BY ALL)",
 ]
 SQL["privacy_validation"] = statement(
     *AUDIT_ROWS,
-    select=f"SELECT {CELL}, peer, round(multiplier, 6) AS multiplier, round(v, 2) AS original_volume, round(raw, 6) AS original_share_pct, "
+    select=f"SELECT {CELL}, peer, peers, round(multiplier, 6) AS multiplier, round(v, 2) AS original_volume, round(raw, 6) AS original_share_pct, "
     "round(share, 6) AS balanced_share_pct, NOT over AS cap_passed, enforce AS tiers_enforced, tiers_passed, relaxed AS relaxation_used, "
     "detail AS tier_detail, sp AS structural_peer, sc AS structural_category, round(CASE WHEN over THEN share - 40.0 ELSE 0.0 END, 6) AS violation_margin_pct, "
-    "NOT over AND tiers_passed AND NOT relaxed AS strict_compliant FROM audit",
+    "NOT over AND tiers_passed AND NOT relaxed AS strict_compliant FROM folded",
 )
 SQL["strict_failures"] = statement(
     *AUDIT_ROWS,
-    select=f"SELECT {CELL}, peer, round(share, 6) AS balanced_share_pct, NOT over AS cap_passed, tiers_passed FROM audit "
+    select=f"SELECT {CELL}, peer, peers, round(share, 6) AS balanced_share_pct, NOT over AS cap_passed, tiers_passed FROM folded "
     "WHERE NOT (NOT over AND tiers_passed AND NOT relaxed)",
 )
 SQL["structural_counts"] = statement(

@@ -9,8 +9,10 @@ from peerlens.operators.cells import CELL, cell_shares, constraint_stats
 from peerlens.operators.rules import (
     DynamicSettings,
     Rule,
-    evaluate_rules,
+    rules_array,
+    sweep_evidence,
     tier_outcome,
+    with_verdict,
 )
 from peerlens.operators.weights import COMPARISON_EPSILON, attach_weights, lowest_share
 from peerlens.session import add_group_values, cut_lineage, join_keys
@@ -87,15 +89,15 @@ def privacy_validation(
     high: float = 10.0,
     settings: DynamicSettings = DynamicSettings(),
     dynamic: bool = True,
-    every_peer: bool = True,
 ) -> DataFrame:
     """Audit rows: shares before and after weighting, cap and tier outcome, margins.
 
     ``cells`` is ``CELL, peer, v`` (whole-period cells under their reserved name);
-    ``volumes`` is ``peer, volume``.  All judging happens on the peers present; an
-    absent peer adds zeros to no sum.  ``every_peer`` finally lists the absent
-    peers with zeros as well.  Whole-period rows come once per period and are
-    capped only.
+    ``volumes`` is ``peer, volume`` of the whole population.  Column ``peers`` tells
+    how many peers a row stands for: one, or, with a null ``peer``, all the peers
+    that do not occur in the cell.  Those are alike in every value (no volume,
+    share 0, cap kept), so one row per cell accounts for them instead of a cell x
+    peer grid.  Whole-period rows come once per period and are capped only.
     """
     cells = cut_lineage(cells)
     if weights is not None:
@@ -126,28 +128,37 @@ def privacy_validation(
         outcome,
         CELL,
     )
-    if every_peer:
-        grid = _every_peer(per_cell, volumes.select("peer"))
-        rows = join_keys(
-            grid,
-            rows.select(*CELL, "peer", "v", "m", "raw_share", "share", "structural_margin_peer_pp"),
-            [*CELL, "peer"],
-            "left",
-        ).drop("m")
-        rows = attach_weights(rows, weights).fillna(
-            0.0, ["v", "raw_share", "share", "structural_margin_peer_pp"]
+    present = rows.groupBy(*CELL).agg(F.count("*").alias("_present"))
+    population = volumes.agg(F.count("*")).scalar()
+    absent = (
+        join_keys(per_cell, present, CELL)
+        .withColumn("peers", population - F.col("_present"))
+        .where(F.col("peers") > 0)
+        .select(
+            *CELL,
+            F.lit(None).cast("string").alias("peer"),
+            "peers",
+            F.lit(None).cast("double").alias("m"),
+            *[F.lit(0.0).alias(c) for c in ("v", "raw_share", "share", "structural_margin_peer_pp")],
+            *[c for c in per_cell.columns if c not in CELL],
         )
-    else:
-        rows = join_keys(rows, per_cell, CELL)
+    )
+    rows = (
+        join_keys(rows, per_cell, CELL)
+        .withColumn("peers", F.lit(1).cast("bigint"))
+        .select(*absent.columns)
+        .unionByName(absent)
+    )
     over = share_violation(F.col("share"), rule.cap, tolerance)
     return rows.select(
         *CELL,
         "peer",
+        "peers",
         F.lit(rule.name).alias("rule"),
         F.col("m").alias("multiplier"),
         F.col("v").alias("original_volume"),
         F.col("raw_share").alias("original_share_pct"),
-        (F.col("v") * F.col("m")).alias("balanced_volume"),
+        (F.col("v") * F.coalesce("m", F.lit(1.0))).alias("balanced_volume"),
         F.col("share").alias("balanced_share_pct"),
         F.lit(rule.cap).alias("cap_pct"),
         (~over).alias("cap_passed"),
@@ -164,21 +175,6 @@ def privacy_validation(
     )
 
 
-def _every_peer(per_cell: DataFrame, peers: DataFrame) -> DataFrame:
-    """One row per cell and peer of the population, the shape of the audit table.
-
-    The grid is the published result itself.  Both sides carry a salt so that it
-    is made by an ordinary hashed join whose tasks stay even however many cells
-    one dimension has.
-    """
-    salts = 16
-    salted_cells = per_cell.withColumn(
-        "_salt", F.pmod(F.xxhash64(*CELL), F.lit(salts)).cast("int")
-    )
-    salted_peers = peers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_cells.join(salted_peers, "_salt").drop("_salt")
-
-
 def strict_failures(validation: DataFrame) -> DataFrame:
     """Audit rows that are not strictly compliant."""
     return validation.where(~F.col("strict_compliant"))
@@ -187,7 +183,7 @@ def strict_failures(validation: DataFrame) -> DataFrame:
 def structural_counts(validation: DataFrame) -> DataFrame:
     """Rows and distinct cells flagged structurally infeasible in the audit."""
     per_cell = validation.groupBy(*CELL).agg(
-        F.count_if(F.col("structural_peer")).alias("_rows"),
+        F.coalesce(F.sum(F.when(F.col("structural_peer"), F.col("peers"))), F.lit(0)).alias("_rows"),
         F.max("structural_category").alias("_hit"),
     )
     return per_cell.agg(
@@ -204,16 +200,26 @@ def strict_validation_counts(validation: DataFrame) -> DataFrame:
     """
     share = F.col("balanced_share_pct")
     over = (share > F.col("cap_pct") + COMPARISON_EPSILON) | share.isNull() | F.isnan(share)
+
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("peers"))), F.lit(0))
+
     rows = validation.agg(
         F.struct(
-            F.count("*").alias("rows"),
-            F.count_if(over).alias("cap_fail_rows"),
-            F.count_if(F.col("relaxation_used")).alias("relaxed_rows"),
+            F.coalesce(F.sum("peers"), F.lit(0)).alias("rows"),
+            rows_where(over).alias("cap_fail_rows"),
+            rows_where(F.col("relaxation_used")).alias("relaxed_rows"),
         ).alias("r")
     )
-    verdicts = evaluate_rules(
-        validation.select(*CELL, F.col("rule").alias("_rule"), F.coalesce(share, F.lit(-1.0)).alias("share")),
-        [*CELL, "_rule"],
+    # Absent peers take part with share 0, which reaches no tier threshold.
+    keys = [*CELL, "_rule"]
+    shares = validation.select(
+        *CELL, F.col("rule").alias("_rule"), "peers", F.coalesce(share, F.lit(-1.0)).alias("share")
+    )
+    evidence = sweep_evidence(shares, keys).drop("participants")
+    counted = shares.groupBy(*keys).agg(F.sum("peers").alias("participants"))
+    verdicts = with_verdict(
+        join_keys(evidence, counted, keys).withColumn("r", F.explode(rules_array()))
     ).where(F.col("rule") == F.col("_rule"))
     return (
         verdicts.agg(

@@ -502,8 +502,12 @@ def violation_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Audit ------------------------------------------------------------------------
 
 
-def audit_table(spark: SparkSession, sf_dir: str, every_peer: bool = True) -> DataFrame:
-    cells = audit_cells(spark, sf_dir)
+# Many peers are absent from a brand's month.
+AUDIT_THIN = Roles("entity", ("brand", "returnflag"), metric="amount", time="month")
+
+
+def audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = cut_lineage(cell_ops.governed_cells(w.fact_for(spark, sf_dir, AUDIT_THIN), AUDIT_THIN))
     return audit.privacy_validation(
         cells,
         population(cells),
@@ -511,13 +515,12 @@ def audit_table(spark: SparkSession, sf_dir: str, every_peer: bool = True) -> Da
         rules.rule_named("10/40"),
         tolerance=0.0,
         settings=LOOSE,
-        every_peer=every_peer,
         **BOUNDS,
     )
 
 
 AUDIT_COLUMNS = [
-    *CELL, "peer", "multiplier", "original_volume", "original_share_pct", "balanced_share_pct",
+    *CELL, "peer", "peers", "multiplier", "original_volume", "original_share_pct", "balanced_share_pct",
     "cap_passed", "tiers_enforced", "tiers_passed", "relaxation_used", "tier_detail",
     "structural_peer", "structural_category", "violation_margin_pct", "strict_compliant",
 ]
@@ -531,7 +534,7 @@ def privacy_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def strict_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audit.strict_failures(audit_table(spark, sf_dir))
-    return tidy(out.select(*CELL, "peer", "balanced_share_pct", "cap_passed", "tiers_passed"))
+    return tidy(out.select(*CELL, "peer", "peers", "balanced_share_pct", "cap_passed", "tiers_passed"))
 
 
 @query
