@@ -266,7 +266,7 @@ TABLE = [
 SQL["weights_table"] = statement(
     *TABLE,
     select="SELECT weight_scope, peer, round(multiplier, 6) AS multiplier, round(rv, 2) AS raw_volume, "
-    "round(rs, 6) AS raw_share_pct, round(bv, 2) AS balanced_volume, round(bs, 6) AS balanced_share_pct FROM wtab",
+    "round(rs, 6) AS raw_share_pct, round(bv, 4) AS balanced_volume, round(bs, 6) AS balanced_share_pct FROM wtab",
 )
 SQL["rank_changes"] = statement(
     *TABLE,

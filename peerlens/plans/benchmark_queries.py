@@ -194,7 +194,7 @@ def impact_summary_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = w.prepared_for(spark, sf_dir, w.SHARE)
     out = weights.weights_table(volume_weights(df, w.SHARE), cells.peer_volumes(df, w.SHARE))
-    return tidy(out, ("raw_volume", "balanced_volume"))
+    return tidy(out.withColumn("balanced_volume", F.round("balanced_volume", 4)), ("raw_volume",))
 
 
 @query
