@@ -81,41 +81,54 @@ def weighted_percentile(
     )
 
 
-def plain_percentile(df: DataFrame, keys: list[str], value: str, p: float, result: str = "percentile") -> DataFrame:
-    """Linearly interpolated percentile per group.
+def _plain_of_counts(counts: DataFrame, keys: list[str], value: str, p: float, result: str) -> DataFrame:
+    """Linearly interpolated percentile from ``keys, value, _n`` (rows per value).
 
     Both neighbouring order statistics are found with ``weighted_percentile`` on
-    unit weights: aiming half a row past the wanted rank always lands on it.
+    the counts: aiming half a row past the wanted rank always lands on it.
     """
-    rows = df.where(F.col(value).isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    position = (F.col("_n") - 1) * p
-    unit = join_keys(rows.select(*keys, value), sizes, keys).select(
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
+    position = (F.col("_rows") - 1) * p
+    aimed = join_keys(counts.select(*keys, value, "_n"), sizes, keys).select(
         *keys,
         value,
-        F.lit(1.0).alias("_one"),
-        ((F.floor(position) + 0.5) / F.col("_n")).alias("_lo"),
-        ((F.ceil(position) + 0.5) / F.col("_n")).alias("_hi"),
+        "_n",
+        ((F.floor(position) + 0.5) / F.col("_rows")).alias("_lo"),
+        ((F.ceil(position) + 0.5) / F.col("_rows")).alias("_hi"),
     )
-    low = weighted_percentile(unit, keys, value, "_one", "_lo", "_vlo")
-    high = weighted_percentile(unit, keys, value, "_one", "_hi", "_vhi")
+    low = weighted_percentile(aimed, keys, value, "_n", "_lo", "_vlo")
+    high = weighted_percentile(aimed, keys, value, "_n", "_hi", "_vhi")
     part = sizes.select(*keys, (position - F.floor(position)).alias("_part"))
     return join_keys(join_keys(low, high, keys), part, keys).select(
         *keys, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_part")).alias(result)
     )
 
 
+def plain_percentile(df: DataFrame, keys: list[str], value: str, p: float, result: str = "percentile") -> DataFrame:
+    """Linearly interpolated percentile per group."""
+    counts = (
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    )
+    return _plain_of_counts(cut_lineage(counts), keys, value, p, result)
+
+
 def weighted_percentile_or_plain(
     df: DataFrame, keys: list[str], value: str, weight: str, p: float, result: str = "percentile"
 ) -> DataFrame:
-    """Weighted percentile; the plain one where a group's total weight is not positive."""
-    sums = df.groupBy(*keys).agg(F.sum(weight).alias("_tw"))
-    joined = join_keys(df.where(F.col(value).isNotNull()), sums, keys)
-    weighted = weighted_percentile(
-        joined.where(F.col("_tw") > 0), keys, value, weight, p, result
+    """Weighted percentile; the plain one where a group's total weight is not positive.
+
+    The input is read once, folded to one row per group and value.
+    """
+    counts = cut_lineage(
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.sum(weight).alias("_sw"), F.count("*").alias("_n"))
     )
+    sums = counts.groupBy(*keys).agg(F.sum("_sw").alias("_tw"))
+    joined = join_keys(counts, sums, keys)
+    weighted = weighted_percentile(joined.where(F.col("_tw") > 0), keys, value, "_sw", p, result)
     return weighted.unionByName(
-        plain_percentile(joined.where(F.col("_tw") <= 0), keys, value, p, result)
+        _plain_of_counts(joined.where(F.col("_tw") <= 0), keys, value, p, result)
     )
 
 
