@@ -246,7 +246,9 @@ SQL["strategy_outcome"] = statement(
     "LEFT JOIN ow b ON b.run_id = (SELECT d FROM dp) AND b.rule = r.rule",
 )
 SQL["single_rule_outcome"] = statement(
-    *runs_for("r.rule = '10/40' AND n >= 10"),
+    *runs_for(
+        "r.rule = CASE WHEN n >= 10 THEN '10/40' WHEN n >= 7 THEN '7/35' WHEN n >= 6 THEN '6/30' WHEN n >= 5 THEN '5/25' END"
+    ),
     f"jd AS (SELECT e.*, ({ABOVE}) = 0 AS a, participants >= r.min_entities AS b, {TIERS} AS c FROM ev e JOIN rules r ON r.rule = e.run_id WHERE participants >= mn)",
     select="SELECT run_id AS rule, bool_and(a AND b AND c) AS passed, count(*) AS governed_groups, count(*) FILTER (WHERE NOT a) AS cap_failures, count(*) FILTER (WHERE NOT c) AS tier_failures, "
     "round(max(max_share), 6) AS max_share FROM jd GROUP BY run_id",
