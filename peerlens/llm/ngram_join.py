@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
@@ -402,3 +402,25 @@ def near_duplicates(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT
+) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, of equal ids the least text hash.
+
+    Documents with an empty set (null, empty or blank text) and rows without an id
+    are in no component and stay.  Columns are unchanged, whatever their names.
+    """
+    found = near_duplicates(docs, id_col, text_col, size, percent)
+    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    # An id that occurs again with a linked text: only those rows are looked at once more.
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col(id_col) == F.col("__again"), "left_anti")
+    best = Window.partitionBy(id_col, "__n_shingles").orderBy(F.xxhash64(text_col))
+    twice = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__n_shingles", F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    first = twice.withColumn("__nth", F.row_number().over(best)).where("__nth = 1 OR __n_shingles IS NOT TRUE").drop("__nth", "__n_shingles")
+    return once.unionByName(first)

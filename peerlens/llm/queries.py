@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontamination, language_id, mixing, sharding
 from .ngram_join import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +23,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of near equal bytes."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang").withColumn(
+        "size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    ).withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    return sharding.shard_documents(docs, 16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = language_id.train_language_model(docs.where(~language_id.held_out()))
+    return language_id.predict_languages(
+        docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model
+    ).drop("text")
+
+
+@query
+def op7_cube_sampling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    key = F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")
+    copies, targets = mixing.sampled_mix(documents(spark, sf_dir), key=key)
+    of = targets.withColumnRenamed("source", "of")
+    return copies.join(of, copies.source.eqNullSafe(of.of)).select(
+        F.decode("key", F.lit("UTF-8")).try_cast("long").alias("doc_id"), "size", "source_size", "target",
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source",
+    )
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 75 % of their five-word shingles."""
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which passages of benchmark items occur, with the best place of each item."""
+    return decontamination.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
