@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, sharding
+from peerlens.session import scratch_path
+
+from . import decontamination, language_id, mixing, quality, sharding, tokens
 from .ngram_join import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +46,16 @@ def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("text")
 
 
+@query
+def op6_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to shards and read back from them."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    tokens.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read_boundaries(spark, path)
+
+
 @query
 def op7_cube_sampling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
@@ -56,6 +68,14 @@ def op7_cube_sampling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality signals of every document and the verdict of its group's thresholds."""
+    return quality.judge_quality(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 75 % of their five-word shingles."""
