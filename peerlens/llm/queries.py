@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peerlens.session import scratch_path
 
-from . import decontamination, language_id, mixing, quality, sharding, tokens
+from . import decontamination, language_id, mixing, pii, quality, sharding, tokens
 from .ngram_join import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,18 @@ def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("text")
 
 
+@query
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and those that the trees add."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find_pii(docs, pii.train_pii_model(docs))
+    of = lambda kind: F.filter("pii", lambda x: x["base"] & (x["kind"] == kind))
+    return found.select(
+        "doc_id", *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.spans_text(F.filter("pii", lambda x: x["base"])), 256).alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"),
+    )
+
+
 @query
 def op6_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to shards and read back from them."""
@@ -63,7 +75,7 @@ def op7_cube_sampling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies, targets = mixing.sampled_mix(documents(spark, sf_dir), key=key)
     of = targets.withColumnRenamed("source", "of")
     return copies.join(of, copies.source.eqNullSafe(of.of)).select(
-        F.decode("key", F.lit("UTF-8")).try_cast("long").alias("doc_id"), "size", "source_size", "target",
+        F.decode("key", "UTF-8").try_cast("long").alias("doc_id"), "size", "source_size", "target",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source",
     )
 
