@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peerlens.session import scratch_path
 
-from . import decontamination, language_id, mixing, pii, quality, sharding, tokens
+from . import decontamination, language_id, mixing, pii, quality, sharding, substring_removal, tokens
 from .ngram_join import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing every repeated 400-byte string leaves of each document."""
+    return substring_removal.removal_digest(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 @query
 def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of near equal bytes."""
