@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peerlens.session import scratch_path
 
-from . import decontamination, language_id, mixing, pii, quality, sharding, substring_removal, tokens
+from . import decontamination, fuzzy_passages, language_id, mixing, pii, quality, sharding, substring_removal, tokens
 from .ngram_join import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_removal.removal_digest(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+@query
+def op2_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 40 words or more that documents share, 75 % of their words equal."""
+    return fuzzy_passages.find_fuzzy_passages(documents(spark, sf_dir))
+
+
 @query
 def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of near equal bytes."""
