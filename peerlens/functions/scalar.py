@@ -66,7 +66,18 @@ def parse_bool_text(value: Column, default: bool = False) -> Column:
 
 
 # Words that keep a column out of the basis-point display.
-NOT_RATES = ("impact", "effect", "weight", "total", "count", "volume", "distance")
+NOT_RATES = (
+    "impact",
+    "effect",
+    "distortion",
+    "weight",
+    "multiplier",
+    "total",
+    "volume",
+    "count",
+    "numerator",
+    "denominator",
+)
 
 
 def bps_columns(columns: list[str], metric: str = "fraud", every_rate: bool = False) -> list[str]:

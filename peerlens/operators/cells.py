@@ -48,6 +48,7 @@ def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, fla
     return long.groupBy(*CELL, "peer").agg(
         *[F.sum(s).alias(m) for m, s in zip(metrics, sums)],
         *([F.max(F.col(s) > 0).alias(positive(m)) for m, s in zip(metrics, sums)] if flags else []),
+        *([F.sum(F.when(F.col(s) >= 0, F.col(s))).alias(usable(m)) for m, s in zip(metrics, sums)] if flags else []),
     )
 
 
@@ -61,11 +62,16 @@ def positive(metric: str) -> str:
     return f"{metric}__positive"
 
 
+def usable(metric: str) -> str:
+    """Name of the prepared sum over fact rows whose metric is neither null nor negative."""
+    return f"{metric}__usable"
+
+
 def prepare_cells(df: DataFrame, roles: Roles, metrics: list[str] | None = None) -> DataFrame:
     """Scan the facts once for a whole run and write the compact result.
 
-    The operators accept this table in place of the facts (``CELL, peer``, sums
-    and positivity flags; null labels and the target included), so that a run
+    The operators accept this table in place of the facts (``CELL, peer``, sums, sums
+    of usable rows and positivity flags; null labels and the target included), so that a run
     with suppression, weights and exports does not read the facts once for each.
     """
     named = [roles.metric, roles.total, *roles.numerators.values(), *roles.secondary]

@@ -156,25 +156,29 @@ def prune_unit_rules(volumes: DataFrame, units: DataFrame, low: float, high: flo
     rows = join_keys(
         fractions(volumes, units).select(*CELL, "metric", "peer", "f"), planned, CELL
     )
-    need = {i: F.get(F.col("r.tiers"), F.lit(i))["need"] for i in (0, 1)}
-    tier = {i: F.get(F.col("r.tiers"), F.lit(i))["threshold"] for i in (0, 1)}
+    # As many tiers as any rule of the units has (one number to the driver).
+    tiers = range(planned.agg(F.max(F.size("r.tiers"))).first()[0] or 0)
+    need = {i: F.get(F.col("r.tiers"), F.lit(i))["need"] for i in tiers}
+    tier = {i: F.get(F.col("r.tiers"), F.lit(i))["threshold"] for i in tiers}
     cap_class = classify_cap(F.col("f"), F.col("r.cap"), low, high)
-    reach = {i: classify_tier_witness(F.col("f"), tier[i], low, high) for i in (0, 1)}
+    reach = {i: classify_tier_witness(F.col("f"), tier[i], low, high) for i in tiers}
     per_metric = rows.groupBy(*CELL, "metric", "r", "_kept").agg(
         F.count("*").alias("_n"),
         F.count_if(cap_class == "never").alias("_never"),
         F.count_if(cap_class == "uncertain").alias("_open"),
         *[
             F.count_if(tier[i].isNotNull() & (reach[i] != "impossible")).alias(f"_reach{i}")
-            for i in (0, 1)
+            for i in tiers
         ],
     )
-    short = [need[i].isNotNull() & (F.col(f"_reach{i}") < need[i]) for i in (0, 1)]
+    short = F.lit(False)
+    for i in tiers:
+        short = short | (need[i].isNotNull() & (F.col(f"_reach{i}") < need[i]))
     per_rule = per_metric.groupBy(*CELL, F.col("r.rule").alias("rule")).agg(
         F.max(~F.array_contains("_kept", F.col("r.rule"))).alias("dominated"),
         F.max(F.col("_n") < F.col("r.min_entities")).alias("too_few"),
         F.max(F.col("_never") > 0).alias("cap_never"),
-        F.max(short[0] | short[1]).alias("tier_unreachable"),
+        F.max(short).alias("tier_unreachable"),
         F.sum("_open").alias("uncertain_peers"),
     )
     return per_rule.withColumn(
@@ -197,7 +201,14 @@ def unit_outcomes(
     """
     extra = extra or []
     positive = join_keys(volumes.where(F.col("v") > 0), units.select(*CELL), CELL, "left_semi")
-    weighted = positive.join(weights, "peer").withColumn("_x", F.col("v") * F.col("w"))
+    if extra:
+        # Every vector judges every peer; the vectors are one small array value.
+        vectors = weights.agg(F.collect_set(F.struct(*extra))).scalar()
+        positive = positive.withColumn("_vector", F.explode(vectors)).select("*", "_vector.*").drop("_vector")
+    # A peer that a vector leaves out has weight 1.
+    weighted = positive.join(weights, [*extra, "peer"], "left").withColumn(
+        "_x", F.col("v") * F.coalesce("w", F.lit(1.0))
+    )
     keys = [*extra, *UNIT_METRIC]
     shares = add_group_values(weighted, keys, _total=F.sum("_x")).withColumn(
         "share", percent(F.col("_x"), F.col("_total"))
@@ -307,7 +318,10 @@ def coordinate_scores(
     Returns ``peer, w, gain, distance_change``.
     """
     grid = [low * (high / low) ** (i / (grid_size - 1)) for i in range(grid_size)]
-    positive = join_keys(volumes, units.select(*CELL), CELL, "left_semi").join(weights, "peer")
+    positive = (
+        join_keys(volumes, units.select(*CELL), CELL, "left_semi")
+        .join(weights, "peer", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
+    )
     rows = positive.withColumn("x", F.col("v") * F.col("w"))
     tops = (
         largest_k(rows.where(F.col("x") > 0), UNIT_METRIC, F.col("x"), "peer", 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.operators.cells import CELL, aggregate_cells, is_prepared, percent
+from peerlens.operators.cells import CELL, aggregate_cells, is_prepared, percent, usable
 from peerlens.operators.weights import attach_weights
 from peerlens.roles import Roles
 
@@ -17,11 +17,13 @@ def share_impact(df: DataFrame, roles: Roles, weights: DataFrame | None, extra:
     With ``extra`` keys (such as ``run_id``) in ``weights``, every run is answered
     at once.
     """
-    # A prepared table has been made from usable rows already.
-    usable = df if is_prepared(df) else df.where(F.col(roles.metric) >= 0)
-    cells = aggregate_cells(usable, roles, [roles.metric], with_whole=False).withColumnRenamed(
-        roles.metric, "v"
-    )
+    if is_prepared(df):
+        # Cells all of whose rows are unusable do not exist, as if made from the facts.
+        name = usable(roles.metric)
+        kept, value = df.where(F.col(name).isNotNull()), name
+    else:
+        kept, value = df.where(F.col(roles.metric) >= 0), roles.metric
+    cells = aggregate_cells(kept, roles, [value], with_whole=False).withColumnRenamed(value, "v")
     if roles.time:
         cells = cells.where(F.col("time_period").isNotNull())
     return share_impact_of_cells(cells, roles.target, weights, extra)

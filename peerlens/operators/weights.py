@@ -103,18 +103,18 @@ def fit_weights(
     low: float = 0.01,
     high: float = 10.0,
     rounds: int | None = None,
-    max_rounds: int = 50,
-    check_every: int = 4,
-    slack: float = COMPARISON_EPSILON,
+    settled: float = 1e-8,
 ) -> DataFrame:
     """Multipliers in ``[low, high]``, mean near 1, that respect every cell's cap.
 
     ``cells`` is ``run_id, CELL, peer, v, cap`` with only the cells to govern;
     ``cap`` may differ by row (a protected peer has its own).  ``population`` is
     ``run_id, peer``.  All runs - rules, presets, dimension subsets - advance
-    together in each round.  ``rounds`` asks for a fixed number; otherwise rounds
-    go on until no share exceeds its cap by more than ``slack``.  Returns
-    ``run_id, dimension, peer, multiplier``.
+    together in each round.  A round only lowers weights, so the rounds settle: they
+    go on until no weight of any run moves by more than the share ``settled``, which
+    is when every cap holds to about that share or the offending peer is at its lower
+    bound (``residual_by_run`` says which).  ``rounds`` asks for a fixed number
+    instead.  Returns ``run_id, dimension, peer, multiplier``.
     """
     scope = F.col("dimension") if per_dimension else F.lit("*")
     # A cell needs at least two positive peers for a multiplier to matter.
@@ -133,10 +133,19 @@ def fit_weights(
     # materialised; a chain of lazy rounds would double in size every time.
     governed = cut_lineage(governed)
     weights = cut_lineage(start.select("run_id", "scope", "peer", F.lit(1.0).alias("m")))
-    for done in range(1, (rounds or max_rounds) + 1):
-        weights = cut_lineage(scaling_round(governed, weights, low, high))
-        # Reading the stop test (one number) every few rounds is enough.
-        if rounds is None and done % check_every == 0 and residual_excess(governed, weights) <= slack:
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        after = scaling_round(governed, weights, low, high)
+        if rounds is not None:
+            weights = cut_lineage(after)
+            continue
+        keys = ["run_id", "scope", "peer"]
+        both = cut_lineage(after.join(weights.withColumnRenamed("m", "_before"), keys))
+        weights = both.drop("_before")
+        # The stop test: one number to the driver.
+        moved = both.agg(F.max(F.abs(1.0 - F.col("m") / F.col("_before")))).first()[0]
+        if moved is None or moved <= settled:
             break
     rescaled = rescale_mean_one(weights, ["run_id", "scope"], low, high)
     return rescaled.select(
@@ -147,13 +156,6 @@ def fit_weights(
     )
 
 
-def residual_excess(cells: DataFrame, weights: DataFrame) -> float:
-    """Largest remaining share over its cap (one number to the driver)."""
-    shares = cell_shares(cells.join(weights, ["run_id", "scope", "peer"]), ["run_id"])
-    worst = shares.agg(F.max(F.col("share") - F.col("cap"))).first()[0]
-    return float("-inf") if worst is None else worst
-
-
 def rescale_mean_one(weights: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
     """One common factor per run towards mean 1, limited so all stay in bounds."""
     stats = add_group_values(
@@ -175,17 +177,18 @@ def rescale_mean_one(weights: DataFrame, keys: list[str], low: float, high: floa
 
 
 def waterfill_mean(
-    weights: DataFrame, keys: list[str], low: float, high: float, target: float = 1.0, rounds: int = 8
+    weights: DataFrame, keys: list[str], low: float, high: float, target: float = 1.0
 ) -> DataFrame:
     """Scale the free weights to the mean, fix those that hit a bound, repeat.
 
     Weights that a round pushes out of bounds are fixed there; the rest share
-    what is left.  A round that fixes nothing reaches the mean and ends the run.
+    what is left.  A round that fixes nothing reaches the mean and ends the run, so
+    there are at most as many rounds as weights.
     """
     current = cut_lineage(
         weights.withColumn("_free", F.lit(True)).withColumn("_done", F.lit(False))
     )
-    for _ in range(rounds):
+    while True:
         stats = add_group_values(
             current,
             keys,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peerlens.operators import balanced, coverage, reconcile, suppression
 from peerlens.operators.cells import CELL
 from peerlens.operators.impact import rate_impact
-from peerlens.operators.rules import RULES
+from peerlens.operators.rules import RULES, THRESHOLDS
 from peerlens.plans import strategy
 from peerlens.plans import workload as w
 from peerlens.plans.benchmark_queries import volume_weights
@@ -57,8 +57,8 @@ def classify_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     volumes, units = universe(spark, sf_dir)
     rows = coverage.fractions(volumes, units)
     labels = [
-        coverage.classify_cap(F.col("f"), r.cap, LOW, HIGH).alias(f"cap_{r.cap:g}")
-        for r in RULES[:4]
+        coverage.classify_cap(F.col("f"), cap, LOW, HIGH).alias(f"cap_{cap:g}")
+        for cap in sorted({r.cap for r in RULES})
     ]
     return rows.select("unit_key", "metric", "peer", *labels)
 
@@ -69,7 +69,7 @@ def classify_tier_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = coverage.fractions(volumes, units)
     labels = [
         coverage.classify_tier_witness(F.col("f"), t, LOW, HIGH).alias(f"tier_{t:g}")
-        for t in (7.0, 15.0, 20.0)
+        for t in THRESHOLDS
     ]
     return rows.select("unit_key", "metric", "peer", *labels)
 

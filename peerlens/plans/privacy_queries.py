@@ -338,22 +338,28 @@ def fit_weights_per_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fit_weights_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fit run to its tolerance, with what is left over the cap."""
+    """The fit run until it settles: what must hold of it over the cells it governs."""
     cells = audit_cells(spark, sf_dir)
     runs = cells.select(
         F.lit("r").alias("run_id"), *CELL, "peer", "v", F.lit(30.0).alias("cap"),
         F.lit(5).alias("min_entities"),
     )
     table = cut_lineage(strategy.fit_for_runs(runs, runs.select("run_id", "peer").distinct()))
-    shares = weighted_shares(cells, table).withColumn("cap", F.lit(30.0)).withColumn("run_id", F.lit("r"))
-    residual = audit.residual_by_run(shares)
+    governed = weights.fixable_cells(
+        runs, F.col("cap"), F.col("min_entities"), strategy.LOW, strategy.HIGH, strategy.TOLERANCE, ["run_id"]
+    )
+    shares = weighted_shares(governed.drop("run_id"), table).withColumn("run_id", F.lit("r"))
+    residual = audit.residual_by_run(shares).select(
+        "run_id", "over_cap_rows", F.round("max_excess_pp", 5).alias("max_excess_pp")
+    )
+    rows = shares.agg(F.count("*").alias("governed_rows"))
     bounds = table.groupBy("run_id").agg(
         F.count("*").alias("peers"),
         (F.min("multiplier") >= strategy.LOW).alias("above_low"),
         (F.max("multiplier") <= strategy.HIGH).alias("below_high"),
         (F.abs(F.avg("multiplier") - 1.0) < 1e-6).alias("mean_one"),
     )
-    return tidy(residual.join(bounds, "run_id").drop("run_id"))
+    return tidy(residual.join(bounds, "run_id").drop("run_id").withColumn("governed_rows", rows.scalar()))
 
 
 @query
@@ -373,7 +379,7 @@ def raw_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def waterfill_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = cut_lineage(raw_multipliers(spark, sf_dir))
-    return tidy(weights.waterfill_mean(raw, ["run_id"], 0.05, 3.0, rounds=6).drop("run_id"))
+    return tidy(weights.waterfill_mean(raw, ["run_id"], 0.05, 3.0).drop("run_id"))
 
 
 @query

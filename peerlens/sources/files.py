@@ -71,9 +71,14 @@ def preaggregate(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame
 
 
 def read_sql_query(spark: SparkSession, path: str) -> DataFrame:
-    """Run the statement held in a text file against the session catalog."""
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect())
-    return normalize_columns(spark.sql(text.strip().rstrip(";")))
+    """Run the statement held in a text file against the session catalog.
+
+    The path must name exactly one file.
+    """
+    texts = spark.read.text(path, wholetext=True).take(2)
+    if len(texts) != 1:
+        raise ValueError(f"not exactly one statement file: {path!r}")
+    return normalize_columns(spark.sql(texts[0]["value"].strip().rstrip(";")))
 
 
 def read_sql_table(spark: SparkSession, name: str) -> DataFrame:
