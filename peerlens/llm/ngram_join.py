@@ -10,9 +10,10 @@ Method: size-banded tiles with hashed bitmap signatures.
    any two linked documents to meet.  A tile holds the documents of one posted
    shingle and size band; neighbouring bands meet too, as linked sizes differ by
    a factor t at most.
-3. In a tile all compare with its leader first; after the linked ones are joined
-   to components, only pairs of different components are left.  They are compared
-   in square blocks of a tile, so large tiles are split and none is left out.
+3. In a tile all compare with its leader first, then each with the nearest
+   document of another component, as links join documents to components.  Then all
+   pairs of different components that are left are compared.  Large tiles are
+   compared in square blocks, and none is left out.
 4. A pair is compared by its 512-bit parity signatures first: the bits in which
    they differ bound the sets' difference from below, so the overlap from above.
    Only what may still link is intersected exactly, over the sorted arrays.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
@@ -271,10 +272,10 @@ def _sizes_fit(percent: int) -> Column:
     return (F.least("n", "n_b") * 100) >= (F.greatest("n", "n_b") * percent)
 
 
-def _leader_pairs(postings: DataFrame, seed: int, percent: int) -> DataFrame:
+def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Every posting with the leader of its tile and of the neighbouring size bands' tiles."""
     leaders = postings.groupBy("h", "band").agg(
-        F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(seed))).alias("lead")
+        F.min_by(F.struct("sid", "n"), F.xxhash64("sid")).alias("lead")
     )
     near = leaders.select("h", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"),
                           F.col("lead.sid").alias("b"), F.col("lead.n").alias("n_b"))
@@ -287,8 +288,11 @@ def _leader_pairs(postings: DataFrame, seed: int, percent: int) -> DataFrame:
 _TILE = "a long, b long"
 
 
-def _tile_pairs(percent: int):
-    """Pairs of different components within a block pair that the signatures let pass."""
+def _tile_pairs(percent: int, nearest: bool):
+    """Pairs of different components within a block pair that the signatures let pass.
+
+    With ``nearest`` each document names only the one that its signature is nearest to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +309,11 @@ def _tile_pairs(percent: int):
                     other = other[small * 100 >= large * percent]
                     differ = np.bitwise_count(sig[other] ^ sig[i]).sum(1).astype(np.int64)
                     total = n[other] + n[i]
-                    other = other[(100 + percent) * (total - differ) >= 2 * percent * total]
+                    passes = (100 + percent) * (total - differ) >= 2 * percent * total
+                    if nearest and passes.any():
+                        passes = np.flatnonzero(passes)
+                        passes = passes[[(differ[passes] / total[passes]).argmin()]]
+                    other = other[passes]
                     left.append(np.minimum(sid[other], sid[i]))
                     right.append(np.maximum(sid[other], sid[i]))
             a = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -315,8 +323,8 @@ def _tile_pairs(percent: int):
     return run
 
 
-def _cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a posted shingle that lie in different components, in square blocks."""
+def _cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """All pairs (or the nearest of each document) of a posted shingle that lie in different components, in square blocks."""
     known = postings.join(roots, postings.sid == roots.node, "left").select(
         "h", "sid", F.coalesce("root", "sid").alias("root")
     )
@@ -335,7 +343,7 @@ def _cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, percent
     return (
         placed.join(slim, "sid").groupBy("h", "i", "j")
         .agg(F.collect_list(F.struct("sid", "n", "root", "side", *[f"s{i}" for i in range(SIGNATURE)])).alias("rows"))
-        .select("rows").mapInArrow(_tile_pairs(percent), _TILE).distinct()
+        .select("rows").mapInArrow(_tile_pairs(percent, nearest), _TILE).distinct()
     )
 
 
@@ -351,8 +359,8 @@ def near_duplicates(
     Equal sets are one class throughout and are never paired.  A null id stays
     null and its component is the smallest id of the class's component (null if
     none).  Repeated rows give repeated results.  Ids are cast to long; other
-    columns are not read.  ``rounds`` only says how often tiles are tried with a
-    leader before the exact rest; it does not change the result.
+    columns are not read.  ``rounds`` only says how often the nearest documents are
+    tried before the exact rest; it does not change the result.
     """
     profile = write_scratch(shingle_profile(docs, id_col, text_col, size), "profile")
     # Every document of a class speaks for it: a silent one in a block has its speaker's count.
@@ -369,27 +377,13 @@ def near_duplicates(
         "sets",
     )
     postings = write_scratch(_postings(sets, percent), "postings")
-    links, roots = None, None
+    links = write_scratch(_verified(_leader_pairs(postings, percent), sets, percent), "links")
+    roots = components(links)
     for turn in range(rounds + 1):
-        if roots is None:
-            pairs = _leader_pairs(postings, turn, percent)
-        else:
-            open_pairs = postings
-            if turn < rounds:
-                # Tiles of one component have nothing left to compare.
-                known = postings.join(roots, postings.sid == roots.node, "left").select(
-                    "h", "sid", "n", "band", F.coalesce("root", "sid").alias("root"))
-                mixed = known.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-                open_pairs = known.join(mixed.select("h"), "h", "left_semi")
-                side = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-                other = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-                pairs = _leader_pairs(open_pairs, turn, percent).join(side, "a", "left").join(other, "b", "left").where(
-                    F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            else:
-                pairs = _cross_pairs(postings, sets, roots, percent)
+        pairs = _cross_pairs(postings, sets, roots, percent, nearest=turn < rounds)
         found = write_scratch(_verified(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        if turn == 0 or not found.isEmpty():
+        if not found.isEmpty():
+            links = links.unionByName(found)
             roots = components(links)
     keyed = reps.select("sid", "k1", "k2")
     lead = keyed.select(F.col("sid").alias("root"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
@@ -407,20 +401,20 @@ def near_duplicates(
 def keep_representatives(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT
 ) -> DataFrame:
-    """``docs`` with one row of each component: the smallest id, of equal ids the least text hash.
+    """``docs`` with one row of each component, that of the smallest id.
 
     Documents with an empty set (null, empty or blank text) and rows without an id
-    are in no component and stay.  Columns are unchanged, whatever their names.
+    stay.  Rows that repeat id and text (with at least a word) count once; rows of
+    one id with different texts share the id's fate.  Columns are unchanged,
+    whatever their names.
     """
     found = near_duplicates(docs, id_col, text_col, size, percent)
-    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    # An id that occurs again with a linked text: only those rows are looked at once more.
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
+    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    ids = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).count()
+    again = ids.where("count > 1").select("__id")
     if again.isEmpty():
         return kept
-    once = kept.join(again, F.col(id_col) == F.col("__again"), "left_anti")
-    best = Window.partitionBy(id_col, "__n_shingles").orderBy(F.xxhash64(text_col))
-    twice = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__n_shingles", F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    first = twice.withColumn("__nth", F.row_number().over(best)).where("__nth = 1 OR __n_shingles IS NOT TRUE").drop("__nth", "__n_shingles")
-    return once.unionByName(first)
+    repeated = F.col(id_col).cast("long") == F.col("__id")
+    once = kept.join(again, repeated, "left_anti")
+    return once.unionByName(kept.join(again, repeated, "left_semi").dropDuplicates([id_col, text_col]))
