@@ -217,13 +217,13 @@ def attach(source: str, weights: str, name: str) -> str:
     )
 
 
-def runs_for(where: str) -> list[str]:
+def runs_for(where: str, cap: str = "r.cap") -> list[str]:
     return [
         FACT,
         RULE_ROWS,
         cells(target=None),
         "np AS (SELECT count(DISTINCT peer) AS n FROM cells)",
-        f"runs AS (SELECT r.rule AS run_id, c.*, r.cap, r.min_entities FROM cells c, rules r, np WHERE {where})",
+        f"runs AS (SELECT r.rule AS run_id, c.*, {cap} AS cap, r.min_entities FROM cells c, rules r, np WHERE {where})",
         "pop AS (SELECT DISTINCT run_id, peer FROM runs)",
         *fixable("runs", "ok_runs"),
         *fit("ok_runs", 3, population="pop"),
@@ -234,7 +234,7 @@ def runs_for(where: str) -> list[str]:
 
 
 SQL["strategy_outcome"] = statement(
-    *runs_for("n >= r.min_entities"),
+    *runs_for("n >= r.min_entities", "CASE WHEN peer = 'E1' THEN least(r.cap, 25.0) ELSE r.cap END"),
     f"jd AS (SELECT run_id, r.rule, bool_and(({ABOVE}) = 0 AND participants >= r.min_entities AND {TIERS}) AS passed FROM ev e, rules r WHERE participants >= mn GROUP BY ALL)",
     "hl AS (SELECT run_id, coalesce(max(ps) <= 25.0, TRUE) AS held FROM (SELECT run_id, mn, dimension, category, count(*) AS k, max(share) FILTER (WHERE peer = 'E1') AS ps FROM sh GROUP BY ALL) WHERE k >= mn GROUP BY run_id)",
     "ow AS (SELECT jd.*, held FROM jd JOIN hl USING (run_id))",

@@ -7,7 +7,7 @@ one evaluation instead of a driver loop over fits.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +67,15 @@ def fit_for_runs(
     )
 
 
-def per_rule_runs(cells: DataFrame, peers: DataFrame, merchant: bool) -> DataFrame:
-    """One run per rule that the peer population may use."""
+def per_rule_runs(
+    cells: DataFrame, peers: DataFrame, merchant: bool, protected: str | None = None
+) -> DataFrame:
+    """One run per rule that the peer population may use; a protected peer has its own cap."""
     usable = peers.agg(applicable(F.count("peer"), merchant)).scalar()
+    cap = F.when(F.col("peer") == F.lit(protected), F.least(F.col("r.cap"), F.lit(PROTECTED_CAP)))
     return cells.select("*", F.explode(usable).alias("r")).select(
-        F.col("r.rule").alias("run_id"), *CELL, "peer", "v", "r.cap", "r.min_entities"
+        F.col("r.rule").alias("run_id"), *CELL, "peer", "v", F.coalesce(cap, F.col("r.cap")).alias("cap"),
+        "r.min_entities",
     )
 
 
@@ -92,7 +96,7 @@ def strategy_outcome(
     """
     cells = cut_lineage(governed_cells(df, roles))
     peers = cells.select("peer").distinct()
-    runs = cut_lineage(per_rule_runs(cells, peers, merchant))
+    runs = cut_lineage(per_rule_runs(cells, peers, merchant, protected))
     population = runs.select("run_id", "peer").distinct()
     weights = cut_lineage(fit_for_runs(runs, population, rounds=rounds))
     weighted = attach_weights(
@@ -258,8 +262,8 @@ def best_preset(comparison: DataFrame) -> DataFrame:
 def subset_runs(dimensions: tuple[str, ...], max_tests: int) -> list[tuple[str, ...]]:
     """Dimension subsets, largest first, canonical order within a size."""
     ordered = sorted(dimensions)
-    found = [s for size in range(len(ordered), 0, -1) for s in combinations(ordered, size)]
-    return found[:max_tests]
+    found = (s for size in range(len(ordered), 0, -1) for s in combinations(ordered, size))
+    return list(islice(found, max_tests))
 
 
 def search_dimension_subsets(
