@@ -80,7 +80,11 @@ def prepare_cells(df: DataFrame, roles: Roles, metrics: list[str] | None = None)
 
 
 def is_prepared(df: DataFrame) -> bool:
-    return {*CELL, "peer"} <= set(df.columns)
+    """Whether ``df`` comes from ``prepare_cells``: it alone writes the marked sums.
+
+    Facts that happen to have columns named like a cell's are still facts.
+    """
+    return {*CELL, "peer"} <= set(df.columns) and any(usable(c) in df.columns for c in df.columns)
 
 
 def of_first_dimension(prepared: DataFrame, roles: Roles) -> DataFrame:

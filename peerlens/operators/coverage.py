@@ -673,9 +673,13 @@ def coverage_certificate(partition: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def release_decision(
-    failures: DataFrame, partition: DataFrame, search_complete: bool = True
+    failures: DataFrame, partition: DataFrame, search_complete: bool
 ) -> DataFrame:
-    """Authorised only when verified, searched to the end and not empty."""
+    """Authorised only when verified, searched to the end and not empty.
+
+    ``search_complete`` is the caller's statement about its weight search; it has no
+    default, so that nobody claims it by leaving it out.
+    """
     released = partition.agg(F.count_if("released")).scalar()
     verdict = failures.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures")).withColumn(
         "released_units", released

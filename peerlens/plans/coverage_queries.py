@@ -185,7 +185,7 @@ def universe_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def release_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     volumes, units, vector, partition = partition_of(spark, sf_dir)
     failures = coverage.verify_release(volumes, units, partition, vector, LOW, HIGH, PROTECTED)
-    return tidy(coverage.release_decision(failures, partition))
+    return tidy(coverage.release_decision(failures, partition, search_complete=True))
 
 
 @query

@@ -50,3 +50,11 @@ def test_one_statement_file_only(spark, tmp_path):
     (tmp_path / "b.sql").write_text("SELECT 2 AS x")
     with pytest.raises(ValueError):
         files.read_sql_query(spark, str(tmp_path))
+
+
+def test_facts_named_like_cells_are_facts(spark):
+    facts = spark.createDataFrame(
+        [("T", "x", "a", "b", "c", "d", 1.0)], "issuer string, card string, dimension string, category string, time_period string, peer string, txn double"
+    )
+    assert not cells.is_prepared(facts)
+    assert cells.is_prepared(cells.prepare_cells(facts.drop("dimension", "category", "time_period", "peer"), ROLES, ["txn"]))

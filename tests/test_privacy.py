@@ -207,7 +207,7 @@ def test_release_is_exact_and_verifies(spark):
     assert got == {"safe": (True, "5/25"), "dominated": (False, None), "hidden": (False, None)}
     failures = coverage.verify_release(volumes, units, partition, neutral(volumes), 0.5, 2.0)
     assert failures.agg(F.sum("n")).first()[0] == 0
-    assert coverage.release_decision(failures, partition).first()["authorized"] is True
+    assert coverage.release_decision(failures, partition, search_complete=True).first()["authorized"] is True
 
 
 @pytest.mark.parametrize(
