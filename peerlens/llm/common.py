@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from peerlens.session import scratch_path
 
-#: Bytes of text handled together in a task; arrays of eight bytes a byte stay near 32 MB.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text handled together in a task; arrays of eight bytes a byte stay near 16 MB.
+CHUNK_BYTES = 2 << 20
 #: Documents handled together, so that a 16-bit number can name one of them.
 CHUNK_DOCS = 60_000
 
