@@ -31,7 +31,7 @@ SHARD_BYTES, ENCODE_CHARS = 8 << 20, 2 << 20
 #: Ones between two entries of the select directory.
 SELECT_STEP = 256
 #: Pieces of text whose ids a Python worker keeps.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 
 @dataclass
@@ -91,16 +91,20 @@ class EliasFano:
         return out.astype(np.int64)
 
 
-#: The split that goes before the byte-level vocabulary's merges.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The split that goes before the byte-level vocabulary's merges.  Words come
+#: first, which no other alternative could begin; runs need no way back.
+_SPLIT = (
+    r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]++"
+    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+)
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, with a memory of pieces already encoded.
 
     Merges never cross the pieces of the vocabulary's split, so a piece's ids are
-    kept and reused.  Unknown pieces are encoded by the library, those that begin
-    with a space and letters many at a time.  Texts that hold a special token's
+    kept and reused.  Unknown pieces are encoded by the library, words many at a
+    time.  Texts that hold a special token's
     string, and tokenizers with another split, normalizer or post-processor, go to
     the library whole.
     """
@@ -122,19 +126,25 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.pieces = regex.compile(_SPLIT).findall
-        self.joinable = regex.compile(r" \p{L}+").fullmatch
+        self.spaced, self.bare = regex.compile(r" \p{L}+").fullmatch, regex.compile(r"\p{L}+").fullmatch
         self.memory: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
-        together = [x for x in new if self.joinable(x)]
-        alone = [x for x in new if not self.joinable(x)]
-        for first in range(0, len(together), 4096):
-            group = together[first : first + 4096]
-            coded = self.tokenizer.encode("".join(group), add_special_tokens=False)
-            ids, word = np.array(coded.ids, self.kind), np.array(coded.word_ids, np.int64)
-            edge = np.searchsorted(word, np.arange(len(group) + 1))
-            for piece, a, b in zip(group, edge[:-1], edge[1:]):
-                self.memory[piece] = ids[a:b].tobytes()
+        # Words with a space before them stand next to each other; words without are
+        # parted by line breaks, which are pieces of their own.
+        spaced, bare, alone = [], [], []
+        for piece in new:
+            (spaced if self.spaced(piece) else bare if self.bare(piece) else alone).append(piece)
+        for pieces, part, step in ((spaced, "", 1), (bare, "\n", 2)):
+            for first in range(0, len(pieces), 4096):
+                group = pieces[first : first + 4096]
+                coded = self.tokenizer.encode(part.join(group), add_special_tokens=False)
+                ids, word = np.array(coded.ids, self.kind), np.array(coded.word_ids, np.int64)
+                begin = np.searchsorted(word, step * np.arange(len(group)))
+                end = np.searchsorted(word, step * np.arange(len(group)) + 1)
+                data, width = ids.tobytes(), ids.itemsize
+                for piece, a, b in zip(group, (begin * width).tolist(), (end * width).tolist()):
+                    self.memory[piece] = data[a:b]
         for piece, coded in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
             self.memory[piece] = np.array(coded.ids, self.kind).tobytes()
 
@@ -144,8 +154,7 @@ class Encoder:
         split = [[] if w else self.pieces(t) for t, w in zip(texts, whole)]
         if len(self.memory) > CACHE_PIECES:
             self.memory.clear()
-        new = set().union(*split) - self.memory.keys() if split else set()
-        if new:
+        if new := set().union(*split) - self.memory.keys():
             self._learn(new)
         get = self.memory.__getitem__
         return [
