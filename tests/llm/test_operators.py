@@ -129,6 +129,50 @@ def test_chain_equals_quadratic_search():
         assert value == pytest.approx(max(best))
 
 
+def test_passages_around_a_unique_body_are_found(spark):
+    """A header and a footer that both documents have, with bodies of their own between, are two passages."""
+    rnd = random.Random(21)
+    new = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    for size, one, two in ((60, 150, 150), (60, 90, 140), (60, 250, 180), (300, 1500, 1100)):
+        head, foot = new(size), new(size)
+        rows = [(1, " ".join(head + new(one) + foot)), (2, " ".join(head + new(two) + foot))]
+        found = fuzzy_passages.find_fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        n = {1: 2 * size + one, 2: 2 * size + two}
+        for r in found:
+            assert r.similarity >= 0.95
+        for first in (True, False):
+            assert any(
+                all(b <= 3 and e >= size - 3 if first else b <= n[d] - size + 3 and e >= n[d] - 3
+                    for d, b, e in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)))
+                for r in found
+            ), (size, one, two, first)
+
+
+def test_cut_finds_every_stretch_of_passage_length():
+    """cut() against all stretches of one diagonal, and its rows against their words."""
+    rnd = random.Random(22)
+    for _ in range(60):
+        x = np.arange(rnd.randint(90, 240))
+        y = x.copy()
+        for _ in range(rnd.randint(1, 4)):
+            at, n, share = rnd.randrange(len(x)), rnd.randint(10, 120), rnd.choice((0.2, 0.5, 1.0))
+            for i in range(at, min(len(x), at + n)):
+                if rnd.random() < share:
+                    y[i] = -1
+        same = x == y
+        sums = np.concatenate(([0], np.cumsum(same)))
+        got = fuzzy_passages.cut(x, y, [(0, 0, len(x))])
+        free = np.ones(len(x), bool)
+        for a, b, c, d, equal in got:
+            assert (a, b) == (c, d) and free[a:b].all() and b - a >= 40
+            assert equal == sums[b] - sums[a] >= 0.75 * (b - a)
+            free[a:b] = False
+        for i in range(len(x)):
+            for j in range(i + 40, len(x) + 1):
+                if same[i] and same[j - 1] and sums[j] - sums[i] >= 0.75 * (j - i):
+                    assert not free[i:j].all()
+
+
 def test_sharding(odd, empty):
     out = sharding.shard_documents(odd, 5).collect()
     assert len(out) == odd.count() and list(out[0].asDict())[-2:] == ["shard", "slot"]
