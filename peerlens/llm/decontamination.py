@@ -1,7 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Each benchmark item is cut into passages of at most ``PASSAGE`` bytes that overlap
-by half.  A region of a document within k edits of a passage of m bytes shares at
+by half, and into ones of ``SHORT`` bytes every ``STRIDE`` bytes.  Any ``QUOTE`` bytes
+of an item hold a whole short passage; any ``SHORT`` bytes of it begin within half a
+stride of one, which costs fewer edits than it may have, so a verbatim quote of that
+length is found at every offset.  A region of a document within k edits of a passage of m bytes shares at
 least m - q + 1 - k q of its q-grams with it, and all on diagonals at most k
 apart.  So shared q-grams are counted in overlapping diagonal bands, only bands
 that reach the bound are kept, and those are verified by a banded alignment of the
@@ -27,7 +30,11 @@ from .common import LOWER, SPACE, chunks, mix, text_bytes
 Q = 8
 #: Edits allowed per byte of a passage.
 RATE = 0.08
-PASSAGE = 120
+PASSAGE, SHORT, STRIDE = 120, 64, 8
+#: Bytes of an item that hold a whole short passage at every offset.
+QUOTE = SHORT + STRIDE - 1
+#: Regions aligned at once.
+_ALIGNED = 1 << 14
 #: Bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 22
@@ -54,17 +61,26 @@ class PassageIndex:
     passage: np.ndarray
     offset: np.ndarray
     filter: np.ndarray
+    #: The q-grams of whole items in the order of the keys: places by key, item's number, offset; least need of an item.
+    home_first: np.ndarray
+    home: np.ndarray
+    home_offset: np.ndarray
+    home_need: np.ndarray
 
     @staticmethod
     def build(items: list[tuple[int, str | None]], rate: float = RATE) -> PassageIndex:
-        item, text = [], []
+        item, text, whole, source = [], [], [], []
         for key, value in items:
             data = _FOLD[np.frombuffer((value or "").encode("utf-8", "replace"), np.uint8)]
-            starts = [0] if len(data) <= PASSAGE else [*range(0, len(data) - PASSAGE, PASSAGE // 2), len(data) - PASSAGE]
-            for s in starts:
-                if len(part := data[s : s + PASSAGE]) >= Q:
-                    item.append(key)
-                    text.append(part)
+            whole.append(_grams(data))
+            # An item that is one passage of SHORT bytes or fewer has that one only.
+            cuts = [(PASSAGE, PASSAGE // 2), (SHORT, STRIDE)] if len(data) > SHORT else [(PASSAGE, PASSAGE)]
+            for size, stride in cuts:
+                for s in [*range(0, len(data) - size, stride), max(0, len(data) - size)]:
+                    if len(part := data[s : s + size]) >= Q:
+                        item.append(key)
+                        text.append(part)
+                        source.append(len(whole) - 1)
         sizes = np.array([len(t) for t in text], np.int64)
         budget = np.array([edit_budget(m, rate) for m in sizes], np.int64)
         gram = [_grams(t) for t in text]
@@ -75,9 +91,17 @@ class PassageIndex:
         keys, first = np.unique(flat[order], return_index=True)
         bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
         bits[(mix(keys) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        need = sizes - Q + 1 - Q * budget
+        flat_home = np.concatenate(whole) if whole else np.zeros(0, np.uint64)
+        home = np.repeat(np.arange(len(whole)), [len(g) for g in whole])
+        home_offset = np.concatenate([np.arange(len(g)) for g in whole]) if whole else np.zeros(0, np.int64)
+        by_key = np.argsort(flat_home, kind="stable")
+        home_need = np.full(len(whole), np.iinfo(np.int64).max)
+        np.minimum.at(home_need, np.array(source, np.int64), need)
         return PassageIndex(
-            np.array(item, np.int64), text, budget, sizes - Q + 1 - Q * budget, keys, np.append(first, len(flat)),
+            np.array(item, np.int64), text, budget, need, keys, np.append(first, len(flat)),
             passage[order], offset[order], bits,
+            np.append(np.searchsorted(flat_home[by_key], keys), len(flat_home)), home[by_key], home_offset[by_key], home_need,
         )
 
 
@@ -95,6 +119,27 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(base, count) + np.repeat(first, count)
 
 
+def _promising(index: PassageIndex, place_in_doc: np.ndarray, slot: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hits with enough others in a diagonal band of an item for its least demanding passage.
+
+    A passage's diagonals are its item's but for a constant.  Bands are counted by a
+    hash; a collision only lets more hits through.
+    """
+    count = index.home_first[slot + 1] - index.home_first[slot]
+    place = _ranges(index.home_first[slot], count)
+    hit = np.repeat(np.arange(len(slot)), count)
+    item = index.home[place]
+    band = np.floor_divide(place_in_doc[hit] - index.home_offset[place], int(index.budget.max()) + 1)
+    pair = mix((doc[hit] * len(index.home_need) + item).astype(np.uint64))
+    bits = max(16, int(2 * len(hit)).bit_length() + 2)
+    one, two = ((mix(pair + b.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64) for b in (band, band - 1))
+    total = np.bincount(one, minlength=1 << bits) + np.bincount(two, minlength=1 << bits)
+    ok = np.maximum(total[one], total[two]) >= index.home_need[item]
+    keep = np.zeros(len(slot), dtype=bool)
+    keep[hit[ok]] = True
+    return keep
+
+
 def _regions(index: PassageIndex, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Document, passage and first diagonal of the bands that reach the lemma's bound."""
     none = (np.zeros(0, np.int64),) * 4
@@ -121,6 +166,8 @@ def _regions(index: PassageIndex, data: np.ndarray, offsets: np.ndarray) -> tupl
     left, right = np.searchsorted(at, at - span), np.searchsorted(at, at + span, side="right")
     lonely = right - left < index.need.min()
     at, slot, doc = at[~lonely], slot[~lonely], doc[~lonely]
+    keep = _promising(index, at - offsets[doc], slot, doc)
+    at, slot, doc = at[keep], slot[keep], doc[keep]
     count = index.first[slot + 1] - index.first[slot]
     place = _ranges(index.first[slot], count)
     at, doc = np.repeat(at, count), np.repeat(doc, count)
@@ -145,20 +192,20 @@ def _regions(index: PassageIndex, data: np.ndarray, offsets: np.ndarray) -> tupl
 
 
 def banded_alignment(passage: np.ndarray, region: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of ``passage`` against any stretch of each row of ``region``, and the stretch's end.
+    """Least edits of each row of ``passage`` against any stretch of that row of ``region``, and the stretch's end.
 
     Row r of ``region`` holds the bytes on diagonals 0 to width - 1 relative to the
-    passage: region[r, i + d] faces passage[i] on diagonal d (0 pads, it equals no
+    passage: region[r, i + d] faces passage[r, i] on diagonal d (0 pads, it equals no
     byte of a text).  Cells outside the band are not visited.
     """
     n, d = len(region), np.arange(width)
     cost = np.zeros((n, width), np.int32)  # a match may begin on any diagonal
-    for i in range(len(passage)):
-        step = cost + (region[:, i : i + width] != passage[i])
+    for i in range(passage.shape[1]):
+        step = cost + (region[:, i : i + width] != passage[:, i : i + 1])
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
         cost = np.minimum.accumulate(step - d, axis=1) + d
     best = cost.argmin(1)
-    return cost[np.arange(n), best], best + len(passage)
+    return cost[np.arange(n), best], best + passage.shape[1]
 
 
 def find_passages(index: PassageIndex, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
@@ -169,20 +216,23 @@ def find_passages(index: PassageIndex, data: np.ndarray, offsets: np.ndarray) ->
         at = offsets[a : b + 1] - offsets[a]
         text = folded[offsets[a] : offsets[b]]
         doc, passage, diagonal, _ = _regions(index, text, at)
-        for p in np.unique(passage):
-            mine = np.flatnonzero(passage == p)
-            pattern, k = index.text[p], int(index.budget[p])
+        sizes = np.array([len(index.text[p]) for p in passage], np.int64)
+        groups = [np.flatnonzero(sizes == m) for m in np.unique(sizes)]
+        for mine in (g[i : i + _ALIGNED] for g in groups for i in range(0, len(g), _ALIGNED)):
+            # Passages of one length have one budget.
+            pattern, k = np.stack([index.text[p] for p in passage[mine]]), int(index.budget[passage[mine[0]]])
+            m = pattern.shape[1]
             width = 2 * (k + 1) + 2 * k
             low = diagonal[mine] - k
-            place = low[:, None] + np.arange(width + len(pattern))
+            place = low[:, None] + np.arange(width + m)
             size = (at[doc[mine] + 1] - at[doc[mine]])[:, None]
             valid = (place >= 0) & (place < size)
             region = np.where(valid, text[np.clip(place + at[doc[mine]][:, None], 0, max(0, len(text) - 1))], 0)
             edits, end = banded_alignment(pattern, region, width)
             for r in np.flatnonzero(edits <= k):
-                d, item = a + int(doc[mine[r]]), int(index.item[p])
+                d, item = a + int(doc[mine[r]]), int(index.item[passage[mine[r]]])
                 stop = int(min(max(0, low[r] + end[r]), size[r, 0]))
-                found = (int(edits[r]), max(0, stop - len(pattern)), stop)
+                found = (int(edits[r]), max(0, stop - m), stop)
                 if item not in best[d] or found < best[d][item]:
                     best[d][item] = found
     return [[(item, x[1], x[2], x[0]) for item, x in sorted(hits.items())] for hits in best]

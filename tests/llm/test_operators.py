@@ -416,3 +416,23 @@ def test_decontamination(spark, odd, empty):
     assert clean == ({d for d, _ in rows} | {90, 91}) - {d for d, _ in want}
     assert decontamination.find_contamination(empty, bench).count() == 0
     assert decontamination.decontaminate(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_quotes_of_the_stated_length_are_found_at_every_offset():
+    rnd = random.Random(31)
+    item = words(90, rnd).encode()[:300].decode(errors="ignore")
+    index = decontamination.PassageIndex.build([(7, item)])
+    data = item.encode()
+    noise = lambda: words(8, rnd, "vwxyz").encode()
+    docs = [noise() + b" " + data[i : i + 130] + b" " + noise() for i in range(len(data) - 130 + 1)]
+    docs += [noise() + b" " + data[i : i + decontamination.SHORT] + b" " + noise() for i in range(len(data) - decontamination.SHORT + 1)]
+    for i in range(len(data) - decontamination.QUOTE + 1):
+        quote = bytearray(data[i : i + decontamination.QUOTE])
+        for _ in range(decontamination.edit_budget(decontamination.SHORT)):
+            quote[rnd.randrange(len(quote))] = ord("#")
+        docs.append(noise() + b" " + bytes(quote) + b" " + noise())
+    clean = [noise() for _ in range(20)]
+    offsets = np.concatenate(([0], np.cumsum([len(d) for d in docs + clean]))).astype(np.int64)
+    found = decontamination.find_passages(index, np.frombuffer(b"".join(docs + clean), np.uint8), offsets)
+    assert all([h[0] for h in hits] == [7] for hits in found[: len(docs)])
+    assert not any(found[len(docs) :])
