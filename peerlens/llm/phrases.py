@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, mix, shuffle_parts, text_bytes, write_scratch
@@ -29,7 +29,7 @@ from .vocabulary import coded_words, count_words, part_codes
 #: Suffixes in the memory budget of a group (about 28 bytes each, three times so while they are sorted).
 GROUP_SUFFIXES = 1 << 20
 #: Words whose suffixes a task adds up before it hands them on.
-HELD_WORDS = 2_000_000
+HELD_WORDS = 1 << 19
 
 #: Bytes that end a piece: . , ; : ! ? and \n to \r.
 BREAKS = np.zeros(256, dtype=bool)
@@ -183,6 +183,12 @@ def phrase_counts(texts: DataFrame, seed: int, vocabulary: DataFrame, least: int
     return write_scratch(nodes, "phrases")
 
 
+def score_of(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
+    """floor(1000000 a a / (l r)) in decimals of 38 digits, exact while a is below 10 ** 15."""
+    top = F.lit(1_000_000).cast("decimal(7,0)") * a.cast("decimal(15,0)") * a.cast("decimal(15,0)")
+    return F.call_function("div", top, l.cast("decimal(18,0)") * r.cast("decimal(18,0)"))
+
+
 def collocations(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, top: int = 2000,
     inside_pct: int = 50, group_suffixes: int = GROUP_SUFFIXES,
@@ -228,15 +234,10 @@ def collocations(
             F.array(F.struct(F.col("f1").alias("l"), F.col("tail").alias("r")), F.struct(F.col("head").alias("l"), F.col("f3").alias("r"))).alias("cuts"),
         )
     )
-    score = lambda c: F.call_function(
-        "div",
-        F.lit(1_000_000).cast("decimal(7,0)") * F.col("a").cast("decimal(15,0)") * F.col("a").cast("decimal(15,0)"),
-        c["l"].cast("decimal(18,0)") * c["r"].cast("decimal(18,0)"),
-    )
     scored = pairs.unionByName(triples).select(
         "c1", "phrase", "a",
         # The first of equal scores: cuts are in order of k.
-        F.array_min(F.transform("cuts", lambda c, k: F.struct(score(c).alias("score"), k.alias("k"), c["l"].alias("l"), c["r"].alias("r")))).alias("cut"),
+        F.array_min(F.transform("cuts", lambda c, k: F.struct(score_of(F.col("a"), c["l"], c["r"]).alias("score"), k.alias("k"), c["l"].alias("l"), c["r"].alias("r")))).alias("cut"),
     )
     langs = known.select(F.col("code").alias("c1"), F.col("part").alias("lang"))
     totals = vocabulary.groupBy(F.col("part").alias("lang")).agg(F.sum("n").alias("n"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from peerlens.session import scratch_path
 
 from . import (
-    decontamination, fuzzy_passages, hard_negatives, language_id, mixing, phrases, pii, quality, sharding, substring_removal, tokens,
+    decontamination, fuzzy_passages, hard_negatives, language_id, mixing, phrases, pii, quality, recurrent_lm, sharding,
+    substring_removal, tokens,
 )
 from .ngram_join import near_duplicates
 
@@ -178,6 +179,16 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query
+def op11_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under unigrams and under the recurrent model."""
+    of_id = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10))
+    docs = documents(spark, sf_dir).select("doc_id", (of_id == 0).alias("held_out"), "text")
+    return recurrent_lm.score_documents(docs, ~F.col("held_out")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op12_era_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of two or three words of each language."""
