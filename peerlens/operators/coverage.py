@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +25,16 @@ from peerlens.operators.rules import (
     undominated,
     with_verdict,
 )
+from peerlens.operators.search import BLOCK_VALUES, GRID_SIZE, SAMPLES, lay_out, scores, search
 from peerlens.operators.suppression import filter_suppressed
 from peerlens.operators.weights import COMPARISON_EPSILON
 from peerlens.roles import Roles
 from peerlens.session import add_group_values, cut_lineage, join_keys
 
 UNIT_METRIC = [*CELL, "metric"]
-# Comparison buffer of the interval tests, weight bound slack, grid.
+# Comparison buffer of the interval tests, weight bound slack.
 NUMERIC_BUFFER = 1e-9
 BOUND_TOLERANCE = 1e-9
-GRID_SIZE = 31
-MAX_SWEEPS = 3
 
 
 def unit_volumes(df: DataFrame, roles: Roles) -> DataFrame:
@@ -188,50 +188,36 @@ def prune_unit_rules(volumes: DataFrame, units: DataFrame, low: float, high: flo
 
 
 def unit_outcomes(
-    volumes: DataFrame,
-    units: DataFrame,
-    weights: DataFrame,
-    overlay_entity: str | None = None,
-    extra: list[str] | None = None,
+    volumes: DataFrame, units: DataFrame, weights: DataFrame, overlay_entity: str | None = None
 ) -> DataFrame:
     """Per unit: the first passing rule by name and whether the overlay holds.
 
-    ``weights`` is ``[extra,] peer, w``; with ``extra`` every weight vector is
-    judged in the same pass.
+    ``weights`` is ``peer, w``; a peer that it leaves out has weight 1.
     """
-    extra = extra or []
     positive = join_keys(volumes.where(F.col("v") > 0), units.select(*CELL), CELL, "left_semi")
-    if extra:
-        # Every vector judges every peer; the vectors are one small array value.
-        vectors = weights.agg(F.collect_set(F.struct(*extra))).scalar()
-        positive = positive.withColumn("_vector", F.explode(vectors)).select("*", "_vector.*").drop("_vector")
-    # A peer that a vector leaves out has weight 1.
-    weighted = positive.join(weights, [*extra, "peer"], "left").withColumn(
+    weighted = positive.join(weights, "peer", "left").withColumn(
         "_x", F.col("v") * F.coalesce("w", F.lit(1.0))
     )
-    keys = [*extra, *UNIT_METRIC]
-    shares = add_group_values(weighted, keys, _total=F.sum("_x")).withColumn(
+    shares = add_group_values(weighted, UNIT_METRIC, _total=F.sum("_x")).withColumn(
         "share", percent(F.col("_x"), F.col("_total"))
     )
-    evidence = sweep_evidence(shares, keys)
+    evidence = sweep_evidence(shares, UNIT_METRIC)
     verdicts = with_verdict(
         join_keys(evidence, units.select(*CELL, F.explode("rules").alias("r")), CELL)
     )
-    per_rule = verdicts.groupBy(*extra, *CELL, "rule").agg(
-        F.min("strict_passed").alias("_passed"), F.count("*").alias("_metrics")
-    )
-    first = per_rule.groupBy(*extra, *CELL).agg(
+    per_rule = verdicts.groupBy(*CELL, "rule").agg(F.min("strict_passed").alias("_passed"))
+    first = per_rule.groupBy(*CELL).agg(
         F.min(F.when(F.col("_passed"), F.col("rule"))).alias("rule")
     )
     if overlay_entity is None:
         return first.withColumn("overlay_passed", F.lit(True))
     held = (
         shares.where(F.col("peer") == overlay_entity)
-        .groupBy(*extra, *CELL)
+        .groupBy(*CELL)
         .agg(F.max("share").alias("_protected"))
     )
     return (
-        join_keys(first, held, [*extra, *CELL], "left")
+        join_keys(first, held, CELL, "left")
         .withColumn(
             "overlay_passed",
             F.coalesce(
@@ -247,17 +233,27 @@ def score_candidates(
 ) -> DataFrame:
     """Units each weight vector would release, and its distance from neutral.
 
-    ``candidates`` is ``cand, peer, w``; every candidate shows up, even with
-    nothing released.
+    ``candidates`` is ``cand, peer, w``; a peer that a vector leaves out has weight 1.
+    Every candidate shows up, even with nothing released.  The vectors are judged in
+    blocks of a bounded size against units that are laid out once (``search``).
     """
-    outcomes = unit_outcomes(volumes, units, candidates, overlay_entity, ["cand"])
-    passed = outcomes.groupBy("cand").agg(
-        F.count_if(F.col("rule").isNotNull() & F.col("overlay_passed")).alias("score")
-    )
-    distance = candidates.groupBy("cand").agg(F.sum(F.abs(F.ln("w"))).alias("distance"))
-    return distance.join(passed, "cand", "left").select(
-        "cand", F.coalesce("score", F.lit(0)).alias("score"), "distance"
-    )
+    universe = lay_out(volumes, units, overlay_entity)
+    distance = cut_lineage(candidates.groupBy("cand").agg(F.sum(F.abs(F.ln("w"))).alias("distance")))
+    names = [r["cand"] for r in distance.select("cand").orderBy("cand").collect()]
+    number = {p: i for i, p in enumerate(universe.peers)}
+    step = max(1, BLOCK_VALUES // max(1, len(number)))
+    rows: list[tuple] = []
+    for a in range(0, len(names), step):
+        some = {c: i for i, c in enumerate(names[a : a + step])}
+        block = candidates.where(F.col("cand").between(names[a], names[min(a + step, len(names)) - 1]))
+        vectors = np.ones((len(number), len(some)))
+        for r in block.where(F.col("w").isNotNull()).collect():
+            if r["peer"] in number:
+                vectors[number[r["peer"]], some[r["cand"]]] = r["w"]
+        rows += [(c, int(n)) for c, n in zip(some, scores(universe, vectors))]
+    kind = candidates.schema["cand"].dataType.simpleString()
+    score = volumes.sparkSession.createDataFrame(rows, f"cand {kind}, score long")
+    return distance.join(score, "cand").select("cand", "score", "distance")
 
 
 def best_candidate(scores: DataFrame) -> DataFrame:
@@ -417,44 +413,32 @@ def refine_weights(
     low: float,
     high: float,
     *,
-    samples: int = 64,
-    sweeps: int = MAX_SWEEPS,
+    samples: int = SAMPLES,
+    sweeps: int | None = None,
     overlay_entity: str | None = None,
 ) -> DataFrame:
-    """Search for weights that release more units: ``peer, w``.
-
-    Candidates are the neutral vector, the fitted ``start`` and quasi-random
-    ones; from the best, rounds of coordinate moves follow.  Each round takes the
-    best grid value of the single best peer and stops when nothing improves.
+    """Search for weights that release more units.
+
+    Candidates are the fitted ``start`` (``peer, w``), the neutral vector, log-uniform
+    samples, and three rounds of samples around the best so far, each narrower than the
+    one before; from the best of them, coordinate moves go on until no grid value of any
+    peer improves the result.  ``sweeps`` may end them before.  Returns ``peer, w`` for
+    the peers of ``start`` (1 for a peer that no unit holds) with ``released_units``,
+    ``search_state`` (``search_complete`` or ``search_incomplete``), ``moves`` and
+    ``vectors_judged``; the same on every run.
     """
-    volumes, units, start = cut_lineage(volumes), cut_lineage(units), cut_lineage(start)
-    first = quasi_random_weights(start.select("peer"), samples, low, high)
-    fitted = start.select(F.lit(samples + 1).alias("cand"), "peer", F.col("w"))
-    candidates = cut_lineage(first.unionByName(fitted))
-    best = best_candidate(score_candidates(volumes, units, candidates, overlay_entity))
-    current = cut_lineage(candidates.join(best.select("cand"), "cand", "left_semi").select("peer", "w"))
-    for _ in range(sweeps):
-        moves = coordinate_scores(
-            volumes, units, current, low, high, overlay_entity=overlay_entity
-        )
-        # Better is more units, or as many at less distance from neutral.
-        better = (F.col("gain") > 0) | ((F.col("gain") == 0) & (F.col("distance_change") < -1e-12))
-        # One row to the driver: the move, or nothing when the search is done.
-        move = (
-            moves.where(better)
-            .orderBy(F.col("gain").desc(), "distance_change", "peer", "grid")
-            .limit(1)
-            .collect()
-        )
-        if not move:
-            break
-        current = cut_lineage(
-            current.select(
-                "peer",
-                F.when(F.col("peer") == move[0]["peer"], F.lit(move[0]["w"])).otherwise(F.col("w")).alias("w"),
-            )
-        )
-    return current
+    universe = lay_out(volumes, units, overlay_entity)
+    fitted = np.clip(universe.vector(start), low, high)
+    found = search(universe, [fitted], low, high, samples=samples, most_rounds=sweeps)
+    known = universe.table(found.vector).withColumnRenamed("w", "_w")
+    return start.select("peer").join(known, "peer", "left").select(
+        "peer",
+        F.coalesce("_w", F.lit(1.0)).alias("w"),
+        F.lit(found.released).cast("long").alias("released_units"),
+        F.lit("search_complete" if found.complete else "search_incomplete").alias("search_state"),
+        F.lit(found.moves).cast("long").alias("moves"),
+        F.lit(found.judged).cast("long").alias("vectors_judged"),
+    )
 
 
 def release_partition(
@@ -673,23 +657,30 @@ def coverage_certificate(partition: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def release_decision(
-    failures: DataFrame, partition: DataFrame, search_complete: bool
+    failures: DataFrame, partition: DataFrame, search_complete: bool | DataFrame
 ) -> DataFrame:
     """Authorised only when verified, searched to the end and not empty.
 
-    ``search_complete`` is the caller's statement about its weight search; it has no
-    default, so that nobody claims it by leaving it out.
+    ``search_complete`` is what ``refine_weights`` returned, whose state is read, or the
+    caller's statement about weights that come from elsewhere; it has no default, so that
+    nobody claims it by leaving it out.
     """
     released = partition.agg(F.count_if("released")).scalar()
-    verdict = failures.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures")).withColumn(
-        "released_units", released
+    if isinstance(search_complete, DataFrame):
+        ended = F.coalesce(F.min(F.col("search_state") == "search_complete"), F.lit(False))
+        complete = search_complete.agg(ended).scalar()
+    else:
+        complete = F.lit(search_complete)
+    verdict = (
+        failures.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures"))
+        .withColumn("released_units", released).withColumn("_complete", complete)
     )
     reason = (
         F.when(F.col("failures") > 0, "verifier_failed")
-        .when(~F.lit(search_complete), "search_incomplete")
+        .when(~F.col("_complete"), "search_incomplete")
         .when(F.col("released_units") == 0, "empty_release")
     )
-    return verdict.withColumn("authorized", reason.isNull()).withColumn("withholding_reason", reason)
+    return verdict.withColumn("authorized", reason.isNull()).withColumn("withholding_reason", reason).drop("_complete")
 
 
 def denial_audit(decision: DataFrame, rules: DataFrame, strategy: str) -> DataFrame:

@@ -6,7 +6,9 @@ many runs are computed at once); a null dimension is the global multiplier.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlens.functions.ordered import distributed_rank
@@ -17,6 +19,11 @@ from peerlens.session import add_group_values, cut_lineage, join_keys
 COMPARISON_EPSILON = 1e-6
 BORDERLINE_EXCESS_PP = 1e-3
 IDENTITY_TOLERANCE = 1e-9
+# A fit's weights are settled when no cap is broken by more than this share.
+SETTLED = 1e-11
+# Cells that a peer brings into the solved set in a round; rows a task solves for one run.
+WORST_CELLS = 4
+SOLVED_ROWS = 500_000
 
 
 def attach_weights(df: DataFrame, weights: DataFrame | None, extra: list[str] | None = None) -> DataFrame:
@@ -95,6 +102,91 @@ def scaling_round(cells: DataFrame, weights: DataFrame, low: float, high: float)
     )
 
 
+def _solve(low: float, high: float):
+    """The largest weights not above the given ones under which every given row keeps its cap."""
+
+    def run(weights: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        m = weights["m"].to_numpy(dtype=float).copy()
+        number = pd.Series(np.arange(len(m)), index=weights["peer"])
+        if len(rows):
+            rows = rows[rows["peer"].isin(number.index) & (rows["v"] > 0)]
+        if len(rows):
+            peer = number.reindex(rows["peer"]).to_numpy()
+            order = np.argsort(peer, kind="stable")
+            peer = peer[order]
+            begin = np.flatnonzero(np.concatenate(([True], peer[1:] != peer[:-1])))
+            cell = pd.factorize(rows["_cell"])[0][order]
+            v, cap = (rows[c].to_numpy(dtype=float)[order] for c in ("v", "cap"))
+            whose = peer[begin]
+            while True:
+                own = v * m[peer]
+                total = np.bincount(cell, weights=own)[cell]
+                factor = np.where(own / total * 100.0 > cap, cap * (total - own) / ((100.0 - cap) * own), 1.0)
+                new = np.clip(m[whose] * np.minimum.reduceat(factor, begin), low, high)
+                moved = np.abs(1.0 - new / m[whose]).max()
+                m[whose] = new
+                if moved <= 1e-15:
+                    break
+        return weights.assign(m=m)[["run_id", "scope", "peer", "m"]]
+
+    return run
+
+
+def settle(governed: DataFrame, weights: DataFrame, low: float, high: float, settled: float = SETTLED) -> DataFrame:
+    """The largest weights not above ``weights`` under which every governed cell keeps its cap.
+
+    A peer at the lower bound may break one.  These weights are unique: a cap holds for a
+    peer if its weight is at most a share of what the others weigh, so lowering one never
+    makes room for another.  They are found by cutting planes: a round looks at all cells
+    of the runs that still break a cap, adds the WORST_CELLS worst cells of each peer to
+    the set that is solved, and solves that set for each run in one task.  What the set
+    leaves out only makes the weights larger, so the rounds come down to the answer, and
+    the first one that finds no broken cap has it.  A run whose set has more than
+    SOLVED_ROWS rows takes a plain round of scaling instead.
+    """
+    keys, group = ["run_id", "scope", "peer"], ["run_id", "scope"]
+    cell = F.to_json(F.struct(*CELL), {"ignoreNullFields": "false"})
+    governed = cut_lineage(governed.withColumn("_cell", cell))
+    weights, solved, still = cut_lineage(weights), None, None
+    first = Window.partitionBy(*keys).orderBy("_f", "_cell")
+    while True:
+        rows = governed if still is None else governed.join(still, group, "left_semi")
+        totals = add_group_values(rows.join(weights, keys), [*group, "_cell"], _total=F.sum(F.col("v") * F.col("m")))
+        own = F.col("v") * F.col("m")
+        factor = F.col("cap") * (F.col("_total") - own) / ((100.0 - F.col("cap")) * own)
+        broken = (own > 0) & (F.col("m") > low) & (factor < 1.0 - settled)
+        worst = totals.where(broken).select(*keys, "_cell", factor.alias("_f")).withColumn("_k", F.row_number().over(first))
+        found = worst.where(F.col("_k") <= WORST_CELLS).select(*group, "_cell").distinct()
+        if solved is not None:
+            # A cell that is solved already is kept as well as doubles allow.
+            found = found.join(solved.select(*group, "_cell"), [*group, "_cell"], "left_anti")
+        found = cut_lineage(found)
+        if found.isEmpty():
+            return weights
+        still = found.select(*group).distinct()
+        picked = governed.join(found, [*group, "_cell"], "left_semi")
+        solved = cut_lineage(picked if solved is None else solved.unionByName(picked))
+        sizes = solved.select(*group).unionByName(weights.select(*group)).groupBy(*group).count()
+        large = sizes.where(F.col("count") > SOLVED_ROWS).select(*group)
+        solver = _solve(low, high)
+        if large.isEmpty():
+            after = _apart(weights, solved, group, solver)
+        else:
+            large = cut_lineage(large)
+            small = lambda df: cut_lineage(df.join(large, group, "left_anti"))
+            plain = scaling_round(*(df.join(large, group, "left_semi") for df in (governed, weights)), low, high)
+            # The sets of large runs are let go; their cells come again until they hold.
+            solved = small(solved)
+            after = _apart(small(weights), solved, group, solver).unionByName(plain)
+        weights = cut_lineage(after)
+
+
+def _apart(weights: DataFrame, rows: DataFrame, group: list[str], solver) -> DataFrame:
+    kind = dict(weights.dtypes)
+    schema = f"run_id {kind['run_id']}, scope string, peer {kind['peer']}, m double"
+    return weights.groupBy(*group).cogroup(rows.groupBy(*group)).applyInPandas(solver, schema)
+
+
 def fit_weights(
     cells: DataFrame,
     population: DataFrame,
@@ -103,18 +195,18 @@ def fit_weights(
     low: float = 0.01,
     high: float = 10.0,
     rounds: int | None = None,
-    settled: float = 1e-8,
+    settled: float = SETTLED,
 ) -> DataFrame:
     """Multipliers in ``[low, high]``, mean near 1, that respect every cell's cap.
 
     ``cells`` is ``run_id, CELL, peer, v, cap`` with only the cells to govern;
     ``cap`` may differ by row (a protected peer has its own).  ``population`` is
     ``run_id, peer``.  All runs - rules, presets, dimension subsets - advance
-    together in each round.  A round only lowers weights, so the rounds settle: they
-    go on until no weight of any run moves by more than the share ``settled``, which
-    is when every cap holds to about that share or the offending peer is at its lower
-    bound (``residual_by_run`` says which).  ``rounds`` asks for a fixed number
-    instead.  Returns ``run_id, dimension, peer, multiplier``.
+    together, and a run that has settled is not looked at again.  From weight 1, each
+    peer is lowered as little as the caps of all cells ask for (``settle``); what is over
+    its cap then belongs to a peer at its lower bound (``residual_by_run`` says which).
+    One factor per run and scope brings the mean to 1.  ``rounds`` asks for a fixed number
+    of plain scaling rounds instead.  Returns ``run_id, dimension, peer, multiplier``.
     """
     scope = F.col("dimension") if per_dimension else F.lit("*")
     # A cell needs at least two positive peers for a multiplier to matter.
@@ -129,24 +221,15 @@ def fit_weights(
         )
     else:
         start = population.withColumn("scope", F.lit("*"))
-    # Each round reads the weights and the cells more than once, so both are
-    # materialised; a chain of lazy rounds would double in size every time.
-    governed = cut_lineage(governed)
-    weights = cut_lineage(start.select("run_id", "scope", "peer", F.lit(1.0).alias("m")))
-    done = 0
-    while rounds is None or done < rounds:
-        done += 1
-        after = scaling_round(governed, weights, low, high)
-        if rounds is not None:
-            weights = cut_lineage(after)
-            continue
-        keys = ["run_id", "scope", "peer"]
-        both = cut_lineage(after.join(weights.withColumnRenamed("m", "_before"), keys))
-        weights = both.drop("_before")
-        # The stop test: one number to the driver.
-        moved = both.agg(F.max(F.abs(1.0 - F.col("m") / F.col("_before")))).first()[0]
-        if moved is None or moved <= settled:
-            break
+    weights = start.select("run_id", "scope", "peer", F.lit(1.0).alias("m"))
+    if rounds is None:
+        weights = settle(governed, weights, low, high, settled)
+    else:
+        # Each round reads the weights and the cells more than once, so both are
+        # materialised; a chain of lazy rounds would double in size every time.
+        governed, weights = cut_lineage(governed), cut_lineage(weights)
+        for _ in range(rounds):
+            weights = cut_lineage(scaling_round(governed, weights, low, high))
     rescaled = rescale_mean_one(weights, ["run_id", "scope"], low, high)
     return rescaled.select(
         "run_id",
@@ -224,13 +307,16 @@ def waterfill_mean(
 
 
 def worst_excess(shares: DataFrame, cap: float) -> DataFrame:
-    """The single peer and cell with the largest share over the cap."""
+    """The single peer and cell with the largest share over the cap.
+
+    Shares that differ by less than 1e-9 are ties, as a fit brings many to its cap exactly;
+    they go to the canonically first label.
+    """
     over = shares.where(F.col("share") > cap).withColumn("excess", F.col("share") - cap)
-    # Ties go to the canonically first label.
     best = over.agg(
         F.min(
             F.struct(
-                (-F.col("excess")).alias("_neg"), *CELL, "peer", "share", "excess", "v", "m",
+                F.round(-F.col("excess"), 9).alias("_neg"), *CELL, "peer", "share", "excess", "v", "m",
                 "balanced_total",
             )
         ).alias("_b")

@@ -104,16 +104,36 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(coverage.best_candidate(scores))
 
 
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The universe and the weights of a whole search."""
+    volumes, units = universe(spark, sf_dir)
+    found = coverage.refine_weights(volumes, units, some_weights(volumes), LOW, HIGH, overlay_entity=PROTECTED)
+    return volumes, units, cut_lineage(found)
+
+
 @query
 def refine_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searched weights with the number of units they release."""
-    volumes, units = universe(spark, sf_dir)
-    found = coverage.refine_weights(
-        volumes, units, some_weights(volumes), LOW, HIGH, samples=16, sweeps=2, overlay_entity=PROTECTED
+    """What must hold of searched weights, found without the search's own scoring.
+
+    Per peer: its weight is in bounds, and no grid value of it alone releases more units,
+    or as many nearer to neutral; the search ended by itself, its count is that of the
+    exact partition, and neither the neutral nor the fitted vector releases more.
+    """
+    volumes, units, found = searched(spark, sf_dir)
+    vector = found.select("peer", "w")
+    moves = coverage.coordinate_scores(volumes, units, vector, LOW, HIGH, overlay_entity=PROTECTED)
+    better = (F.col("gain") > 0) | ((F.col("gain") == 0) & (F.col("distance_change") < -1e-12))
+    per_peer = moves.groupBy("peer").agg(F.count_if(better).alias("improving_moves"))
+    count = lambda w: coverage.release_partition(volumes, units, w, PROTECTED).agg(F.count_if("released")).scalar()
+    return found.join(per_peer, "peer", "left").select(
+        "peer",
+        ((F.col("w") >= LOW) & (F.col("w") <= HIGH)).alias("in_bounds"),
+        F.coalesce("improving_moves", F.lit(0)).alias("improving_moves"),
+        "search_state",
+        (F.col("released_units") == count(vector)).alias("count_is_exact"),
+        (F.col("released_units") >= count(vector.withColumn("w", F.lit(1.0)))).alias("not_below_neutral"),
+        (F.col("released_units") >= count(some_weights(volumes))).alias("not_below_fitted"),
     )
-    partition = coverage.release_partition(volumes, units, found, PROTECTED)
-    count = partition.agg(F.count_if("released")).scalar()
-    return tidy(found.withColumn("released_units", count))
 
 
 def partition_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -183,14 +203,18 @@ def universe_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def release_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    volumes, units, vector, partition = partition_of(spark, sf_dir)
+    """The decision on a release by searched weights, which reads how the search ended."""
+    volumes, units, found = searched(spark, sf_dir)
+    vector = found.select("peer", "w")
+    partition = cut_lineage(coverage.release_partition(volumes, units, vector, PROTECTED))
     failures = coverage.verify_release(volumes, units, partition, vector, LOW, HIGH, PROTECTED)
-    return tidy(coverage.release_decision(failures, partition, search_complete=True))
+    decision = coverage.release_decision(failures, partition, found)
+    return decision.select("failures", (F.col("released_units") > 0).alias("released_some"), "authorized", "withholding_reason")
 
 
 @query
 def denial_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit row of a release whose search is not complete."""
+    """Audit row of a release by weights of which nobody says that a search ended."""
     volumes, units, vector, partition = partition_of(spark, sf_dir)
     failures = coverage.verify_release(volumes, units, partition, vector, LOW, HIGH, PROTECTED)
     decision = coverage.release_decision(failures, partition, search_complete=False)
@@ -214,18 +238,18 @@ PRESETS = (
 @query
 def strategy_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = w.fact_for(spark, sf_dir, STRATEGY)
-    return strategy.strategy_outcome(df, STRATEGY, merchant=True, protected=PROTECTED, rounds=3)
+    return strategy.strategy_outcome(df, STRATEGY, merchant=True, protected=PROTECTED)
 
 
 @query
 def single_rule_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = w.fact_for(spark, sf_dir, STRATEGY)
-    return tidy(strategy.single_rule_outcome(df, STRATEGY, rounds=3))
+    return tidy(strategy.single_rule_outcome(df, STRATEGY))
 
 
 def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = Roles("entity", ("returnflag", "priority"), metric="amount", target="E3")
-    return strategy.preset_comparison(w.fact_for(spark, sf_dir, roles), roles, PRESETS, rounds=2)
+    return strategy.preset_comparison(w.fact_for(spark, sf_dir, roles), roles, PRESETS)
 
 
 @query
@@ -240,7 +264,7 @@ def best_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = w.fact_for(spark, sf_dir, SUBSETS)
-    return strategy.search_dimension_subsets(df, SUBSETS, 18.0, 5, rounds=3)
+    return strategy.search_dimension_subsets(df, SUBSETS, 18.0, 5)
 
 
 @query

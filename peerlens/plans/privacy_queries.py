@@ -43,15 +43,15 @@ def population(cells: DataFrame) -> DataFrame:
     )
 
 
-def fitted(cells: DataFrame, cap: float, per_dimension: bool = False, rounds: int = 3) -> DataFrame:
-    """Weights after a fixed number of rounds, as the SQL unrolls them."""
+def fitted(cells: DataFrame, cap: float, per_dimension: bool = False) -> DataFrame:
+    """The settled weights at one cap."""
     runs = cells.select(
         F.lit("r").alias("run_id"), *CELL, "peer", "v", F.lit(cap).alias("cap"),
         F.lit(5).alias("min_entities"),
     )
     return cut_lineage(
         strategy.fit_for_runs(
-            runs, runs.select("run_id", "peer").distinct(), per_dimension=per_dimension, rounds=rounds
+            runs, runs.select("run_id", "peer").distinct(), per_dimension=per_dimension
         )
     )
 
@@ -327,7 +327,7 @@ def structural_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Global multipliers after three rounds at a cap of 25 percent."""
+    """Global multipliers at a cap of 25 percent."""
     return tidy(fitted(audit_cells(spark, sf_dir), 25.0).drop("run_id", "dimension"))
 
 
@@ -384,8 +384,9 @@ def waterfill_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def worst_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst share over 25 percent that weights fitted at 30 percent leave."""
     cells = audit_cells(spark, sf_dir)
-    out = weights.worst_excess(weighted_shares(cells, fitted(cells, 25.0)), 25.0)
+    out = weights.worst_excess(weighted_shares(cells, fitted(cells, 30.0)), 25.0)
     return tidy(out.select(*CELL, "peer", "share", "excess"))
 
 
@@ -404,27 +405,27 @@ def nudge_borderline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What weights fitted at a cap of 30 percent leave over a cap of 25."""
     cells = audit_cells(spark, sf_dir)
-    return tidy(audit.cap_violations(weighted_shares(cells, fitted(cells, 25.0, rounds=1)), 25.0, 0.0))
+    return tidy(audit.cap_violations(weighted_shares(cells, fitted(cells, 30.0)), 25.0, 0.0))
 
 
 @query
 def cap_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slack over a cap of 25 percent of weights fitted at 30."""
     cells = audit_cells(spark, sf_dir)
-    rows = weights.attach_weights(cells, fitted(cells, 25.0, rounds=1).drop("run_id"))
+    rows = weights.attach_weights(cells, fitted(cells, 30.0).drop("run_id"))
     return tidy(weights.cap_slack(cut_lineage(rows), 25.0), ("max_slack", "sum_slack"))
 
 
 @query
 def weighting_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of fits that were given one, two and three rounds."""
+    """Verdict on a cap of 40 percent of fits at caps of 25, 30 and 40."""
     cells = audit_cells(spark, sf_dir)
     parts = []
-    for rounds in (1, 2, 3):
-        shares = weighted_shares(cells, fitted(cells, 30.0, rounds=rounds))
-        parts.append(
-            shares.select(F.lit(f"rounds_{rounds}").alias("run_id"), "share", F.lit(30.0).alias("cap"))
-        )
+    for cap in (25.0, 30.0, 40.0):
+        shares = weighted_shares(cells, fitted(cells, cap))
+        parts.append(shares.select(F.lit(f"cap_{cap:g}").alias("run_id"), "share", F.lit(40.0).alias("cap")))
     left = audit.residual_by_run(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     over = F.col("over_cap_rows")
     return tidy(
@@ -432,7 +433,7 @@ def weighting_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
             "run_id",
             "over_cap_rows",
             audit.weighting_verdict(
-                over, F.col("max_excess_pp") <= 0.5, F.lit(False), F.col("max_excess_pp") <= 1e-9
+                over, F.col("max_excess_pp") <= 0.5, F.lit(False), F.col("max_excess_pp") <= 1e-6
             ).alias("verdict"),
         )
     )
@@ -486,12 +487,12 @@ def tier_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def violation_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of three weight vectors: neutral and the fit after one and two rounds."""
+    """Scores of three weight vectors: neutral and those fitted at 40 and 25 percent."""
     cells = audit_cells(spark, sf_dir)
     vectors = [
         cells.select("peer").distinct().select("peer", F.lit(1.0).alias("multiplier")),
-        fitted(cells, 25.0, rounds=1).select("peer", "multiplier"),
-        fitted(cells, 25.0, rounds=2).select("peer", "multiplier"),
+        fitted(cells, 40.0).select("peer", "multiplier"),
+        fitted(cells, 25.0).select("peer", "multiplier"),
     ]
     named = [v.select(F.lit(f"v{i}").alias("run_id"), "*") for i, v in enumerate(vectors)]
     table = cut_lineage(named[0].unionByName(named[1]).unionByName(named[2]))

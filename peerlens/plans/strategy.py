@@ -30,6 +30,7 @@ from peerlens.operators.rules import (
     select_rule,
 )
 from peerlens.operators.weights import (
+    COMPARISON_EPSILON,
     attach_weights,
     fit_weights,
     fixable_cells,
@@ -120,7 +121,7 @@ def strategy_outcome(
         )
         .where(F.col("_n") >= F.col("_min"))
         .groupBy("run_id")
-        .agg(F.coalesce(F.max("_p") <= PROTECTED_CAP, F.lit(True)).alias("overlay_passed"))
+        .agg(F.coalesce(F.max("_p") <= PROTECTED_CAP + COMPARISON_EPSILON, F.lit(True)).alias("overlay_passed"))
     )
     size = peers.agg(F.count("peer").alias("peers"))
     by_count = size.select(select_rule(F.col("peers"), merchant)).scalar()
