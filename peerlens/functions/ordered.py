@@ -1,34 +1,63 @@
 """Order statistics that never gather a whole group into one task.
 
-Values are first put into order-preserving buckets (a function of the value
-alone, so every task agrees without sampling), bucket totals are scanned in
-order, and only the bucket holding the answer is looked at row by row.
+A double is turned into a whole number of 64 bits in the same order.  A percentile is found
+by radix descent over these bits: totals by the leading bits, the group's bucket that holds
+the answer, then the same among its rows with the next bits, until a bucket holds a single
+value.  Only the rows of the one open bucket of each group go on, spread over tasks, and
+weights are added as decimals, so that no sum depends on the order of rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlens.session import cut_lineage, join_keys
 
-# Buckets per doubling of the value: each bucket spans about 1.1 percent.
-BUCKETS_PER_OCTAVE = 64
-# Doubles are at least 2**-1074, which keeps the shifted logarithm positive.
-SMALLEST_EXPONENT = 1075
+# Bits below the bucket in each pass: first sign, exponent and 6 bits of the mantissa
+# (64 buckets in a doubling of the value), then 12 bits more a pass.
+SHIFTS = (46, 34, 22, 10, 0)
+# The rows of an open bucket are dealt out to so many keys of the join that picks them.
+SPREAD = 32
+
 
+def order_bits(value: Column) -> Column:
+    """The 64-bit image of a double: ``a < b`` if and only if the images are so; null comes first, NaN last.
 
-def order_bucket(value: Column) -> Column:
-    """Monotone integer bucket of a double: ``a <= b`` implies bucket order."""
-    size = 1 + F.floor((F.log2(F.abs(value)) + SMALLEST_EXPONENT) * BUCKETS_PER_OCTAVE)
+    For a finite number, its bits as written in memory (negated for a negative one),
+    from exact steps: powers of two and quotients by them.
+    """
+    value = value.cast("double")
+    size = F.abs(value)
+    guess = F.floor(F.least(F.greatest(F.log2(size), F.lit(-1022.0)), F.lit(1023.0))).cast("int")
+    low, high = F.pow(F.lit(2.0), guess), F.pow(F.lit(2.0), guess + 1)
+    exponent = F.when(size < low, guess - 1).when(size >= high, guess + 1).otherwise(guess)
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1.0) * float(1 << 52)).cast("long")
+    normal = F.shiftleft((exponent + 1023).cast("long"), 52) + fraction
+    # Below 2 ** -1022 there is no leading one; the number is a multiple of 2 ** -1074.
+    small = (F.least(size, F.lit(2.0**-1022)) * 2.0**537 * 2.0**537).cast("long")
+    bits = (
+        F.when(size == 0, F.lit(0).cast("long")).when(size < 2.0**-1022, small)
+        .when(size == float("inf"), F.lit(0x7FF0 << 48)).otherwise(normal)
+    )
     return (
-        F.when(value == 0, F.lit(0))
-        .when(value > 0, size)
-        .otherwise(-size)
-        .cast("int")
+        F.when(value.isNull(), F.lit(-(1 << 63))).when(F.isnan(value), F.lit((1 << 63) - 1))
+        .when(value < 0, -bits).otherwise(bits)
     )
 
 
+def exact_parts(weight: Column) -> tuple[Column, Column]:
+    """A number as a whole decimal and what is left: their sums are exact in any order of rows."""
+    whole = weight.cast("double").cast("decimal(28,0)")
+    return whole, (weight.cast("double") - whole.cast("double")).cast("decimal(28,18)")
+
+
+def _as_double(whole: Column, rest: Column) -> Column:
+    return whole.cast("double") + rest.cast("double")
+
+
 def weighted_percentile(
     df: DataFrame,
     keys: list[str],
@@ -40,66 +69,76 @@ def weighted_percentile(
     """Weighted percentile per group: one row of ``keys`` + ``result``.
 
     The answer is the first value, ascending, whose cumulative weight reaches
-    ``p`` times the total weight.  Weights must be positive (see
-    ``weighted_percentile_or_plain``).  ``p`` is a number or the name of a column
-    that is constant within a group.
+    ``p`` times the total weight, whatever the order of rows.  Values are compared as
+    doubles.  Weights must be positive (see ``weighted_percentile_or_plain``) and count to
+    18 decimals.  ``p`` is a number or the name of a column that is constant within a group.
     """
-    share = F.lit(p) if isinstance(p, (int, float)) else F.max(p)
-    ties = (
-        df.groupBy(*keys, F.col(value).alias("_x"))
-        .agg(F.sum(weight).alias("_w"), share.alias("_p"))
-        .withColumn("_b", order_bucket(F.col("_x")))
-    )
-    per_bucket = ties.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"), F.max("_p").alias("_p"))
-    # One row per occupied bucket: a few thousand per group at the very most.
-    group = Window.partitionBy(*keys)
+    share = F.lit(float(p)) if isinstance(p, (int, float)) else F.max(p)
+    whole, rest = exact_parts(F.col(weight))
+    rows = df.groupBy(*keys, F.col(value).alias("_x")).agg(F.sum(whole).alias("_w"), F.sum(rest).alias("_r"), share.alias("_p"))
+    return _descend(rows, keys, result)
+
+
+def _descend(rows: DataFrame, keys: list[str], result: str) -> DataFrame:
+    """The percentile from one row per value: ``keys, _x, _w, _r, _p`` (weight in exact parts)."""
+    nothing = {"_w": F.lit(0).cast("decimal(38,0)"), "_r": F.lit(0).cast("decimal(38,18)")}
+    rows = cut_lineage(rows.withColumns({c: F.coalesce(F.col(c), zero).cast(k) for (c, zero), k in zip(nothing.items(), ("decimal(38,0)", "decimal(38,18)"))}))
+    # What an open bucket knows: the weight before it and the weight to reach.
+    rows = rows.select("*", order_bits(F.col("_x")).alias("_i"), nothing["_w"].alias("_bw"), nothing["_r"].alias("_br"), F.lit(None).cast("double").alias("_target"))
+    group, found = Window.partitionBy(*keys), []
     scan = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    crossing = (
-        per_bucket.select(
-            *keys,
-            "_b",
-            (F.sum("_bw").over(group) * F.col("_p")).alias("_target"),
-            F.sum("_bw").over(scan).alias("_c"),
-            (F.sum("_bw").over(scan) - F.col("_bw")).alias("_before"),
-            F.max("_b").over(group).alias("_last"),
+    for shift in SHIFTS:
+        sums = rows.groupBy(*keys, F.shiftright("_i", shift).alias("_b")).agg(
+            F.sum("_w").alias("_w"), F.sum("_r").alias("_r"), F.max("_p").alias("_p"), F.max("_bw").alias("_bw"), F.max("_br").alias("_br"),
+            F.max("_target").alias("_target"), F.count("*").alias("_values"), F.min("_x").alias("_x"),
         )
-        # The last bucket answers if rounding keeps every sum below the target.
-        .where((F.col("_c") >= F.col("_target")) | (F.col("_b") == F.col("_last")))
-        .groupBy(*keys)
-        .agg(F.min(F.struct("_b", "_before", "_target")).alias("_h"))
-        .select(*keys, "_h.*")
-    )
-    fine = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.col("_before") + F.sum("_w").over(fine) >= F.col("_target")
-    return (
-        join_keys(ties.drop("_p"), crossing, [*keys, "_b"])
-        .select(*keys, "_x", reached.alias("_reached"))
-        .groupBy(*keys)
-        .agg(
-            F.coalesce(F.min(F.when(F.col("_reached"), F.col("_x"))), F.max("_x")).alias(result)
+        # One row per occupied bucket, at most 2 ** 18 of a group and mostly a few hundred.
+        before_w = F.sum("_w").over(scan) + F.col("_bw") - F.col("_w")
+        before_r = F.sum("_r").over(scan) + F.col("_br") - F.col("_r")
+        total = _as_double(F.sum("_w").over(group), F.sum("_r").over(group)) * F.col("_p")
+        placed = sums.select(
+            *keys, "_b", "_values", "_x", F.coalesce("_target", total).alias("_target"),
+            before_w.cast("decimal(38,0)").alias("_bw"), before_r.cast("decimal(38,18)").alias("_br"),
+            _as_double(before_w + F.col("_w"), before_r + F.col("_r")).alias("_c"), F.max("_b").over(group).alias("_last"),
         )
-    )
+        crossing = cut_lineage(
+            # The last bucket answers if rounding keeps every sum below the target.
+            placed.where((F.col("_c") >= F.col("_target")) | (F.col("_b") == F.col("_last")))
+            .groupBy(*keys)
+            .agg(F.min(F.struct("_b", "_values", "_x", "_bw", "_br", "_target")).alias("_h"))
+            .select(*keys, "_h.*")
+        )
+        single = (F.col("_values") == 1) if shift else F.lit(True)
+        found.append(crossing.where(single).select(*keys, F.col("_x").alias(result)))
+        wide = crossing.where(~single).select(*keys, "_b", "_bw", "_br", "_target")
+        if shift == 0 or wide.isEmpty():
+            break
+        dealt = wide.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        inside = rows.drop("_bw", "_br", "_target").withColumns(
+            {"_b": F.shiftright("_i", shift), "_s": F.pmod(F.hash("_i"), F.lit(SPREAD))}
+        )
+        rows = cut_lineage(join_keys(inside, dealt, [*keys, "_b", "_s"]).drop("_b", "_s"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _plain_of_counts(counts: DataFrame, keys: list[str], value: str, p: float, result: str) -> DataFrame:
     """Linearly interpolated percentile from ``keys, value, _n`` (rows per value).
 
     Both neighbouring order statistics are found with ``weighted_percentile`` on
-    the counts: aiming half a row past the wanted rank always lands on it.
+    the counts, in one descent: aiming half a row past the wanted rank always lands on it.
     """
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
     position = (F.col("_rows") - 1) * p
-    aimed = join_keys(counts.select(*keys, value, "_n"), sizes, keys).select(
-        *keys,
-        value,
-        "_n",
-        ((F.floor(position) + 0.5) / F.col("_rows")).alias("_lo"),
-        ((F.ceil(position) + 0.5) / F.col("_rows")).alias("_hi"),
+    aims = F.array(
+        *[F.struct(F.lit(n).alias("_end"), ((of(position) + 0.5) / F.col("_rows")).alias("_at")) for n, of in (("low", F.floor), ("high", F.ceil))]
+    )
+    aimed = join_keys(counts.select(*keys, value, "_n"), sizes, keys).select(*keys, value, "_n", F.explode(aims).alias("_a")).select("*", "_a.*")
+    ends = weighted_percentile(aimed.drop("_a"), [*keys, "_end"], value, "_n", "_at", "_v")
+    both = ends.groupBy(*keys).agg(
+        F.max(F.when(F.col("_end") == "low", F.col("_v"))).alias("_vlo"), F.max(F.when(F.col("_end") == "high", F.col("_v"))).alias("_vhi")
     )
-    low = weighted_percentile(aimed, keys, value, "_n", "_lo", "_vlo")
-    high = weighted_percentile(aimed, keys, value, "_n", "_hi", "_vhi")
     part = sizes.select(*keys, (position - F.floor(position)).alias("_part"))
-    return join_keys(join_keys(low, high, keys), part, keys).select(
+    return join_keys(both, part, keys).select(
         *keys, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_part")).alias(result)
     )
 
@@ -119,15 +158,16 @@ def weighted_percentile_or_plain(
 
     The input is read once, folded to one row per group and value.
     """
+    whole, rest = exact_parts(F.col(weight))
     counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.sum(weight).alias("_sw"), F.count("*").alias("_n"))
+        .agg(F.sum(whole).alias("_w"), F.sum(rest).alias("_r"), F.count("*").alias("_n"))
     )
-    sums = counts.groupBy(*keys).agg(F.sum("_sw").alias("_tw"))
+    sums = counts.groupBy(*keys).agg(_as_double(F.sum("_w"), F.sum("_r")).alias("_tw"))
     joined = join_keys(counts, sums, keys)
-    weighted = weighted_percentile(joined.where(F.col("_tw") > 0), keys, value, "_sw", p, result)
-    return weighted.unionByName(
+    weighted = joined.where(F.col("_tw") > 0).select(*keys, F.col(value).alias("_x"), "_w", "_r", F.lit(float(p)).alias("_p"))
+    return _descend(weighted, keys, result).unionByName(
         _plain_of_counts(joined.where(F.col("_tw") <= 0), keys, value, p, result)
     )
 

@@ -1,11 +1,14 @@
+import math
 import random
+import struct
 
 from pyspark.sql import functions as F
 
+from peerlens.functions import ordered
 from peerlens.functions.ordered import (
     distributed_rank,
     largest_k,
-    order_bucket,
+    order_bits,
     plain_percentile,
     weighted_percentile,
     weighted_percentile_or_plain,
@@ -22,11 +25,68 @@ def brute_weighted(pairs, p):
     return max(x for x, _ in pairs)
 
 
-def test_buckets_keep_order(spark):
-    values = sorted([-1e9, -3.0, -1e-12, 0.0, 5e-324, 1e-9, 0.1, 1.0, 1.5, 2.0, 99.9, 1e300])
-    df = spark.createDataFrame([(v,) for v in values], "x double")
-    buckets = [r[0] for r in df.orderBy("x").select(order_bucket(F.col("x"))).collect()]
-    assert buckets == sorted(buckets)
+def test_bits_are_those_in_memory(spark):
+    """The image equals the IEEE bits of a double, negated below zero; null first, NaN last."""
+    rng = random.Random(1)
+    values = [0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 1.5, 2.0, math.nextafter(2, 0), math.nextafter(2, 3), 1e300, 1.7976931348623157e308, math.inf]
+    values += [2.0**e for e in range(-1074, 1024, 13)] + [math.nextafter(2.0**e, 0) for e in range(-1060, 1024, 7)]
+    values += [struct.unpack("<d", struct.pack("<q", rng.getrandbits(63)))[0] for _ in range(500)]
+    values = [v for v in values if not math.isnan(v)]
+    values += [-v for v in values]
+    bits = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1)
+    got = {r.x: r.b for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", order_bits(F.col("x")).alias("b")).collect()}
+    assert got == {v: bits(v) for v in values}
+    ends = spark.createDataFrame([(None,), (math.nan,)], "x double").select(order_bits(F.col("x"))).collect()
+    assert [r[0] for r in ends] == [-(2**63), 2**63 - 1]
+
+
+def test_a_hot_bucket_never_meets_in_one_task(spark, monkeypatch):
+    """Of 100 000 values within one percent of each other, which one bucket holds, no task gets more than a small part."""
+    sizes, plain = [], ordered.cut_lineage
+
+    def watched(df):
+        out = plain(df)
+        sizes.append(out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        return out
+
+    monkeypatch.setattr(ordered, "cut_lineage", watched)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(100_000).select(F.lit("g").alias("g"), (1.0 + F.col("id") / 1e7).alias("x"), (F.col("id") % 7 + 0.25).alias("w"))
+        got = weighted_percentile(df, ["g"], "x", "w", 0.85).first()["percentile"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_weighted([(1.0 + i / 1e7, i % 7 + 0.25) for i in range(100_000)], 0.85)
+    assert max(max(s) for s in sizes) <= 100_000 / 5
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    """Weights of which sums of doubles differ by order; half of the total ends exactly between two values."""
+    rng = random.Random(9)
+    left = [0.1, 0.2, 0.3, 1e6 + 0.7, 3.3, 1e-7] * 20
+    rows = [(1.0, w) for w in left] + [(2.0, w) for w in left]
+    got = set()
+    for i in range(5):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "x double, w double").repartition(i + 2)
+        got.add(weighted_percentile(df, [], "x", "w", 0.5).first()["percentile"])
+    assert got == {1.0}
+
+
+def test_values_and_weights_of_all_sizes(spark):
+    rng = random.Random(12)
+    rows = [(g, rng.choice((-1, 1)) * 10 ** rng.uniform(-300, 300), 10 ** rng.uniform(-6, 12)) for g in "ab" for _ in range(300)]
+    rows += [("c", 5.0, 1.0), ("d", -math.inf, 1.0), ("d", math.inf, 1.0), ("d", 0.0, 1.0), ("e", -0.0, 1.0), ("e", 0.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, w double")
+    for p in (0.15, 0.5, 0.9):
+        got = {r["g"]: r["percentile"] for r in weighted_percentile(df, ["g"], "x", "w", p).collect()}
+        assert got == {g: brute_weighted([(x, w) for h, x, w in rows if h == g], p) for g in "abcde"}
+    empty = spark.createDataFrame([], "g string, x double, w double")
+    assert weighted_percentile(empty, ["g"], "x", "w", 0.5).count() == 0
 
 
 def test_weighted_percentile_equals_brute_force(spark):
