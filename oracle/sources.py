@@ -72,7 +72,10 @@ SQL["usage_summary"] = statement(
     select="SELECT CAST(position AS BIGINT) AS position, kind, value, CASE kind WHEN 'surface' THEN (SELECT count(*) FROM w WHERE surface = v.value) WHEN 'action' THEN "
     "(SELECT count(*) FROM w WHERE action = v.value) ELSE (SELECT count(*) FROM w WHERE event = 'action_' || v.value) END AS n FROM vocab v",
 )
-SQL["usage_stream"] = statement(
+SQL["usage_stream"] = statement(EVENTS, select="SELECT strftime(ts, '%Y-%m-%d') AS day, event, count(*) AS n FROM ue GROUP BY 1, 2")
+SQL["who_stream"] = SQL["who_report"].split(" WHERE ts <=")[0] + " GROUP BY 1"
+SQL["usage_summary_stream"] = SQL["usage_summary"].replace(f" WHERE {WINDOW.format(days=30)}", "")
+SQL["closed_days_stream"] = statement(
     EVENTS,
     "wm AS (SELECT max(ts) - INTERVAL 1 DAY AS t FROM ue)",
     select="SELECT strftime(ts, '%Y-%m-%d') AS day, event, count(*) AS n FROM ue, wm WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= t GROUP BY 1, 2",

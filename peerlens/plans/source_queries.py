@@ -229,9 +229,36 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_events(source)
 
 
+def kept_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals that a stream over the event table has kept when it has read everything."""
+    path = scratch_path(spark, "usage-totals")
+    usage.keep_totals(event_stream(spark, sf_dir), path, scratch_path(spark, "usage-batches")).awaitTermination()
+    return usage.read_totals(spark, path)
+
+
 @query
 def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily event counts kept by a stream: the days its watermark has closed."""
+    """Daily event counts kept by a stream, the open day and late events included."""
+    out = usage.daily_counts(kept_totals(spark, sf_dir))
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event", "n")
+
+
+@query
+def who_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report by user from the stream's totals."""
+    out = usage.who_of_totals(kept_totals(spark, sf_dir))
+    return out.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def usage_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces, actions and outcomes from the stream's totals."""
+    return tidy(usage.summary_of_totals(kept_totals(spark, sf_dir)))
+
+
+@query
+def closed_days_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily event counts that a stream appends once its watermark has closed the day."""
     path = scratch_path(spark, "usage-counts")
     counts = usage.usage_counts(event_stream(spark, sf_dir))
     usage.append_available(counts, path, scratch_path(spark, "usage-state")).awaitTermination()

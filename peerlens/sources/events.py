@@ -212,31 +212,25 @@ def zero_filled_counts(counts: DataFrame, vocabulary: dict[str, tuple[str, ...]]
 VOCABULARY = {"surface": SURFACES, "action": ACTIONS, "outcome": OUTCOMES}
 
 
+def seen_values(vocabulary: dict[str, tuple[str, ...]]) -> Column:
+    """The listed ``kind, value`` pairs that an event counts for, as an array."""
+    event = F.col("event")
+    pairs = (
+        ("surface", F.when(event == "surface_viewed", F.col("surface"))),
+        ("action", F.when(event.isin(*ACTION_EVENTS), F.col("action"))),
+        ("outcome", F.when(event.isin(*[f"action_{o}" for o in OUTCOMES]), F.substring_index(event, "_", -1))),
+    )
+    seen = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in pairs])
+    known = F.array(*[F.lit(f"{k}/{v}") for k, values in vocabulary.items() for v in values])
+    return F.filter(seen, lambda s: s["value"].isNotNull() & F.array_contains(known, F.concat(s["kind"], F.lit("/"), s["value"])))
+
+
 def usage_summary(events: DataFrame, vocabulary: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """How often each surface was viewed, action used and outcome reached."""
     vocabulary = vocabulary or VOCABULARY
-    event = F.col("event")
-    seen = F.array(
-        F.struct(
-            F.lit("surface").alias("kind"),
-            F.when(event == "surface_viewed", F.col("surface")).alias("value"),
-        ),
-        F.struct(
-            F.lit("action").alias("kind"),
-            F.when(event.isin(*ACTION_EVENTS), F.col("action")).alias("value"),
-        ),
-        F.struct(
-            F.lit("outcome").alias("kind"),
-            F.when(
-                event.isin(*[f"action_{o}" for o in OUTCOMES]), F.substring_index(event, "_", -1)
-            ).alias("value"),
-        ),
-    )
-    known = [f"{k}/{v}" for k, values in vocabulary.items() for v in values]
     counts = (
-        events.select(F.explode(seen).alias("_s"))
+        events.select(F.explode(seen_values(vocabulary)).alias("_s"))
         .select("_s.*")
-        .where(F.concat_ws("/", "kind", "value").isin(*known))
         .groupBy("kind", "value")
         .agg(F.count("*").alias("n"))
     )
