@@ -30,6 +30,8 @@ from .vocabulary import coded_words, count_words, part_codes
 GROUP_SUFFIXES = 1 << 20
 #: Words whose suffixes a task adds up before it hands them on.
 HELD_WORDS = 1 << 19
+#: Parts of a language whose phrases are ranked apart before all are.
+PARTS = 64
 
 #: Bytes that end a piece: . , ; : ! ? and \n to \r.
 BREAKS = np.zeros(256, dtype=bool)
@@ -241,9 +243,13 @@ def collocations(
     )
     langs = known.select(F.col("code").alias("c1"), F.col("part").alias("lang"))
     totals = vocabulary.groupBy(F.col("part").alias("lang")).agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+    first = [F.col("score").desc(), F.col("a").desc(), "phrase"]
+    # A language's first ones are among the first of its parts, however many tasks hand on theirs.
+    part = Window.partitionBy("lang", "part").orderBy(*first)
+    order = Window.partitionBy("lang").orderBy(*first)
     return (
-        scored.join(langs, "c1").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+        scored.join(langs, "c1").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", F.pmod(F.hash("phrase"), F.lit(PARTS)).alias("part"))
+        .withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
         .join(totals, "lang")
         .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
