@@ -294,7 +294,7 @@ def test_the_model_learns_order(spark):
             w = rnd.choice(step[w])
         return " ".join(out)
 
-    docs = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string").coalesce(1)
     held = [r for r in recurrent_lm.score_documents(docs, learns(), share=1.0).collect() if zlib.crc32(str(r.doc_id).encode()) % 10 == 0]
     score, base = (sum(r[k] for r in held) / sum(r.n_tokens for r in held) for k in ("score", "base_score"))
     assert score > 0.75 * base
