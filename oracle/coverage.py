@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from oracle.benchmark import rate_ctes
-from oracle.parts import CELL, FACT, RULE_ROWS, cells, fit, fixable, pct, statement
+from oracle.parts import CELL, FACT, RULE_ROWS, cells, fit, fixable, pct, statement, whole
 from oracle.privacy import ABOVE, TIERS, evidence, hit
 
 SQL: dict[str, str] = {}
@@ -295,35 +295,57 @@ SQL["best_preset"] = statement(
 )
 
 
+SUBSET_DIMS = ("brand", "linestatus", "priority", "returnflag")
+
+
 def subset_ctes() -> list[str]:
-    dims = ("brand", "linestatus", "returnflag")
-    ordered = sorted(dims)
+    """Every subset fitted, and which of them a search by levels looks at."""
     rows = []
-    for mask in range(1, 8):
-        chosen = [d for i, d in enumerate(ordered) if mask >> i & 1]
-        rows += [f"('{','.join(chosen)}', {len(chosen)}, '{d}')" for d in chosen]
+    for mask in range(1, 1 << len(SUBSET_DIMS)):
+        chosen = [d for i, d in enumerate(SUBSET_DIMS) if mask >> i & 1]
+        rows += [f"({mask}, '{','.join(chosen)}', {len(chosen)}, '{d}')" for d in [*chosen, "_TIME_TOTAL_"]]
     return [
         FACT,
-        cells(dims, target=None),
-        f"ss AS (SELECT * FROM (VALUES {', '.join(rows)}) s(run_id, size, dimension))",
-        "runs AS (SELECT s.run_id, s.size, c.*, 18.0::DOUBLE AS cap FROM cells c JOIN ss s ON s.dimension = c.dimension)",
+        cells(SUBSET_DIMS, target=None, timed=True, name="plain"),
+        whole(target=None),
+        "cells AS MATERIALIZED (SELECT * FROM plain UNION ALL SELECT * FROM whole)",
+        f"ss AS (SELECT * FROM (VALUES {', '.join(rows)}) s(mask, run_id, size, dimension))",
+        "runs AS (SELECT s.mask, s.run_id, s.size, c.*, 14.0::DOUBLE AS cap FROM cells c JOIN ss s ON s.dimension = c.dimension)",
         "pop AS (SELECT DISTINCT run_id, peer FROM runs)",
         *fit("runs", population="pop"),
         attach("runs", "w", "rw"),
-        f"sh AS (SELECT run_id, size, {pct('(v * m)', 'sum(v * m) OVER p')} AS share FROM rw WINDOW p AS (PARTITION BY run_id, dimension, category))",
-        "lg AS (SELECT run_id, size, count(*) FILTER (WHERE share > 18.0 + 1.0 + 1e-6) AS n, max(greatest(share - 18.0 - 1.0, 0.0)) AS a, sum(greatest(share - 18.0 - 1.0, 0.0)) AS b FROM sh GROUP BY ALL)",
-        "bs AS (SELECT run_id FROM lg WHERE n = 0 ORDER BY size DESC, run_id LIMIT 1)",
+        f"sh AS (SELECT mask, run_id, size, {pct('(v * m)', 'sum(v * m) OVER p')} AS share FROM rw WINDOW p AS (PARTITION BY run_id, dimension, category, time_period))",
+        "th AS (SELECT run_id, count(*) FILTER (WHERE k > 0 AND k < 5) AS thin FROM (SELECT run_id, dimension, category, time_period, count(*) FILTER (WHERE v > 0) AS k FROM runs GROUP BY ALL) GROUP BY 1)",
+        "lg AS (SELECT sh.mask, sh.run_id, sh.size, any_value(thin) AS thin, count(*) FILTER (WHERE share > 14.0 + 1.0 + 1e-6) AS n, max(greatest(share - 14.0 - 1.0, 0.0)) AS a, "
+        "sum(greatest(share - 14.0 - 1.0, 0.0)) AS b FROM sh JOIN th ON th.run_id = sh.run_id GROUP BY 1, 2, 3)",
+        "lf AS (SELECT *, n = 0 AND thin = 0 AS fits FROM lg)",
     ]
 
 
-SQL["search_dimension_subsets"] = statement(
+def subset_log(chosen: str) -> str:
+    return (
+        "SELECT run_id AS dimensions, CAST(size AS BIGINT) AS size, n AS over_cap_rows, round(a, 6) AS max_excess_pp, round(b, 6) AS sum_excess_pp, thin AS thin_cells, "
+        f"fits AS feasible, coalesce(run_id = (SELECT run_id FROM {chosen} WHERE fits ORDER BY size DESC, run_id LIMIT 1), FALSE) AS best, FALSE AS cut FROM {chosen}"
+    )
+
+
+_whole_set = (1 << len(SUBSET_DIMS)) - 1
+TRIED = (
+    f"tr AS (SELECT * FROM lf l WHERE size = 1 OR mask = {_whole_set} OR (NOT (SELECT fits FROM lf WHERE mask = {_whole_set}) "
+    "AND NOT EXISTS (SELECT 1 FROM lf p WHERE (p.mask & l.mask) = p.mask AND p.mask <> l.mask AND NOT p.fits)))"
+)
+SQL["search_dimension_subsets"] = statement(*subset_ctes(), TRIED, select=subset_log("tr"))
+SQL["greedy_dimension_subsets"] = statement(
     *subset_ctes(),
-    select="SELECT run_id AS dimensions, CAST(size AS BIGINT) AS size, n AS over_cap_rows, round(a, 6) AS max_excess_pp, round(b, 6) AS sum_excess_pp, n = 0 AS feasible, "
-    "coalesce(run_id = (SELECT run_id FROM bs), FALSE) AS best FROM lg",
+    "ub AS (SELECT dimension, max(x) AS u FROM (SELECT dimension, max(v) / sum(v) * 100.0 AS x FROM plain GROUP BY dimension, category, time_period) GROUP BY 1)",
+    "oo AS (SELECT dimension, row_number() OVER (ORDER BY u DESC, dimension) AS k FROM ub)",
+    "ch AS (SELECT a.k, string_agg(b.dimension, ',' ORDER BY b.dimension) AS run_id FROM oo a JOIN oo b ON b.k >= a.k GROUP BY 1)",
+    "tr AS (SELECT lf.* FROM lf JOIN ch USING (run_id))",
+    select=subset_log("tr"),
 )
 SQL["removed_dimensions"] = statement(
-    *subset_ctes(),
-    select="SELECT DISTINCT dimension FROM ss WHERE dimension NOT IN (SELECT s.dimension FROM ss s JOIN bs ON bs.run_id = s.run_id)",
+    *subset_ctes(), TRIED, "bs AS (SELECT run_id FROM tr WHERE fits ORDER BY size DESC, run_id LIMIT 1)",
+    select="SELECT DISTINCT dimension FROM ss WHERE dimension <> '_TIME_TOTAL_' AND dimension NOT IN (SELECT s.dimension FROM ss s JOIN bs ON bs.run_id = s.run_id)",
 )
 SQL["reconcile_export"] = statement(
     *rate_ctes(("priority", "linestatus"), "E3", True, True),

@@ -227,7 +227,7 @@ def denial_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Strategies -------------------------------------------------------------------
 
 STRATEGY = Roles("entity", ("returnflag", "priority"), metric="amount")
-SUBSETS = Roles("entity", ("brand", "linestatus", "returnflag"), metric="amount")
+SUBSETS = Roles("entity", ("brand", "linestatus", "priority", "returnflag"), metric="amount", time="period")
 PRESETS = (
     strategy.Preset("tight", 25.0),
     strategy.Preset("middle", 30.0),
@@ -262,14 +262,20 @@ def best_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(strategy.best_preset(presets(spark, sf_dir)))
 
 
-def subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = w.fact_for(spark, sf_dir, SUBSETS)
-    return strategy.search_dimension_subsets(df, SUBSETS, 18.0, 5)
+def subsets(spark: SparkSession, sf_dir: str, greedy: bool = False) -> DataFrame:
+    df = w.prepared_for(spark, sf_dir, SUBSETS)
+    return strategy.search_dimension_subsets(df, SUBSETS, 14.0, 5, greedy=greedy)
 
 
 @query
 def search_dimension_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(subsets(spark, sf_dir))
+    return tidy(subsets(spark, sf_dir).drop("dims"))
+
+
+@query
+def greedy_dimension_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of subsets that drops the most unbalanced dimension each time."""
+    return tidy(subsets(spark, sf_dir, greedy=True).drop("dims"))
 
 
 @query

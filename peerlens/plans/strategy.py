@@ -6,8 +6,9 @@ one evaluation instead of a driver loop over fits.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from itertools import combinations, islice
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from peerlens.operators.audit import residual_by_run
 from peerlens.operators.cells import (
     CELL,
+    WHOLE,
     aggregate_cells,
     cell_shares,
     dimension_unbalance,
@@ -260,11 +262,43 @@ def best_preset(comparison: DataFrame) -> DataFrame:
     return best.select("_b.preset", "_b.variant", "_b.mean_abs_impact_pp")
 
 
-def subset_runs(dimensions: tuple[str, ...], max_tests: int) -> list[tuple[str, ...]]:
-    """Dimension subsets, largest first, canonical order within a size."""
-    ordered = sorted(dimensions)
-    found = (s for size in range(len(ordered), 0, -1) for s in combinations(ordered, size))
-    return list(islice(found, max_tests))
+Subset = tuple[str, ...]
+
+
+def next_level(feasible: set[Subset], size: int) -> list[Subset]:
+    """The sets of ``size`` dimensions all of whose parts with one fewer are feasible, in canonical order."""
+    names = sorted({d for s in feasible for d in s})
+    grown = {tuple(sorted({*s, d})) for s in feasible if len(s) == size - 1 for d in names if d not in s}
+    return sorted(g for g in grown if all(tuple(x for x in g if x != d) in feasible for d in g))
+
+
+def fit_subsets(cells: DataFrame, subsets: list[Subset], cap: float, min_entities: int, rounds: int | None = None) -> DataFrame:
+    """One row per subset: what a joint fit of its cells leaves over the cap, and its thin cells.
+
+    All subsets are fitted together, each as a run.  Whole-period cells belong to every
+    subset.  A cell with some positive peers, but fewer than ``min_entities``, is thin.
+    """
+    names = [json.dumps(s) for s in subsets]
+    tests = F.array(
+        *[
+            F.struct(F.lit(n).alias("run_id"), F.array(*[F.lit(d) for d in s]).alias("dims"))
+            for n, s in zip(names, subsets)
+        ]
+    )
+    mine = F.filter(tests, lambda t: F.array_contains(t["dims"], F.col("dimension")) | (F.col("dimension") == WHOLE))
+    runs = cut_lineage(
+        cells.select("*", F.explode(mine).alias("_t")).select(
+            F.col("_t.run_id").alias("run_id"), *CELL, "peer", "v", F.lit(cap).alias("cap")
+        )
+    )
+    population = runs.select("run_id", "peer").distinct()
+    weights = fit_weights(runs, population, low=LOW, high=HIGH, rounds=rounds)
+    shares = cell_shares(attach_weights(runs, weights, ["run_id"]), ["run_id"])
+    thin = (
+        runs.groupBy("run_id", *CELL).agg(F.count_if(F.col("v") > 0).alias("_n"))
+        .groupBy("run_id").agg(F.count_if((F.col("_n") > 0) & (F.col("_n") < min_entities)).alias("thin_cells"))
+    )
+    return residual_by_run(shares, TOLERANCE).join(thin, "run_id")
 
 
 def search_dimension_subsets(
@@ -279,65 +313,69 @@ def search_dimension_subsets(
 ) -> DataFrame:
     """Attempt log of dimension subsets; ``best`` marks the largest one that fits.
 
-    All subsets are fitted together.  ``greedy`` tries only the chain that drops
-    the most unbalanced dimension each time.  Cells here include those no weights
-    can fix, since a subset is wanted that avoids them.
+    A subset fits if weights exist under which no cell is over the cap and tolerance, and
+    it has no thin cell; cells that no weights can fix count, since a subset is wanted that
+    avoids them.  More dimensions bind the same weights more, so a set with a part that
+    does not fit cannot fit: after the whole set and the single dimensions, each job fits
+    the sets of one size all of whose parts fit, until there are none.  So the log holds
+    every set up to the border, and what it leaves out does not fit.  ``greedy`` tries the
+    chain that drops the most unbalanced dimension each time.  With a time column, cells
+    are by period, and whole periods count in every subset.
+
+    No more than ``max_tests`` subsets are tried; ``cut`` says on every row whether some were
+    left out for that.  ``dims`` are a subset's dimensions, ``dimensions`` the same as text.
     """
-    flat = Roles(roles.entity, roles.dimensions, metric=roles.metric, target=roles.target)
-    cells = cut_lineage(governed_cells(df, flat))
+    cells = cut_lineage(governed_cells(df, roles))
+    everything = tuple(sorted(roles.dimensions))
     if greedy:
         # One row per dimension to the driver, to order the chain.
-        scores = dimension_unbalance(cells).collect()
+        scores = dimension_unbalance(cells.where(F.col("dimension") != WHOLE)).collect()
         order = sorted(scores, key=lambda r: (-r["unbalance_pct"], r["dimension"]))
         names = [r["dimension"] for r in order]
-        subsets = [tuple(sorted(names[i:])) for i in range(len(names))][:max_tests]
+        levels = [[tuple(sorted(names[i:])) for i in range(len(names))]]
     else:
-        subsets = subset_runs(roles.dimensions, max_tests)
-    tests = F.array(
-        *[
-            F.struct(
-                F.lit(",".join(s)).alias("run_id"),
-                F.lit(len(s)).alias("size"),
-                F.array(*[F.lit(d) for d in s]).alias("dims"),
-            )
-            for s in subsets
-        ]
-    )
-    mine = F.filter(tests, lambda t: F.array_contains(t["dims"], F.col("dimension")))
-    runs = cut_lineage(
-        cells.select("*", F.explode(mine).alias("_t")).select(
-            F.col("_t.run_id").alias("run_id"),
-            F.col("_t.size").alias("size"),
-            *CELL,
-            "peer",
-            "v",
-            F.lit(cap).alias("cap"),
-        )
-    )
-    population = runs.select("run_id", "peer").distinct()
-    weights = fit_weights(
-        runs.select("run_id", *CELL, "peer", "v", "cap"), population, low=LOW, high=HIGH, rounds=rounds
-    )
-    shares = cell_shares(attach_weights(runs, weights, ["run_id"]), ["run_id"])
-    log = residual_by_run(shares, TOLERANCE).join(
-        runs.groupBy("run_id").agg(F.max("size").alias("size")), "run_id"
-    )
-    fits = F.col("over_cap_rows") == 0
-    best = log.where(fits).agg(F.min(F.struct((-F.col("size")).alias("s"), "run_id"))["run_id"]).scalar()
+        levels = [list(dict.fromkeys([everything, *[(d,) for d in everything]]))]
+    parts, feasible, tried, cut, size = [], set(), 0, False, 1
+    while levels:
+        level = levels.pop()
+        if not greedy:
+            level = [s for s in level if s not in feasible]
+        cut = cut or len(level) > max_tests - tried
+        level = level[: max_tests - tried]
+        if not level:
+            break
+        tried += len(level)
+        log = cut_lineage(fit_subsets(cells, level, cap, min_entities, rounds))
+        parts.append(log)
+        # The names of the subsets of a level that fit reach the driver.
+        fitting = log.where((F.col("over_cap_rows") == 0) & (F.col("thin_cells") == 0)).select("run_id").collect()
+        feasible |= {tuple(json.loads(r["run_id"])) for r in fitting}
+        size += 1
+        if not greedy and not cut and everything not in feasible and size < len(everything):
+            levels.append(next_level(feasible, size))
+    if not parts:
+        parts = [cut_lineage(fit_subsets(cells.where("false"), [everything], cap, min_entities, rounds))]
+    log = reduce(DataFrame.unionByName, parts).withColumn("dims", F.from_json("run_id", "array<string>"))
+    log = log.withColumn("dimensions", F.array_join("dims", ",")).withColumn("size", F.size("dims"))
+    fits = (F.col("over_cap_rows") == 0) & (F.col("thin_cells") == 0)
+    best = log.where(fits).agg(F.min(F.struct((-F.col("size")).alias("s"), "dims", "run_id"))["run_id"]).scalar()
     return log.select(
-        F.col("run_id").alias("dimensions"),
+        "dims",
+        "dimensions",
         "size",
         "over_cap_rows",
         "max_excess_pp",
         "sum_excess_pp",
+        "thin_cells",
         fits.alias("feasible"),
         F.coalesce(F.col("run_id") == best, F.lit(False)).alias("best"),
+        F.lit(cut).alias("cut"),
     )
 
 
 def removed_dimensions(attempts: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     """Dimensions that the best subset leaves out."""
-    chosen = attempts.where("best").select(F.explode(F.split("dimensions", ",")).alias("dimension"))
+    chosen = attempts.where("best").select(F.explode("dims").alias("dimension"))
     everything = attempts.select(
         F.explode(F.array(*[F.lit(d) for d in dimensions])).alias("dimension")
     ).distinct()
