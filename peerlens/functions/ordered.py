@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peerlens.functions.scalar import as_double, exact_parts
 from peerlens.session import cut_lineage, join_keys
 
 # Bits below the bucket in each pass: first sign, exponent and 6 bits of the mantissa
@@ -48,16 +49,6 @@ def order_bits(value: Column) -> Column:
     )
 
 
-def exact_parts(weight: Column) -> tuple[Column, Column]:
-    """A number as a whole decimal and what is left: their sums are exact in any order of rows."""
-    whole = weight.cast("double").cast("decimal(28,0)")
-    return whole, (weight.cast("double") - whole.cast("double")).cast("decimal(28,18)")
-
-
-def _as_double(whole: Column, rest: Column) -> Column:
-    return whole.cast("double") + rest.cast("double")
-
-
 def weighted_percentile(
     df: DataFrame,
     keys: list[str],
@@ -95,11 +86,11 @@ def _descend(rows: DataFrame, keys: list[str], result: str) -> DataFrame:
         # One row per occupied bucket, at most 2 ** 18 of a group and mostly a few hundred.
         before_w = F.sum("_w").over(scan) + F.col("_bw") - F.col("_w")
         before_r = F.sum("_r").over(scan) + F.col("_br") - F.col("_r")
-        total = _as_double(F.sum("_w").over(group), F.sum("_r").over(group)) * F.col("_p")
+        total = as_double(F.sum("_w").over(group), F.sum("_r").over(group)) * F.col("_p")
         placed = sums.select(
             *keys, "_b", "_values", "_x", F.coalesce("_target", total).alias("_target"),
             before_w.cast("decimal(38,0)").alias("_bw"), before_r.cast("decimal(38,18)").alias("_br"),
-            _as_double(before_w + F.col("_w"), before_r + F.col("_r")).alias("_c"), F.max("_b").over(group).alias("_last"),
+            as_double(before_w + F.col("_w"), before_r + F.col("_r")).alias("_c"), F.max("_b").over(group).alias("_last"),
         )
         crossing = cut_lineage(
             # The last bucket answers if rounding keeps every sum below the target.
@@ -164,7 +155,7 @@ def weighted_percentile_or_plain(
         .groupBy(*keys, value)
         .agg(F.sum(whole).alias("_w"), F.sum(rest).alias("_r"), F.count("*").alias("_n"))
     )
-    sums = counts.groupBy(*keys).agg(_as_double(F.sum("_w"), F.sum("_r")).alias("_tw"))
+    sums = counts.groupBy(*keys).agg(as_double(F.sum("_w"), F.sum("_r")).alias("_tw"))
     joined = join_keys(counts, sums, keys)
     weighted = joined.where(F.col("_tw") > 0).select(*keys, F.col(value).alias("_x"), "_w", "_r", F.lit(float(p)).alias("_p"))
     return _descend(weighted, keys, result).unionByName(

@@ -114,6 +114,58 @@ def user_token(user: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.encode(user, "utf-8")), "+/=\r\n", "-_ "))
 
 
+def exact_parts(value: Column) -> tuple[Column, Column]:
+    """A double as a whole decimal and what is left: their sums are exact in any order of rows.
+
+    Null for what is not finite or too large.
+    """
+    number = value.cast("double")
+    whole = number.try_cast("decimal(28,0)")
+    return whole, (number - whole.cast("double")).try_cast("decimal(28,18)")
+
+
+def as_double(whole: Column, rest: Column) -> Column:
+    """The double that two exact parts make."""
+    return whole.cast("double") + rest.cast("double")
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that does not depend on the order of rows; a plain sum where one is not finite."""
+    whole, rest = exact_parts(value)
+    strange = F.max(value.isNotNull() & whole.isNull())
+    return F.when(strange, F.sum(value)).otherwise(as_double(F.sum(whole), F.sum(rest)))
+
+
+def hash_pieces(texts: list[Column]) -> list[Column]:
+    """SHA-256 of some texts with null marked, as four whole decimals that may be added in any order."""
+    line = F.concat_ws("\u001f", *[F.coalesce(t.cast("string"), F.lit("\u0000")) for t in texts])
+    h = F.sha2(line, 256)
+    return [F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+
+
+def digest_line(key: Column | str, count: Column | str, pieces: list[str]) -> Column:
+    """The text that stands for a group in the next level of a digest."""
+    return F.concat_ws(":", key, count, *[F.col(p).cast("string") for p in pieces])
+
+
+PIECES = [f"_p{i}" for i in range(4)]
+
+
+def summed_pieces(texts: list[Column]) -> list[Column]:
+    return [F.sum(p).alias(n) for p, n in zip(hash_pieces(texts), PIECES)]
+
+
+def root_digest(leaves: DataFrame, key: str, line: str, name: str = "digest") -> DataFrame:
+    """One digest of rows ``key, line`` by 256 buckets of the key, one row out.
+
+    Rows are hashed and added up in a bucket; at most 256 rows reach the last step.
+    """
+    bucket = F.substring(F.sha2(F.col(key), 256), 1, 2).alias("_g")
+    grouped = leaves.groupBy(bucket).agg(F.count("*").alias("_n"), *summed_pieces([F.col(line)]))
+    lines = F.array_sort(F.collect_list(digest_line("_g", "_n", PIECES)))
+    return grouped.agg(F.sha2(F.array_join(lines, ";"), 256).alias(name))
+
+
 def ordered_digest(df: DataFrame, order: list[str], text: Column, name: str = "digest") -> DataFrame:
     """SHA-256 that depends on all rows and their order, one row out.
 

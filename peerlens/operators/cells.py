@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peerlens.functions.scalar import exact_sum
 from peerlens.roles import Roles
 from peerlens.session import add_group_values, cut_lineage, join_keys
 
@@ -23,11 +24,13 @@ def filled_sum(column: str | Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0.0))
 
 
-def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, flags: bool) -> DataFrame:
+def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, flags: bool, exact: bool = False) -> DataFrame:
     """Facts summed by dimension, category, period and entity, null labels kept.
 
-    All dimensions are handled in one scan; rows are combined before the shuffle.
+    All dimensions are handled in one scan; rows are combined before the shuffle.  With
+    ``exact`` the sums are the same whatever the order of rows.
     """
+    add = exact_sum if exact else F.sum
     labels = list(roles.dimensions)
     sums = [f"_m{i}" for i in range(len(metrics))]
     wide = df.select(
@@ -46,15 +49,15 @@ def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, fla
         "category",
     )
     return long.groupBy(*CELL, "peer").agg(
-        *[F.sum(s).alias(m) for m, s in zip(metrics, sums)],
+        *[add(F.col(s)).alias(m) for m, s in zip(metrics, sums)],
         *([F.max(F.col(s) > 0).alias(positive(m)) for m, s in zip(metrics, sums)] if flags else []),
         *([F.sum(F.when(F.col(s) >= 0, F.col(s))).alias(usable(m)) for m, s in zip(metrics, sums)] if flags else []),
     )
 
 
-def summed_with_flags(df: DataFrame, roles: Roles, metrics: list[str]) -> DataFrame:
+def summed_with_flags(df: DataFrame, roles: Roles, metrics: list[str], exact: bool = False) -> DataFrame:
     """Sums and positivity flags per cell and entity, null labels kept."""
-    return _unpivoted(df, roles, metrics, whole=False, flags=True)
+    return _unpivoted(df, roles, metrics, whole=False, flags=True, exact=exact)
 
 
 def positive(metric: str) -> str:
@@ -67,16 +70,17 @@ def usable(metric: str) -> str:
     return f"{metric}__usable"
 
 
-def prepare_cells(df: DataFrame, roles: Roles, metrics: list[str] | None = None) -> DataFrame:
+def prepare_cells(df: DataFrame, roles: Roles, metrics: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Scan the facts once for a whole run and write the compact result.
 
     The operators accept this table in place of the facts (``CELL, peer``, sums, sums
     of usable rows and positivity flags; null labels and the target included), so that a run
-    with suppression, weights and exports does not read the facts once for each.
+    with suppression, weights and exports does not read the facts once for each.  A run
+    whose figures are digested asks for ``exact`` sums.
     """
     named = [roles.metric, roles.total, *roles.numerators.values(), *roles.secondary]
     wanted = metrics or list(dict.fromkeys(m for m in named if m))
-    return cut_lineage(summed_with_flags(df, roles, wanted))
+    return cut_lineage(summed_with_flags(df, roles, wanted, exact))
 
 
 def is_prepared(df: DataFrame) -> bool:
@@ -92,7 +96,7 @@ def of_first_dimension(prepared: DataFrame, roles: Roles) -> DataFrame:
     return prepared.where(F.col("dimension") == roles.dimensions[0])
 
 
-def aggregate_cells(df: DataFrame, roles: Roles, metrics: list[str], *, with_whole: bool = True) -> DataFrame:
+def aggregate_cells(df: DataFrame, roles: Roles, metrics: list[str], *, with_whole: bool = True, exact: bool = False) -> DataFrame:
     """Sum ``metrics`` by dimension, category, period and entity.
 
     Null entities and categories are left out, null periods are kept (they still
@@ -103,7 +107,7 @@ def aggregate_cells(df: DataFrame, roles: Roles, metrics: list[str], *, with_who
     values = [F.coalesce(m, F.lit(0.0)).alias(m) for m in metrics]
     if not is_prepared(df):
         cells = _unpivoted(
-            df.where(F.col(roles.entity).isNotNull()), roles, metrics, with_whole, flags=False
+            df.where(F.col(roles.entity).isNotNull()), roles, metrics, with_whole, flags=False, exact=exact
         ).where(F.col("category").isNotNull())
         return cells.select(*CELL, "peer", *values)
     known = df.where(F.col("peer").isNotNull())
@@ -119,7 +123,7 @@ def aggregate_cells(df: DataFrame, roles: Roles, metrics: list[str], *, with_who
         cells = cells.unionByName(
             whole.select(F.lit(WHOLE).alias("dimension"), F.lit("all").alias("category"), "*")
         )
-    return cells if roles.time else over_all_periods(cells, metrics)
+    return cells if roles.time else over_all_periods(cells, metrics, exact=exact)
 
 
 def ready_cells(df: DataFrame, roles: Roles, metrics: list[str]) -> DataFrame:
@@ -128,11 +132,12 @@ def ready_cells(df: DataFrame, roles: Roles, metrics: list[str]) -> DataFrame:
     return cells if is_prepared(df) else cut_lineage(cells)
 
 
-def over_all_periods(cells: DataFrame, metrics: list[str], label: str | None = None) -> DataFrame:
+def over_all_periods(cells: DataFrame, metrics: list[str], label: str | None = None, exact: bool = False) -> DataFrame:
     """Fold the period away; partial sums are re-aggregated, not the facts."""
+    add = exact_sum if exact else F.sum
     return (
         cells.groupBy("dimension", "category", "peer")
-        .agg(*[F.sum(m).alias(m) for m in metrics])
+        .agg(*[add(F.col(m)).alias(m) for m in metrics])
         .select(
             "dimension",
             "category",

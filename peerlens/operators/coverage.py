@@ -14,13 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.functions.ordered import largest_k
-from peerlens.functions.scalar import ordered_digest, unit_key
+from peerlens.functions.scalar import (
+    PIECES,
+    digest_line,
+    hash_pieces,
+    ordered_digest,
+    root_digest,
+    summed_pieces,
+    unit_key,
+)
 from peerlens.operators.cells import CELL, aggregate_cells, peers_only, percent
 from peerlens.operators.rules import (
     PROTECTED_CAP,
     RULES,
     applicable,
-    rules_array,
+    passes,
     sweep_evidence,
     undominated,
     with_verdict,
@@ -40,10 +48,11 @@ BOUND_TOLERANCE = 1e-9
 def unit_volumes(df: DataFrame, roles: Roles) -> DataFrame:
     """``volumes``: every governed metric of every peer in every cell.
 
-    Negative or non-finite volumes stop the job.
+    Negative or non-finite volumes stop the job.  The sums are exact, so a digest of them
+    does not depend on how the facts lie; a prepared table has to be made with ``exact``.
     """
     metrics = [roles.metric, *roles.secondary]
-    cells = peers_only(aggregate_cells(df, roles, metrics, with_whole=False), roles.target)
+    cells = peers_only(aggregate_cells(df, roles, metrics, with_whole=False, exact=True), roles.target)
     if roles.time:
         cells = cells.where(F.col("time_period").isNotNull())
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
@@ -485,11 +494,39 @@ def check_partition(universe: DataFrame, released: DataFrame, suppressed: DataFr
     ).select("_c.*")
 
 
-def universe_digest(volumes: DataFrame, units: DataFrame) -> DataFrame:
-    """Digest over all units with their metrics, peers and volumes."""
+def _volume_texts() -> list[Column]:
+    """What a volume row adds to its unit's digest."""
+    return [F.col("metric"), F.col("peer"), F.col("v").cast("decimal(38,6)")]
+
+
+def unit_digests(volumes: DataFrame, units: DataFrame) -> DataFrame:
+    """``unit_key, digest`` over a unit's metrics, peers and volumes, in any order of rows."""
     placed = join_keys(volumes, units.select(*CELL, "unit_key"), CELL)
-    return ordered_digest(
-        placed, ["unit_key", "metric", "peer"], F.format_string("%.6f", F.col("v"))
+    sums = placed.groupBy("unit_key").agg(F.count("*").alias("_n"), *summed_pieces(_volume_texts()))
+    return sums.select("unit_key", F.sha2(digest_line("unit_key", "_n", PIECES), 256).alias("digest"))
+
+
+def universe_digest(volumes: DataFrame, units: DataFrame) -> DataFrame:
+    """One digest over all units with all their metrics, peers and volumes."""
+    return root_digest(unit_digests(volumes, units), "unit_key", "digest")
+
+
+def digest_differences(recorded: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Where two tables of ``unit_digests`` differ: ``bucket, unit_key, difference``.
+
+    Buckets of the key are compared first, and units only in those that differ.
+    """
+    bucket = F.substring(F.sha2(F.col("unit_key"), 256), 1, 2).alias("bucket")
+    both = recorded.select(bucket, "unit_key", "digest", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        fresh.select(bucket, "unit_key", "digest", F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    )
+    signed = [F.sum(p * (F.col("_a") - F.col("_b"))).alias(n) for p, n in zip(hash_pieces([F.col("unit_key"), F.col("digest")]), PIECES)]
+    off = both.groupBy("bucket").agg(*signed).where(" OR ".join(f"{n} <> 0" for n in PIECES)).select("bucket")
+    units = both.join(off, "bucket", "left_semi").groupBy("bucket", "unit_key").agg(
+        F.max(F.when(F.col("_a") == 1, F.col("digest"))).alias("_x"), F.max(F.when(F.col("_b") == 1, F.col("digest"))).alias("_y")
+    )
+    return units.where(~F.col("_x").eqNullSafe(F.col("_y"))).select(
+        "bucket", "unit_key", F.when(F.col("_y").isNull(), "missing").when(F.col("_x").isNull(), "added").otherwise("changed").alias("difference")
     )
 
 
@@ -526,8 +563,6 @@ def verify_release(
     ``recorded`` is ``unit_key, released, authorizing_rule``.  Shares are computed
     anew from the volumes here, not taken from the search.
     """
-    released = recorded.where("released")
-    partition = check_partition(units, released, recorded.where(~F.col("released")))
     bad_weight = F.isnan("w") | (F.abs(F.col("w")) == float("inf")) | F.col("w").isNull()
     bounds = weights.agg(
         F.count_if(bad_weight).alias("weight_nonfinite"),
@@ -535,86 +570,91 @@ def verify_release(
             ~bad_weight & ((F.col("w") < low - BOUND_TOLERANCE) | (F.col("w") > high + BOUND_TOLERANCE))
         ).alias("weight_out_of_bounds"),
     )
-    placed = join_keys(
-        volumes.where(F.col("v") > 0), units.select(*CELL, "unit_key", "rules"), CELL
-    ).join(weights, "peer", "left")
-    shown = placed.join(released.select("unit_key", F.lit(True).alias("_shown")), "unit_key", "left")
-    missing = shown.agg(
-        F.count_if(F.col("_shown") & F.col("w").isNull()).alias("weight_missing")
-    )
-    value = F.col("v") * F.coalesce("w", F.lit(1.0))
-    totals = placed.groupBy("unit_key", "metric").agg(F.sum(value).alias("_t"))
-    shares = join_keys(placed, totals, ["unit_key", "metric"]).withColumn(
-        "share", percent(value, F.col("_t"))
-    )
-    evidence = sweep_evidence(shares, ["unit_key", "metric"])
-    verdicts = with_verdict(
-        evidence.withColumn("r", F.explode(rules_array()))
-    ).groupBy("unit_key", "rule").agg(F.min("strict_passed").alias("_ok"))
-    allowed = units.select("unit_key", F.explode("rules").alias("r")).select(
-        "unit_key", F.col("r.rule").alias("rule"), F.lit(True).alias("_may")
-    )
-    per_rule = verdicts.join(allowed, ["unit_key", "rule"], "left")
-    held = shares.groupBy("unit_key").agg(
-        F.max(
-            F.when(F.col("peer") == F.lit(overlay_entity), F.col("share"))
-        ).alias("_protected")
+    # Evidence, overlay, missing weights and digest of a unit come from one read of its volumes.
+    placed = join_keys(volumes, units.select(*CELL, "unit_key", "rules"), CELL).join(weights, "peer", "left")
+    used = F.when(F.col("v") > 0, F.col("v") * F.coalesce("w", F.lit(1.0)))
+    key = ["unit_key", "metric"]
+    rows = cut_lineage(placed.select(*key, "peer", "v", "rules", used.alias("_x"), ((F.col("v") > 0) & F.col("w").isNull()).alias("_lacks")))
+    totals = rows.groupBy(*key).agg(F.sum("_x").alias("_t"))
+    share = F.when(F.col("_x").isNotNull(), percent(F.col("_x"), F.col("_t")))
+    shares = join_keys(rows, totals, key).withColumn("share", share)
+    per_metric = sweep_evidence(
+        shares, [*key, "rules"], more=[
+            F.max(F.when(F.col("peer") == F.lit(overlay_entity), F.col("share"))).alias("_protected"),
+            F.count_if("_lacks").alias("_lacking"), F.count("*").alias("_n"), *summed_pieces(_volume_texts()),
+        ],
     )
+    passing = F.array_compact(F.array(*[F.when(F.col(f"_ok{i}"), F.lit(r.name)) for i, r in enumerate(RULES)]))
+    allowed = F.transform("rules", lambda r: r["rule"])
     expected = (
-        per_rule.groupBy("unit_key")
-        .agg(
-            F.min(F.when(F.col("_ok") & F.col("_may"), F.col("rule"))).alias("_first"),
-            F.collect_set(F.when(F.col("_may"), F.col("rule"))).alias("_allowed"),
-            F.collect_set(F.when(F.col("_ok") & F.col("_may"), F.col("rule"))).alias("_passing"),
+        per_metric.where(F.col("participants") > 0)
+        .groupBy("unit_key").agg(
+            F.first("rules").alias("rules"), *[F.min(passes(r)).alias(f"_ok{i}") for i, r in enumerate(RULES)], F.max("_protected").alias("_protected"),
         )
-        .join(held, "unit_key")
-        .withColumn(
-            "_overlay",
-            F.coalesce(F.col("_protected") <= PROTECTED_CAP + COMPARISON_EPSILON, F.lit(True)),
+        .select(
+            "unit_key", allowed.alias("_allowed"), F.array_intersect(passing, allowed).alias("_passing"),
+            F.coalesce(F.col("_protected") <= PROTECTED_CAP + COMPARISON_EPSILON, F.lit(True)).alias("_overlay"),
         )
     )
-    compared = units.select("unit_key").join(expected, "unit_key", "left").join(
-        recorded.select("unit_key", "released", "authorizing_rule"), "unit_key", "left"
-    )
-    on = F.coalesce("released", F.lit(False))
-    rule = F.col("authorizing_rule")
-    should = F.coalesce("_overlay", F.lit(False)) & F.col("_first").isNotNull()
-    known = rule.isin(*[r.name for r in RULES])
-    outcome = compared.agg(
-        F.count_if(on & ~F.coalesce(known, F.lit(False))).alias("authorizing_rule_unknown"),
-        F.count_if(on & known & ~F.array_contains("_allowed", rule)).alias(
-            "authorizing_rule_inapplicable"
-        ),
-        F.count_if(
-            on & F.array_contains("_allowed", rule) & ~F.array_contains("_passing", rule)
-        ).alias("authorizing_rule_failed"),
-        F.count_if(on & ~F.col("_overlay")).alias("overlay_failed"),
-        F.count_if(~on & should).alias("hidden_passing_unit"),
-        F.count_if((on != should) | (on & ~rule.eqNullSafe(F.col("_first")))).alias(
-            "weight_partition_mismatch"
-        ),
+    counted = per_metric.groupBy("unit_key").agg(F.sum("_lacking").alias("_lacking"), F.sum("_n").alias("_n"), *[F.sum(p).alias(p) for p in PIECES])
+    listed = recorded.groupBy("unit_key").agg(
+        F.count_if("released").alias("_r"), F.count_if(~F.col("released")).alias("_s"),
+        F.collect_set(F.struct(F.coalesce("released", F.lit(False)).alias("on"), F.col("authorizing_rule").alias("rule"))).alias("_said"),
     )
-
-    def long(df: DataFrame) -> DataFrame:
-        return df.select(
-            F.explode(
-                F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in df.columns])
-            ).alias("_c")
-        ).select("_c.*")
-
-    found = (
-        partition.unionByName(long(bounds)).unionByName(long(missing)).unionByName(long(outcome))
+    compared = cut_lineage(
+        units.groupBy("unit_key").agg(F.count("*").alias("_u"))
+        .join(counted, "unit_key", "left").join(expected, "unit_key", "left").join(listed, "unit_key", "full")
     )
+    found = long_counts(bounds).unionByName(long_counts(_outcome(compared)))
     if recorded_digest is not None:
-        fresh = universe_digest(volumes, units).select(
+        leaves = compared.where("_n IS NOT NULL").select("unit_key", F.sha2(digest_line("unit_key", "_n", PIECES), 256).alias("digest"))
+        fresh = root_digest(leaves, "unit_key", "digest").select(
             (
                 F.col("digest") != recorded_digest.select("digest").scalar()
             ).cast("bigint").alias("universe_digest_mismatch")
         )
-        found = found.unionByName(long(fresh))
+        found = found.unionByName(long_counts(fresh))
     return found
 
 
+def _outcome(compared: DataFrame) -> DataFrame:
+    """Failures by code from one row per unit: what it holds, what it should show and what is recorded."""
+    known_unit, names = F.col("_u") > 0, [r.name for r in RULES]
+    r, s, said = F.coalesce("_r", F.lit(0)), F.coalesce("_s", F.lit(0)), F.coalesce("_said", F.array().cast("array<struct<on:boolean,rule:string>>"))
+    on = F.exists(said, lambda x: x["on"])
+    first = F.array_min("_passing")
+    should = F.coalesce("_overlay", F.lit(False)) & first.isNotNull()
+    shown = lambda test: F.exists(said, lambda x: x["on"] & test(x["rule"]))
+    known = lambda rule: F.coalesce(rule.isin(*names), F.lit(False))
+    may = lambda rule: F.coalesce(F.array_contains("_allowed", rule), F.lit(False))
+    held = lambda rule: F.coalesce(F.array_contains("_passing", rule), F.lit(False))
+    here = F.coalesce(known_unit, F.lit(False))
+    checks = {
+        "duplicate_release_key": r > 1,
+        "unknown_release_key": (r > 0) & ~here,
+        "release_partition_mismatch": ((r > 0) & (s > 0)) | (here != ((r > 0) | (s > 0))),
+        "authorizing_rule_unknown": here & shown(lambda rule: ~known(rule)),
+        "authorizing_rule_inapplicable": here & shown(lambda rule: known(rule) & ~may(rule)),
+        "authorizing_rule_failed": here & shown(lambda rule: may(rule) & ~held(rule)),
+        "overlay_failed": here & on & ~F.coalesce("_overlay", F.lit(True)),
+        "hidden_passing_unit": here & ~on & should,
+        "weight_partition_mismatch": here & ((on != should) | shown(lambda rule: ~rule.eqNullSafe(first))),
+    }
+    return compared.agg(
+        *[F.count_if(c).alias(n) for n, c in checks.items()],
+        F.coalesce(F.sum(F.when(here & on, F.col("_lacking"))), F.lit(0)).alias("weight_missing"),
+    )
+
+
+def long_counts(df: DataFrame) -> DataFrame:
+    """One row of counts as rows ``code, n``."""
+    return df.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in df.columns])
+        ).alias("_c")
+    ).select("_c.*")
+
+
 def coverage_certificate(partition: DataFrame, weights: DataFrame) -> DataFrame:
     """Counts and percentage, visible keys by rule, digests; no suppressed key."""
     counts = partition.agg(

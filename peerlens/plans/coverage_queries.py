@@ -23,7 +23,7 @@ PROTECTED = "E1"
 
 def universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Volumes and candidate units, both materialised."""
-    df = w.prepared_for(spark, sf_dir, COVER)
+    df = w.prepared_for(spark, sf_dir, COVER, exact=True)
     volumes = cut_lineage(coverage.unit_volumes(df, COVER))
     records = suppression.suppress_thin_cells(df, COVER, 6)
     return volumes, cut_lineage(coverage.candidate_units(volumes, records, overlay_entity=PROTECTED))
@@ -184,8 +184,7 @@ def verify_release(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def coverage_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, vector, partition = partition_of(spark, sf_dir)
-    out = coverage.coverage_certificate(partition, vector)
-    return tidy(out.select("candidate_units", "released_units", "suppressed_units", "authorizing_rules", "coverage_pct"))
+    return tidy(coverage.coverage_certificate(partition, vector))
 
 
 @query
@@ -197,8 +196,17 @@ def release_mask_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def universe_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     volumes, units = universe(spark, sf_dir)
-    whole = volumes.where(F.col("metric") != "amount")
-    return coverage.universe_digest(whole, units)
+    return coverage.universe_digest(volumes, units)
+
+
+@query
+def digest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by which a record differs whose every seventh month lost a peer, and which lacks a dimension."""
+    volumes, units = universe(spark, sf_dir)
+    seventh = F.substring("time_period", 6, 2) == "07"
+    before = volumes.where(~(seventh & (F.col("peer") == "E4"))).where(F.col("dimension") != "linestatus")
+    found = coverage.digest_differences(coverage.unit_digests(before, units), coverage.unit_digests(volumes, units))
+    return found.select("unit_key", "difference")
 
 
 @query

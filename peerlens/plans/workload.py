@@ -116,8 +116,8 @@ def fact_for(spark: SparkSession, sf_dir: str, roles: Roles, *more: str) -> Data
 
 
 def prepared_for(
-    spark: SparkSession, sf_dir: str, roles: Roles, *more: str
+    spark: SparkSession, sf_dir: str, roles: Roles, *more: str, exact: bool = False
 ) -> DataFrame:
     """The facts of a run scanned once into a compact table."""
     metrics = [c for c in columns_of(roles, *more) if c not in (roles.entity, roles.time, *roles.dimensions)]
-    return prepare_cells(fact_for(spark, sf_dir, roles, *more), roles, metrics)
+    return prepare_cells(fact_for(spark, sf_dir, roles, *more), roles, metrics, exact)
