@@ -536,16 +536,18 @@ SQL["tier_violations"] = statement(
     "AND tx.time_period = tj.time_period WHERE enforce AND NOT tiers_passed",
 )
 SQL["violation_penalty"] = statement(
-    *AUDIT, *stats(), *fitted(40.0, prefix="wa"), *fitted(25.0, prefix="wb"),
+    *AUDIT, *stats(), *strict_tiers(7, 15.0, 8.0), *fitted(40.0, prefix="wa"), *fitted(25.0, prefix="wb"),
     "vec AS (SELECT DISTINCT 'v0' AS run_id, peer, 1.0::DOUBLE AS multiplier FROM cells UNION ALL SELECT 'v1', peer, multiplier FROM wa "
     "UNION ALL SELECT 'v2', peer, multiplier FROM wb)",
     f"vs AS (SELECT x.run_id, c.dimension, c.category, c.time_period, c.peer, {pct('(v * multiplier)', 'sum(v * multiplier) OVER p')} AS share FROM cells c "
     f"JOIN vec x ON x.peer = c.peer WINDOW p AS (PARTITION BY x.run_id, {CELL}))",
     f"vr AS (SELECT *, row_number() OVER (PARTITION BY run_id, {CELL} ORDER BY share DESC, peer) AS k FROM vs)",
-    f"vc AS (SELECT run_id, {CELL}, sum(pow(greatest(share - 25.0, 0.0), 2)) AS ex, pow(greatest(0.0, 15.0 - coalesce(max(share) FILTER (WHERE k = 2), 0.0)), 2) "
-    f"+ pow(greatest(0.0, 8.0 - coalesce(max(share) FILTER (WHERE k = 3), 0.0)), 2) AS sh FROM vr GROUP BY ALL)",
-    "vp AS (SELECT run_id, sum(greatest(0.1, representativeness) * ex) AS a, sum(greatest(0.1, representativeness) * sh) AS b FROM vc JOIN stats s ON "
-    "s.dimension = vc.dimension AND s.category = vc.category AND s.time_period = vc.time_period GROUP BY run_id)",
+    f"vt AS (SELECT run_id, {CELL}, sum(pow(greatest(share - CASE WHEN peer = 'E1' THEN 18.0 ELSE 25.0 END, 0.0), 2)) AS ex, "
+    "list(share ORDER BY k) AS tops FROM vr GROUP BY ALL)",
+    "vc AS (SELECT vt.*, s.representativeness, CASE WHEN enforce THEN pow(greatest(0.0, t1 - coalesce(tops[c1], 0.0)), 2) "
+    "+ pow(greatest(0.0, t2 - coalesce(tops[c1 + c2], 0.0)), 2) ELSE 0.0 END AS sh FROM vt JOIN sd s ON "
+    "s.dimension = vt.dimension AND s.category = vt.category AND s.time_period = vt.time_period)",
+    "vp AS (SELECT run_id, sum(greatest(0.1, representativeness) * ex) AS a, sum(greatest(0.1, representativeness) * sh) AS b FROM vc GROUP BY run_id)",
     "vd AS (SELECT run_id, sum(pow(multiplier - 1.0, 2)) AS d FROM vec GROUP BY run_id)",
     select="SELECT run_id, round(a, 3) AS cap_penalty, round(b, 3) AS tier_penalty, round(d, 3) AS deviation, round((a + b) * 1000.0 + d, 3) AS penalty "
     "FROM vp JOIN vd USING (run_id)",

@@ -487,7 +487,7 @@ def tier_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def violation_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of three weight vectors: neutral and those fitted at 40 and 25 percent."""
+    """Scores of three weight vectors, neutral and fitted at 40 and 25 percent; one peer has a cap of its own."""
     cells = audit_cells(spark, sf_dir)
     vectors = [
         cells.select("peer").distinct().select("peer", F.lit(1.0).alias("multiplier")),
@@ -499,7 +499,10 @@ def violation_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells.join(table.withColumnRenamed("multiplier", "m"), "peer")
     shares = cut_lineage(cell_ops.cell_shares(rows, ["run_id"]))
     stats = cell_ops.constraint_stats(cells, population(cells))
-    out = rules.violation_penalty(shares, stats, table, 25.0, rules.rule_named("7/35"), tolerance=0.0)
+    caps = cells.select("peer").distinct().where(F.col("peer") == "E1").withColumn("cap", F.lit(18.0))
+    out = rules.violation_penalty(
+        shares, stats, table, 25.0, rules.rule_named("7/35"), caps=caps, settings=LOOSE, tolerance=0.0
+    )
     return out.select(
         "run_id",
         *[F.round(c, 3).alias(c) for c in ("cap_penalty", "tier_penalty", "deviation", "penalty")],
