@@ -43,8 +43,23 @@ for _n, _c in NUMERATORS:
 SQL["check_nulls"] = statement(FACT, DIRTY, select=issues(nulls(["entity", "brand", "returnflag", "amount", "month"])))
 SQL["check_negative"] = statement(FACT, DIRTY, select=issues(negatives(["amount", "total", "fraud"])))
 SQL["check_num_gt_den"] = statement(FACT, DIRTY, select=issues(NUM_GT))
+def low_breakdown(limit: int) -> list[str]:
+    """CTE ``lowest``: the categories with most rows of a low total, as the text of a map."""
+    counts = " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, coalesce({d}, '<missing>') AS category, count(*) AS n_rows FROM dirty WHERE total > 0 AND total < {limit} GROUP BY 2"
+        for d in ("brand", "returnflag")
+    )
+    return [
+        f"lc AS ({counts})",
+        "lr AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n_rows DESC, category) AS rank FROM lc)",
+        "lt AS (SELECT dimension, string_agg(category || '=' || n_rows, ',' ORDER BY rank) AS t FROM lr WHERE rank <= 5 GROUP BY 1)",
+        """lowest AS (SELECT '{' || string_agg('"' || dimension || '":"' || t || '"', ',' ORDER BY dimension) || '}' AS details FROM lt)""",
+    ]
+
+
 SQL["check_low_denominator"] = statement(
-    FACT, DIRTY, select=issues([("low_denominator", "total", "total > 0 AND total < 10", "'WARNING'")])
+    FACT, DIRTY, *low_breakdown(10),
+    select="SELECT *, (SELECT details FROM lowest) AS details FROM (" + issues([("low_denominator", "total", "total > 0 AND total < 10", "'WARNING'")]) + ")",
 )
 SQL["issue_breakdown"] = statement(
     FACT, DIRTY,
@@ -101,20 +116,24 @@ SELECT 'WARNING' AS severity, 'peer_outlier_rate' AS check, rate || '/' || entit
 FROM r WHERE med > 0 AND v > 10.0 * med + 1e-9 AND v > 1.0 + 1e-9
 """
 SMALL = " UNION ALL ".join(
-    f"SELECT 'WARNING', 'small_categories', '{d}', n, 0.0 FROM (SELECT count(*) AS n FROM (SELECT {d} FROM dirty WHERE {d} IS NOT NULL GROUP BY {d} HAVING count(*) < 3)) WHERE n > 0"
+    f"SELECT 'WARNING', 'small_categories', '{d}', n, 0.0, '{{\"examples\":\"' || x || '\"}}' FROM (SELECT count(*) AS n, string_agg(c, ',' ORDER BY c) FILTER (WHERE k <= 5) AS x FROM "
+    f"(SELECT {d} AS c, row_number() OVER (ORDER BY {d}) AS k FROM dirty WHERE {d} IS NOT NULL GROUP BY {d} HAVING count(*) < 3)) WHERE n > 0"
     for d in ("brand", "returnflag")
 )
 SQL["validate_share_input"] = statement(
     FACT, DIRTY,
     "s AS (SELECT entity, sum(amount) / sum(sum(amount)) OVER () * 100.0 AS share FROM dirty GROUP BY entity)",
-    select=issues(nulls(["amount", "entity", "brand", "returnflag", "month"]) + negatives(["amount"]))
+    select="SELECT *, CAST(NULL AS VARCHAR) AS details FROM (" + issues(nulls(["amount", "entity", "brand", "returnflag", "month"]) + negatives(["amount"])) + ")"
     + " UNION ALL " + SMALL
-    + " UNION ALL SELECT 'WARNING', 'high_concentration', entity, 1, round(share, 6) FROM s WHERE share > 50.0",
+    + " UNION ALL SELECT 'WARNING', 'high_concentration', entity, 1, round(share, 6), NULL FROM s WHERE share > 50.0",
 )
 RATE_CHECKS = nulls(["total", "approved", "fraud"]) + negatives(["total", "approved", "fraud"]) + NUM_GT + RANGES + [
     ("low_denominator", "total", "total > 0 AND total < 100", "'WARNING'")
 ]
-SQL["validate_rate_input"] = statement(FACT, DIRTY, select=issues(RATE_CHECKS))
+SQL["validate_rate_input"] = statement(
+    FACT, DIRTY, *low_breakdown(100),
+    select=f"SELECT *, CASE WHEN \"check\" = 'low_denominator' THEN (SELECT details FROM lowest) END AS details FROM ({issues(RATE_CHECKS)})",
+)
 SQL["issue_severity_counts"] = statement(
     FACT, DIRTY, f"i AS ({issues(RATE_CHECKS)})",
     select="SELECT severity, count(*) AS n, severity = 'ERROR' AS abort FROM i GROUP BY severity",

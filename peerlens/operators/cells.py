@@ -31,6 +31,9 @@ def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, fla
     ``exact`` the sums are the same whatever the order of rows.
     """
     add = exact_sum if exact else F.sum
+    # Sums of usable rows are for impacts, which read the run's metric or one asked for besides.
+    others = {roles.total, *roles.numerators.values(), *roles.secondary} - {roles.metric}
+    marked = [m for m in metrics if m not in others] or metrics[:1]
     labels = list(roles.dimensions)
     sums = [f"_m{i}" for i in range(len(metrics))]
     wide = df.select(
@@ -51,7 +54,7 @@ def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, fla
     return long.groupBy(*CELL, "peer").agg(
         *[add(F.col(s)).alias(m) for m, s in zip(metrics, sums)],
         *([F.max(F.col(s) > 0).alias(positive(m)) for m, s in zip(metrics, sums)] if flags else []),
-        *([F.sum(F.when(F.col(s) >= 0, F.col(s))).alias(usable(m)) for m, s in zip(metrics, sums)] if flags else []),
+        *([add(F.when(F.col(s) >= 0, F.col(s))).alias(usable(m)) for m, s in zip(metrics, sums) if m in marked] if flags else []),
     )
 
 
@@ -73,8 +76,8 @@ def usable(metric: str) -> str:
 def prepare_cells(df: DataFrame, roles: Roles, metrics: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Scan the facts once for a whole run and write the compact result.
 
-    The operators accept this table in place of the facts (``CELL, peer``, sums, sums
-    of usable rows and positivity flags; null labels and the target included), so that a run
+    The operators accept this table in place of the facts (``CELL, peer``, sums, positivity
+    flags, and sums of usable rows of the metric; null labels and the target included), so that a run
     with suppression, weights and exports does not read the facts once for each.  A run
     whose figures are digested asks for ``exact`` sums.
     """

@@ -1,7 +1,9 @@
 """Input and result checks.
 
-An issue is one row ``severity, check, subject, n_rows, pct, details``.  All
-row-level checks of a run are one aggregate over the facts, then unpivoted.
+An issue is one row ``severity, check, subject, n_rows, pct, details``.  A whole validation
+reads the facts once: what the row checks count is added up with the metrics by dimension,
+category and entity (``checked_table``), and every check of rows, entities and categories
+is answered from that compact table.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from peerlens.operators.cells import percent
 from peerlens.operators.rules import concentration
 from peerlens.operators.schema import check_required_columns
 from peerlens.roles import Roles
-from peerlens.session import join_keys
+from peerlens.session import cut_lineage, join_keys
 
 # Thresholds of the input checks.
 MAX_NULL_PCT = 5.0
@@ -25,6 +27,7 @@ MIN_PEERS_MERCHANT = 4
 MAX_ENTITY_SHARE = 50.0
 MAX_RATE_DEVIATION = 50.0
 MAX_PEER_RATE_RATIO = 10.0
+BREAKDOWN_TOP = 5
 RATE_EPSILON = 1e-9
 
 ISSUE = ["severity", "check", "subject", "n_rows", "pct"]
@@ -39,6 +42,11 @@ def _issues(df: DataFrame, checks: list[tuple[str, str, Column, Column]]) -> Dat
         F.count("*").alias("_all"),
         *[F.count_if(condition).alias(f"_c{i}") for i, (_, _, condition, _) in enumerate(checks)],
     )
+    return _hits(counted, checks)
+
+
+def _hits(counted: DataFrame, checks: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    """Issues from one row of counts: all rows and those that each check hits."""
     rows = F.array(
         *[
             F.struct(
@@ -60,6 +68,49 @@ def _issues(df: DataFrame, checks: list[tuple[str, str, Column, Column]]) -> Dat
     )
 
 
+def checked_table(df: DataFrame, roles: Roles, checks: list[tuple[str, str, Column, Column]], sums: list[str]) -> DataFrame:
+    """Rows, hits of each check and sums by ``dimension, category, peer``, from one scan, written once.
+
+    Null labels are kept.  Every fact row is in it once for each dimension (or once, as
+    ``all``, where there is none).
+    """
+    labels = list(roles.dimensions)
+    hits, values = [f"_c{i}" for i in range(len(checks))], [f"_s{i}" for i in range(len(sums))]
+    wide = df.select(
+        F.col(roles.entity).cast("string").alias("_peer"),
+        *[F.col(d).cast("string").alias(d) for d in labels],
+        *([] if labels else [F.lit("all").alias("all")]),
+        *[condition.cast("int").alias(n) for n, (_, _, condition, _) in zip(hits, checks)],
+        *[F.col(c).cast("double").alias(n) for n, c in zip(values, sums)],
+    )
+    long = wide.unpivot(["_peer", *hits, *values], labels or ["all"], "dimension", "category")
+    return cut_lineage(
+        long.groupBy("dimension", "category", F.col("_peer").alias("peer")).agg(
+            F.count("*").alias("_n"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in hits],
+            *[F.sum(n).alias(c) for n, c in zip(values, sums)],
+        )
+    )
+
+
+def _once(table: DataFrame, roles: Roles) -> DataFrame:
+    """Every fact row of a checked table once."""
+    return table.where(F.col("dimension") == (roles.dimensions[0] if roles.dimensions else "all"))
+
+
+def _row_issues(table: DataFrame, roles: Roles, checks: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    counted = _once(table, roles).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"), *[F.coalesce(F.sum(f"_c{i}"), F.lit(0)).alias(f"_c{i}") for i in range(len(checks))]
+    )
+    return _hits(counted, checks)
+
+
+def _sums_of(table: DataFrame, roles: Roles, columns: list[str]) -> DataFrame:
+    return (
+        _once(table, roles).where(F.col("peer").isNotNull()).groupBy("peer")
+        .agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns])
+    )
+
+
 def null_severity() -> Column:
     return F.when(F.col("pct") > MAX_NULL_PCT, "ERROR").otherwise("WARNING")
 
@@ -91,9 +142,11 @@ def low_denominator(roles: Roles, minimum: float = MIN_DENOMINATOR) -> Column:
 
 
 def check_low_denominator(df: DataFrame, roles: Roles, minimum: float = MIN_DENOMINATOR) -> DataFrame:
-    return _issues(
-        df, [("low_denominator", roles.total, low_denominator(roles, minimum), F.lit("WARNING"))]
-    )
+    """Rows whose positive total is small; ``details`` names the categories where most of them are."""
+    low = low_denominator(roles, minimum)
+    issue = _issues(df, [("low_denominator", roles.total, low, F.lit("WARNING"))])
+    where = breakdown_text(issue_breakdown(df, low, list(roles.dimensions))) if roles.dimensions else None
+    return _as_issues(issue, where.scalar() if where is not None else None)
 
 
 def check_rate_range(df: DataFrame, roles: Roles) -> DataFrame:
@@ -120,11 +173,6 @@ def check_finite_nonneg(df: DataFrame, columns: list[str]) -> DataFrame:
     return _issues(df, checks)
 
 
-def offending_rows(df: DataFrame, condition: Column, n: int = 50) -> DataFrame:
-    """A few sample rows of an issue, for display."""
-    return df.where(condition).limit(n)
-
-
 def preprocess(df: DataFrame, fill: float = 0, drop_all_zero: bool = True) -> DataFrame:
     """Fill null numbers, then drop rows whose numbers are all zero."""
     numbers = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") or t.startswith("decimal")]
@@ -148,9 +196,12 @@ def entity_sums(df: DataFrame, roles: Roles, columns: list[str]) -> DataFrame:
 
 def check_entity_concentration(df: DataFrame, roles: Roles, limit: float = MAX_ENTITY_SHARE) -> DataFrame:
     """Entities holding more than half of the metric."""
-    sums = entity_sums(df, roles, [roles.metric]).withColumnRenamed(roles.metric, "v")
+    return _concentrated(entity_sums(df, roles, [roles.metric]), roles, limit)
+
+
+def _concentrated(sums: DataFrame, roles: Roles, limit: float = MAX_ENTITY_SHARE) -> DataFrame:
     return (
-        concentration(sums, [])
+        concentration(sums.withColumnRenamed(roles.metric, "v"), [])
         .where((F.col("total") > 0) & (F.col("share") > limit))
         .select(
             F.lit("WARNING").alias("severity"),
@@ -164,9 +215,11 @@ def check_entity_concentration(df: DataFrame, roles: Roles, limit: float = MAX_E
 
 def check_peer_count(df: DataFrame, roles: Roles, minimum: int = MIN_PEERS) -> DataFrame:
     """Too few peers once the target, if found, is taken off."""
-    per_entity = df.where(F.col(roles.entity).isNotNull()).groupBy(
-        F.col(roles.entity).alias("peer")
-    ).agg(F.lit(1).alias("_one"))
+    per_entity = df.where(F.col(roles.entity).isNotNull()).select(F.col(roles.entity).cast("string").alias("peer")).distinct()
+    return _few_peers(per_entity, roles, minimum)
+
+
+def _few_peers(per_entity: DataFrame, roles: Roles, minimum: int = MIN_PEERS) -> DataFrame:
     found = (
         F.count_if(F.upper("peer") == F.upper(F.lit(roles.target)))
         if roles.target is not None
@@ -204,7 +257,11 @@ def category_counts(df: DataFrame, dimensions: list[str], missing: str | None =
 
 def check_small_categories(df: DataFrame, roles: Roles, minimum: int = MIN_ROWS_PER_CATEGORY) -> DataFrame:
     """Dimensions with categories of fewer than three rows; the first five named."""
-    small = category_counts(df, list(roles.dimensions)).where(F.col("n_rows") < minimum)
+    return _small(category_counts(df, list(roles.dimensions)), minimum)
+
+
+def _small(counts: DataFrame, minimum: int = MIN_ROWS_PER_CATEGORY) -> DataFrame:
+    small = counts.where(F.col("n_rows") < minimum)
     order = Window.partitionBy("dimension").orderBy("category")
     totals = small.groupBy("dimension").agg(F.count("*").alias("_n"))
     named = (
@@ -223,7 +280,7 @@ def check_small_categories(df: DataFrame, roles: Roles, minimum: int = MIN_ROWS_
     )
 
 
-def issue_breakdown(df: DataFrame, condition: Column, dimensions: list[str], top: int = 5) -> DataFrame:
+def issue_breakdown(df: DataFrame, condition: Column, dimensions: list[str], top: int = BREAKDOWN_TOP) -> DataFrame:
     """The categories with most offending rows per dimension."""
     counts = category_counts(df.where(condition), dimensions, missing="<missing>")
     return largest_k(counts, ["dimension"], F.col("n_rows"), "category", top)
@@ -235,9 +292,11 @@ def check_peer_outlier_rate(df: DataFrame, roles: Roles) -> DataFrame:
     The median includes the target; a rate needs two valid entities and a positive
     median.
     """
-    sums = entity_sums(df, roles, [roles.total, *roles.numerators.values()]).where(
-        F.col(roles.total) > 0
-    )
+    return _outliers(entity_sums(df, roles, [roles.total, *roles.numerators.values()]), roles)
+
+
+def _outliers(sums: DataFrame, roles: Roles) -> DataFrame:
+    sums = sums.where(F.col(roles.total) > 0)
     pairs = F.array(
         *[
             F.struct(
@@ -277,17 +336,17 @@ def validate_share_input(df: DataFrame, roles: Roles) -> DataFrame:
     required = [roles.metric, roles.entity, *roles.dimensions, *([roles.time] if roles.time else [])]
     check_required_columns(df, required)
     metric = roles.metric
-    row_checks = _issues(
-        df,
-        [("null_values", c, F.col(c).isNull(), null_severity()) for c in required]
-        + [("negative_values", metric, F.col(metric) < 0, F.lit("ERROR"))],
-    )
-    small = check_small_categories(df, roles)
+    checks = [("null_values", c, F.col(c).isNull(), null_severity()) for c in required]
+    checks.append(("negative_values", metric, F.col(metric) < 0, F.lit("ERROR")))
+    table = checked_table(df, roles, checks, [metric])
+    peers = table.where(F.col("peer").isNotNull()).select("peer").distinct()
+    counts = table.where(F.col("category").isNotNull()).groupBy("dimension", "category").agg(F.sum("_n").alias("n_rows"))
+    small = _small(counts if roles.dimensions else counts.where("false"))
     return (
-        _as_issues(row_checks)
-        .unionByName(_as_issues(check_peer_count(df, roles)))
+        _as_issues(_row_issues(table, roles, checks))
+        .unionByName(_as_issues(_few_peers(peers, roles)))
         .unionByName(_as_issues(small, F.create_map(F.lit("examples"), F.col("examples"))))
-        .unionByName(_as_issues(check_entity_concentration(df, roles)))
+        .unionByName(_as_issues(_concentrated(_sums_of(table, roles, [metric]), roles)))
     )
 
 
@@ -312,16 +371,34 @@ def validate_rate_input(df: DataFrame, roles: Roles) -> DataFrame:
             ),
         ]
     checks.append(("low_denominator", roles.total, low_denominator(roles), F.lit("WARNING")))
-    outliers = check_peer_outlier_rate(df, roles).withColumn("n_rows", F.lit(1).cast("bigint"))
+    table = checked_table(df, roles, checks, numbers)
+    peers = table.where(F.col("peer").isNotNull()).select("peer").distinct()
+    outliers = _outliers(_sums_of(table, roles, numbers), roles).withColumn("n_rows", F.lit(1).cast("bigint"))
+    # Where the rows with a low denominator are: the first categories of each dimension.
+    hits = table.groupBy("dimension", F.coalesce("category", F.lit("<missing>")).alias("category")).agg(
+        F.sum(f"_c{len(checks) - 1}").alias("n_rows")
+    ).where(F.col("n_rows") > 0)
+    where = breakdown_text(largest_k(hits, ["dimension"], F.col("n_rows"), "category", BREAKDOWN_TOP)).scalar()
+    rows = _row_issues(table, roles, checks)
     return (
-        _as_issues(_issues(df, checks))
-        .unionByName(_as_issues(check_peer_count(df, roles)))
+        _as_issues(rows.where(F.col("check") != "low_denominator"))
+        .unionByName(_as_issues(rows.where(F.col("check") == "low_denominator"), where))
+        .unionByName(_as_issues(_few_peers(peers, roles)))
         .unionByName(
             _as_issues(outliers, F.create_map(F.lit("median"), F.col("median").cast("string")))
         )
     )
 
 
+def breakdown_text(ranked: DataFrame) -> DataFrame:
+    """One map from each dimension to its first categories with their rows, from ``issue_breakdown``."""
+    place = F.struct("rank", F.concat_ws("=", "category", F.col("n_rows").cast("string")).alias("text"))
+    per_dimension = ranked.groupBy("dimension").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"]), ",").alias("text")
+    )
+    return per_dimension.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "text")))).alias("details"))
+
+
 def issue_severity_counts(issues: DataFrame) -> DataFrame:
     """Issues per severity; ``abort`` tells whether any error stops the run."""
     return issues.groupBy("severity").agg(F.count("*").alias("n")).withColumn(

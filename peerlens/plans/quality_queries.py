@@ -39,6 +39,11 @@ DIRTY_RATE = Roles(
 )
 
 
+def shown(issues: DataFrame) -> DataFrame:
+    """Issues with their details as text."""
+    return tidy(issues.withColumn("details", F.to_json("details")))
+
+
 @query
 def check_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(quality.check_nulls(dirty(spark, sf_dir), ["entity", "brand", "returnflag", "amount", "month"]))
@@ -56,7 +61,7 @@ def check_num_gt_den(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def check_low_denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(quality.check_low_denominator(dirty(spark, sf_dir), DIRTY_RATE, 10))
+    return shown(quality.check_low_denominator(dirty(spark, sf_dir), DIRTY_RATE, 10))
 
 
 @query
@@ -132,12 +137,12 @@ def check_peer_outlier_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def validate_share_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(quality.validate_share_input(dirty(spark, sf_dir), DIRTY_SHARE).drop("details"))
+    return shown(quality.validate_share_input(dirty(spark, sf_dir), DIRTY_SHARE))
 
 
 @query
 def validate_rate_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(quality.validate_rate_input(dirty(spark, sf_dir), DIRTY_RATE).drop("details"))
+    return shown(quality.validate_rate_input(dirty(spark, sf_dir), DIRTY_RATE))
 
 
 @query

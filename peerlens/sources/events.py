@@ -35,9 +35,13 @@ CONTROL = r"\p{C}"
 def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines with file and position; an unterminated last line is dropped.
 
-    A file whose bytes are one short of lines plus line feeds lacks the final one.
+    Lines end at line feeds alone, so their bytes are known exactly, and a carriage return
+    before one is taken off afterwards: a file whose bytes are one short of lines plus
+    line feeds lacks the final one.  Which line that is comes from the same pass, by its
+    text: of lines that are equal to it, one is left out.  ``position`` orders the lines of
+    a file within a run; it is never compared between runs.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("lineSep", "\n").text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("_size"),
@@ -46,14 +50,18 @@ def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("id"),
         ).alias("position"),
     )
-    ends = lines.groupBy("file").agg(
-        F.max("position").alias("_last"),
+    open_files = lines.groupBy("file").agg(
+        F.max_by("value", "position").alias("_tail"),
         (F.sum(F.octet_length("value") + 1) > F.max("_size")).alias("_open"),
+    ).where("_open")
+    joined = join_keys(lines.drop("_size"), open_files.drop("_open"), ["file"], "left")
+    is_tail = F.coalesce(F.col("value") == F.col("_tail"), F.lit(False))
+    again = joined.where(is_tail).groupBy("value", "file").agg(F.min("position").alias("_p"), F.count("*").alias("_n"))
+    others = again.where("_n > 1").select(
+        "value", "file", F.explode(F.array_repeat("_p", (F.col("_n") - 1).cast("int"))).alias("position")
     )
-    joined = join_keys(lines, ends, ["file"])
-    return joined.where(~(F.col("_open") & (F.col("position") == F.col("_last")))).drop(
-        "_size", "_last", "_open"
-    )
+    kept = joined.where(~is_tail).select("value", "file", "position").unionByName(others)
+    return kept.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
 def _text(path: str) -> Column:
