@@ -24,7 +24,9 @@ def filled_sum(column: str | Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0.0))
 
 
-def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, flags: bool, exact: bool = False) -> DataFrame:
+def _unpivoted(
+    df: DataFrame, roles: Roles, metrics: list[str], whole: bool, flags: bool, exact: bool = False, hits: dict[str, Column] | None = None
+) -> DataFrame:
     """Facts summed by dimension, category, period and entity, null labels kept.
 
     All dimensions are handled in one scan; rows are combined before the shuffle.  With
@@ -44,9 +46,10 @@ def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, fla
         *[F.col(d).cast("string").alias(d) for d in labels],
         *([F.lit("all").alias(WHOLE)] if whole else []),
         *[F.col(m).cast("double").alias(s) for m, s in zip(metrics, sums)],
+        *[condition.cast("int").alias(name) for name, condition in (hits or {}).items()],
     )
     long = wide.unpivot(
-        ["peer", "time_period", *sums],
+        ["peer", "time_period", *sums, *(hits or {})],
         labels + ([WHOLE] if whole else []),
         "dimension",
         "category",
@@ -55,12 +58,16 @@ def _unpivoted(df: DataFrame, roles: Roles, metrics: list[str], whole: bool, fla
         *[add(F.col(s)).alias(m) for m, s in zip(metrics, sums)],
         *([F.max(F.col(s) > 0).alias(positive(m)) for m, s in zip(metrics, sums)] if flags else []),
         *([add(F.when(F.col(s) >= 0, F.col(s))).alias(usable(m)) for m, s in zip(metrics, sums) if m in marked] if flags else []),
+        *([F.count("*").alias("_n")] if hits is not None else []),
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in hits or {}],
     )
 
 
-def summed_with_flags(df: DataFrame, roles: Roles, metrics: list[str], exact: bool = False) -> DataFrame:
+def summed_with_flags(
+    df: DataFrame, roles: Roles, metrics: list[str], exact: bool = False, hits: dict[str, Column] | None = None
+) -> DataFrame:
     """Sums and positivity flags per cell and entity, null labels kept."""
-    return _unpivoted(df, roles, metrics, whole=False, flags=True, exact=exact)
+    return _unpivoted(df, roles, metrics, whole=False, flags=True, exact=exact, hits=hits)
 
 
 def positive(metric: str) -> str:
@@ -73,17 +80,20 @@ def usable(metric: str) -> str:
     return f"{metric}__usable"
 
 
-def prepare_cells(df: DataFrame, roles: Roles, metrics: list[str] | None = None, exact: bool = False) -> DataFrame:
+def prepare_cells(
+    df: DataFrame, roles: Roles, metrics: list[str] | None = None, exact: bool = False, hits: dict[str, Column] | None = None
+) -> DataFrame:
     """Scan the facts once for a whole run and write the compact result.
 
     The operators accept this table in place of the facts (``CELL, peer``, sums, positivity
     flags, and sums of usable rows of the metric; null labels and the target included), so that a run
     with suppression, weights and exports does not read the facts once for each.  A run
-    whose figures are digested asks for ``exact`` sums.
+    whose figures are digested asks for ``exact`` sums.  ``hits`` are conditions on fact
+    rows; with them the table also has the number of rows (``_n``) and of each one's hits.
     """
     named = [roles.metric, roles.total, *roles.numerators.values(), *roles.secondary]
     wanted = metrics or list(dict.fromkeys(m for m in named if m))
-    return cut_lineage(summed_with_flags(df, roles, wanted, exact))
+    return cut_lineage(summed_with_flags(df, roles, wanted, exact, hits))
 
 
 def is_prepared(df: DataFrame) -> bool:

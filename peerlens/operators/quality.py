@@ -331,31 +331,19 @@ def _as_issues(df: DataFrame, details: Column | None = None) -> DataFrame:
     )
 
 
-def validate_share_input(df: DataFrame, roles: Roles) -> DataFrame:
-    """All share-mode checks as one issue table; missing columns stop at once."""
+Check = tuple[str, str, Column, Column]
+
+
+def share_checks(roles: Roles) -> list[Check]:
+    """The row checks of a share run."""
     required = [roles.metric, roles.entity, *roles.dimensions, *([roles.time] if roles.time else [])]
-    check_required_columns(df, required)
-    metric = roles.metric
     checks = [("null_values", c, F.col(c).isNull(), null_severity()) for c in required]
-    checks.append(("negative_values", metric, F.col(metric) < 0, F.lit("ERROR")))
-    table = checked_table(df, roles, checks, [metric])
-    peers = table.where(F.col("peer").isNotNull()).select("peer").distinct()
-    counts = table.where(F.col("category").isNotNull()).groupBy("dimension", "category").agg(F.sum("_n").alias("n_rows"))
-    small = _small(counts if roles.dimensions else counts.where("false"))
-    return (
-        _as_issues(_row_issues(table, roles, checks))
-        .unionByName(_as_issues(_few_peers(peers, roles)))
-        .unionByName(_as_issues(small, F.create_map(F.lit("examples"), F.col("examples"))))
-        .unionByName(_as_issues(_concentrated(_sums_of(table, roles, [metric]), roles)))
-    )
+    return [*checks, ("negative_values", roles.metric, F.col(roles.metric) < 0, F.lit("ERROR"))]
 
 
-def validate_rate_input(df: DataFrame, roles: Roles) -> DataFrame:
-    """All rate-mode checks as one issue table."""
+def rate_checks(roles: Roles) -> list[Check]:
+    """The row checks of a rate run; the last one is that of low denominators."""
     numbers = [roles.total, *roles.numerators.values()]
-    check_required_columns(
-        df, [*numbers, roles.entity, *roles.dimensions, *([roles.time] if roles.time else [])]
-    )
     checks = [("null_values", c, F.col(c).isNull(), null_severity()) for c in numbers]
     checks += [("negative_values", c, F.col(c) < 0, F.lit("ERROR")) for c in numbers]
     for name, c in roles.numerators.items():
@@ -370,9 +358,26 @@ def validate_rate_input(df: DataFrame, roles: Roles) -> DataFrame:
                 F.lit("WARNING"),
             ),
         ]
-    checks.append(("low_denominator", roles.total, low_denominator(roles), F.lit("WARNING")))
-    table = checked_table(df, roles, checks, numbers)
+    return [*checks, ("low_denominator", roles.total, low_denominator(roles), F.lit("WARNING"))]
+
+
+def share_issues(table: DataFrame, roles: Roles, checks: list[Check]) -> DataFrame:
+    """All share-mode findings from a checked table."""
+    peers = table.where(F.col("peer").isNotNull()).select("peer").distinct()
+    counts = table.where(F.col("category").isNotNull()).groupBy("dimension", "category").agg(F.sum("_n").alias("n_rows"))
+    small = _small(counts if roles.dimensions else counts.where("false"))
+    return (
+        _as_issues(_row_issues(table, roles, checks))
+        .unionByName(_as_issues(_few_peers(peers, roles)))
+        .unionByName(_as_issues(small, F.create_map(F.lit("examples"), F.col("examples"))))
+        .unionByName(_as_issues(_concentrated(_sums_of(table, roles, [roles.metric]), roles)))
+    )
+
+
+def rate_issues(table: DataFrame, roles: Roles, checks: list[Check]) -> DataFrame:
+    """All rate-mode findings from a checked table."""
     peers = table.where(F.col("peer").isNotNull()).select("peer").distinct()
+    numbers = [roles.total, *roles.numerators.values()]
     outliers = _outliers(_sums_of(table, roles, numbers), roles).withColumn("n_rows", F.lit(1).cast("bigint"))
     # Where the rows with a low denominator are: the first categories of each dimension.
     hits = table.groupBy("dimension", F.coalesce("category", F.lit("<missing>")).alias("category")).agg(
@@ -390,6 +395,23 @@ def validate_rate_input(df: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
+def validate_share_input(df: DataFrame, roles: Roles) -> DataFrame:
+    """All share-mode checks as one issue table; missing columns stop at once."""
+    check_required_columns(df, [roles.metric, roles.entity, *roles.dimensions, *([roles.time] if roles.time else [])])
+    checks = share_checks(roles)
+    return share_issues(checked_table(df, roles, checks, [roles.metric]), roles, checks)
+
+
+def validate_rate_input(df: DataFrame, roles: Roles) -> DataFrame:
+    """All rate-mode checks as one issue table."""
+    numbers = [roles.total, *roles.numerators.values()]
+    check_required_columns(
+        df, [*numbers, roles.entity, *roles.dimensions, *([roles.time] if roles.time else [])]
+    )
+    checks = rate_checks(roles)
+    return rate_issues(checked_table(df, roles, checks, numbers), roles, checks)
+
+
 def breakdown_text(ranked: DataFrame) -> DataFrame:
     """One map from each dimension to its first categories with their rows, from ``issue_breakdown``."""
     place = F.struct("rank", F.concat_ws("=", "category", F.col("n_rows").cast("string")).alias("text"))
