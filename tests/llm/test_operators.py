@@ -436,3 +436,45 @@ def test_quotes_of_the_stated_length_are_found_at_every_offset():
     found = decontamination.find_passages(index, np.frombuffer(b"".join(docs + clean), np.uint8), offsets)
     assert all([h[0] for h in hits] == [7] for hits in found[: len(docs)])
     assert not any(found[len(docs) :])
+
+
+def test_wide_signatures_keep_long_texts_apart():
+    """300 texts of 2 000 words that share a line and nothing else give no pair; near copies of them all do."""
+    import pyarrow as pa
+
+    rnd = random.Random(31)
+    line = " ".join(f"l{i}" for i in range(12))
+    texts = [line + " " + " ".join(f"w{rnd.randrange(10**9)}" for _ in range(rnd.choice((600, 1000, 2000)))) for _ in range(300)]
+
+    def pairs(rows):
+        batch = pa.record_batch({"text": pa.array(rows)})
+        sets = pa.Table.from_batches(list(ngram_join._sets(5)(iter([batch]))))
+        n = sets.num_rows
+        struct = pa.StructArray.from_arrays(
+            [pa.array(np.arange(n)), sets["n"].combine_chunks(), pa.array(np.arange(n)), pa.array(np.full(n, 3, np.int32)), sets["wide"].combine_chunks()]
+            + [sets[f"s{i}"].combine_chunks() for i in range(ngram_join.SIGNATURE)],
+            names=["sid", "n", "root", "side", "wide"] + [f"s{i}" for i in range(ngram_join.SIGNATURE)],
+        )
+        lists = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), struct)
+        out = next(iter(ngram_join._tile_pairs(75, False)(iter([pa.record_batch({"rows": lists})]))))
+        return {(a, b) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+
+    assert pairs(texts) == set()
+    copies = [t + " " + " ".join(f"n{rnd.randrange(10**9)}" for _ in range(len(t.split()) // 5)) for t in texts[:40]]
+    assert {(i, 300 + i) for i in range(40)} <= pairs(texts + copies)
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    """Ids stay right while pieces are let go, and no generation passes its bytes by more than one group's."""
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(3)
+    most = 0
+    for _ in range(40):
+        texts = [words(60, rnd, "abcdefghé1.,") for _ in range(4)]
+        for text, coded in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(coded, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        most = max(most, encoder.size)
+    assert encoder.older and most < 20_000 + 4 * 60 * 2 * (tokens.ENTRY_BYTES + 40)
