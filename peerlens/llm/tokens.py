@@ -30,8 +30,9 @@ from .common import shuffle_parts
 SHARD_BYTES, ENCODE_CHARS = 8 << 20, 2 << 20
 #: Ones between two entries of the select directory.
 SELECT_STEP = 256
-#: Pieces of text whose ids a Python worker keeps.
-CACHE_PIECES = 1_000_000
+#: Bytes that a generation of a Python worker's memory of encoded pieces may take, of two that it keeps,
+#: and what an entry takes besides its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
 
 
 @dataclass
@@ -128,6 +129,19 @@ class Encoder:
         self.pieces = regex.compile(_SPLIT).findall
         self.spaced, self.bare = regex.compile(r" \p{L}+").fullmatch, regex.compile(r"\p{L}+").fullmatch
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+
+    def _recall(self, wanted: set[str]) -> None:
+        """See that the newer generation holds all ``wanted`` pieces; a full one becomes the older, which is let go."""
+        if self.size > CACHE_BYTES:
+            self.memory, self.older, self.size = {}, self.memory, 0
+        lacking = wanted - self.memory.keys()
+        again = lacking & self.older.keys()
+        self.memory.update((piece, self.older[piece]) for piece in again)
+        if new := lacking - again:
+            self._learn(new)
+        self.size += sum(len(piece) + len(self.memory[piece]) + ENTRY_BYTES for piece in lacking)
 
     def _learn(self, new: set[str]) -> None:
         # Words with a space before them stand next to each other; words without are
@@ -152,10 +166,7 @@ class Encoder:
         """Ids of each text as little-endian bytes."""
         whole = [not self.by_piece or any(s in t for s in self.special) for t in texts]
         split = [[] if w else self.pieces(t) for t, w in zip(texts, whole)]
-        if len(self.memory) > CACHE_PIECES:
-            self.memory.clear()
-        if new := set().union(*split) - self.memory.keys():
-            self._learn(new)
+        self._recall(set().union(*split))
         get = self.memory.__getitem__
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if w else b"".join(map(get, p))
