@@ -310,7 +310,31 @@ def preset_ctes() -> list[str]:
 
 SQL["preset_comparison"] = statement(
     *preset_ctes(),
-    select="SELECT preset, variant, round(a, 6) AS mean_abs_impact_pp, round(b, 6) AS max_abs_impact_pp, 'ok' AS status FROM pc",
+    select="SELECT preset, variant, round(a, 6) AS mean_abs_impact_pp, round(b, 6) AS max_abs_impact_pp, 'ok' AS status FROM pc "
+    "UNION ALL SELECT 'open', unnest(['global', 'per_dimension']), NULL, NULL, 'blocked: accuracy_first acknowledgement required'",
+)
+_sums = (("txn", "v"), ("approved", "approved"), ("fraud", "fraud"))
+SQL["preset_comparison_rate"] = statement(
+    FACT,
+    cells(("priority", "linestatus"), _sums, timed=True),
+    "ps AS (SELECT * FROM (VALUES ('tight', 25.0::DOUBLE), ('middle', 30.0::DOUBLE), ('loose', 40.0::DOUBLE), ('open', 60.0::DOUBLE)) p(run_id, cap))",
+    "runs AS (SELECT ps.run_id, c.*, ps.cap, 5 AS min_entities FROM cells c, ps)",
+    "pop AS (SELECT DISTINCT run_id, peer FROM runs)",
+    *fixable("runs", "ok_runs"),
+    *fit("ok_runs", population="pop", prefix="wg"),
+    *fit("ok_runs", population="pop", prefix="wd", per_dimension=True),
+    *[
+        c
+        for p, name in (("wg", "global"), ("wd", "per_dimension"))
+        for c in (
+            attach("runs", p, f"{p}_r"),
+            f"{p}_s AS (SELECT '{name}' AS variant, run_id, dimension, category, time_period, sum(v) AS d, sum(v * m) AS wd, sum(approved) AS a, sum(approved * m) AS wa, "
+            f"sum(fraud) AS f, sum(fraud * m) AS wf FROM {p}_r GROUP BY ALL)",
+        )
+    ],
+    "un AS (SELECT * FROM wg_s UNION ALL SELECT * FROM wd_s)",
+    f"im AS (SELECT run_id, variant, abs(({pct('wa', 'wd')}) - ({pct('a', 'd')})) AS x FROM un UNION ALL SELECT run_id, variant, abs(({pct('wf', 'wd')}) - ({pct('f', 'd')})) FROM un)",
+    select="SELECT run_id AS preset, variant, round(avg(x), 6) AS mean_abs_impact_pp, round(max(x), 6) AS max_abs_impact_pp, 'ok' AS status FROM im GROUP BY 1, 2",
 )
 SQL["best_preset"] = statement(
     *preset_ctes(), select="SELECT preset, variant, round(a, 6) AS mean_abs_impact_pp FROM pc ORDER BY a, preset, variant LIMIT 1"

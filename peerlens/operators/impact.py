@@ -56,10 +56,18 @@ def rate_impact(df: DataFrame, roles: Roles, weights: DataFrame | None) -> DataF
     cells = aggregate_cells(df, roles, columns, with_whole=False)
     if roles.time:
         cells = cells.where(F.col("time_period").isNotNull())
+    return rate_impact_of_cells(cells, roles, weights)
+
+
+def rate_impact_of_cells(
+    cells: DataFrame, roles: Roles, weights: DataFrame | None, extra: list[str] | None = None
+) -> DataFrame:
+    """``rate_impact`` from ready cells ``[extra,] CELL, peer, total and numerators``, the target included."""
+    keys = [*(extra or []), *CELL]
     if roles.target is not None:
         cells = cells.where(F.col("peer") != F.lit(roles.target))
-    rows = attach_weights(cells, weights)
-    sums = rows.groupBy(*CELL).agg(
+    rows = attach_weights(cells, weights, extra)
+    sums = rows.groupBy(*keys).agg(
         F.sum(roles.total).alias("_d"),
         F.sum(F.col(roles.total) * F.col("m")).alias("_wd"),
         *[F.sum(c).alias(f"_n_{name}") for name, c in roles.numerators.items()],
@@ -76,8 +84,8 @@ def rate_impact(df: DataFrame, roles: Roles, weights: DataFrame | None) -> DataF
         ]
     )
     return (
-        sums.select(*CELL, F.explode(per_rate).alias("_r"))
-        .select(*CELL, "_r.*")
+        sums.select(*keys, F.explode(per_rate).alias("_r"))
+        .select(*keys, "_r.*")
         .withColumn("impact_pp", F.col("balanced_pct") - F.col("raw_pct"))
     )
 

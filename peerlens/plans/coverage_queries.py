@@ -240,6 +240,7 @@ PRESETS = (
     strategy.Preset("tight", 25.0),
     strategy.Preset("middle", 30.0),
     strategy.Preset("loose", 40.0),
+    strategy.Preset("open", 60.0, posture="accuracy_first"),
 )
 
 
@@ -265,6 +266,13 @@ def preset_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(presets(spark, sf_dir))
 
 
+@query
+def preset_comparison_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The presets by their effect on rates, with the weights fitted to the totals."""
+    df = w.prepared_for(spark, sf_dir, w.RATE)
+    return tidy(strategy.preset_comparison(df, w.RATE, PRESETS, acknowledge_accuracy_first=True))
+
+
 @query
 def best_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(strategy.best_preset(presets(spark, sf_dir)))

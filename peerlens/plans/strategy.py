@@ -23,7 +23,7 @@ from peerlens.operators.cells import (
     governed_cells,
     peers_only,
 )
-from peerlens.operators.impact import share_impact_of_cells
+from peerlens.operators.impact import rate_impact_of_cells, share_impact_of_cells
 from peerlens.operators.rules import (
     PROTECTED_CAP,
     RULES,
@@ -196,61 +196,85 @@ def single_rule_outcome(
 
 @dataclass(frozen=True)
 class Preset:
-    """A named parameter set of the fit."""
+    """A named parameter set of the fit.
+
+    A preset whose ``posture`` is ``accuracy_first`` may leave caps broken, so it is run
+    only for a caller who says that this is understood.
+    """
 
     name: str
     cap: float
     min_entities: int = 5
+    posture: str = "strict"
+
+
+BLOCKED = "blocked: accuracy_first acknowledgement required"
+VARIANTS = (("global", False), ("per_dimension", True))
 
 
 def preset_comparison(
-    df: DataFrame, roles: Roles, presets: tuple[Preset, ...], *, rounds: int | None = None
+    df: DataFrame,
+    roles: Roles,
+    presets: tuple[Preset, ...],
+    *,
+    rounds: int | None = None,
+    acknowledge_accuracy_first: bool = False,
 ) -> DataFrame:
     """Every preset with global and per-dimension weights, and its impact.
 
-    One fit per weight form covers all presets; a variant without a usable impact
-    becomes a status row.
+    With numerators in ``roles`` rates are compared, with weights fitted to the total; else
+    shares of the metric.  One fit per weight form covers all presets.  Every preset and
+    form has a row: ``ok``, ``no_impact`` where there is nothing to compare, or why it was not run.
     """
-    usable = df.where(F.col(roles.metric) >= 0)
-    cells = aggregate_cells(usable, roles, [roles.metric], with_whole=False)
+    rate = bool(roles.numerators)
+    columns = [roles.total, *dict.fromkeys(roles.numerators.values())] if rate else [roles.metric]
+    usable = df if rate else df.where(F.col(roles.metric) >= 0)
+    cells = aggregate_cells(usable, roles, columns, with_whole=False)
     if roles.time:
         cells = cells.where(F.col("time_period").isNotNull())
-    cells = cut_lineage(cells.withColumnRenamed(roles.metric, "v"))
-    listed = F.array(
+    cells = cut_lineage(cells.withColumn("v", F.col(columns[0])))
+    allowed = [p for p in presets if p.posture != "accuracy_first" or acknowledge_accuracy_first]
+    spark = df.sparkSession
+    listed = spark.createDataFrame(
+        [(p.name, v, "ok" if p in allowed else BLOCKED) for p in presets for v, _ in VARIANTS], "preset string, variant string, status string"
+    )
+    if not allowed or not roles.dimensions:
+        nothing = F.lit(None).cast("double")
+        rows = listed if roles.dimensions else listed.where("false")
+        return rows.select("preset", "variant", nothing.alias("mean_abs_impact_pp"), nothing.alias("max_abs_impact_pp"), "status")
+    each = F.array(
         *[
             F.struct(
                 F.lit(p.name).alias("run_id"),
                 F.lit(p.cap).alias("cap"),
                 F.lit(p.min_entities).alias("min_entities"),
             )
-            for p in presets
+            for p in allowed
         ]
     )
-    runs = cut_lineage(
-        cells.select("*", F.explode(listed).alias("_p")).select("_p.*", *CELL, "peer", "v")
-    )
+    runs = cut_lineage(cells.select("*", F.explode(each).alias("_p")).select("_p.*", *cells.columns))
     peers = peers_only(runs, roles.target)
     population = peers.select("run_id", "peer").distinct()
     parts = []
-    for variant, per_dimension in (("global", False), ("per_dimension", True)):
-        weights = fit_for_runs(peers, population, per_dimension=per_dimension, rounds=rounds)
-        impact = share_impact_of_cells(
-            runs.select("run_id", *CELL, "peer", "v"), roles.target, weights, ["run_id"]
+    for variant, per_dimension in VARIANTS:
+        weights = fit_for_runs(
+            peers.select("run_id", *CELL, "peer", "v", "cap", "min_entities"), population, per_dimension=per_dimension, rounds=rounds
         )
+        if rate:
+            impact = rate_impact_of_cells(runs, roles, weights, ["run_id"])
+        else:
+            impact = share_impact_of_cells(runs.select("run_id", *CELL, "peer", "v"), roles.target, weights, ["run_id"])
         parts.append(impact.select(F.lit(variant).alias("variant"), "run_id", "impact_pp"))
     size = F.abs(F.col("impact_pp"))
     summary = (
         parts[0]
         .unionByName(parts[1])
-        .groupBy("run_id", "variant")
+        .groupBy(F.col("run_id").alias("preset"), "variant")
         .agg(F.avg(size).alias("mean_abs_impact_pp"), F.max(size).alias("max_abs_impact_pp"))
     )
-    return summary.select(
-        F.col("run_id").alias("preset"),
-        "variant",
-        "mean_abs_impact_pp",
-        "max_abs_impact_pp",
-        F.when(F.col("mean_abs_impact_pp").isNull(), "no_impact").otherwise("ok").alias("status"),
+    missing = (F.col("status") == "ok") & F.col("mean_abs_impact_pp").isNull()
+    return listed.join(summary, ["preset", "variant"], "left").select(
+        "preset", "variant", "mean_abs_impact_pp", "max_abs_impact_pp", F.when(missing, "no_impact").otherwise(F.col("status")).alias("status")
     )
 
 
