@@ -16,6 +16,8 @@ Method: size-banded tiles with hashed bitmap signatures.
    compared in square blocks, and none is left out.
 4. A pair is compared by its 512-bit parity signatures first: the bits in which
    they differ bound the sets' difference from below, so the overlap from above.
+   Sets of more shingles than that have signatures as wide as they are large
+   besides (a power of two), since the bits of a narrow one agree by chance.
    Only what may still link is intersected exactly, over the sorted arrays.
 """
 
@@ -179,7 +181,44 @@ def shingle_profile(docs: DataFrame, id_col: str, text_col: str, size: int = SIZ
     )
 
 
-_SETS = "k1 long, k2 long, n int, arr array<long>, " + ", ".join(f"s{i} long" for i in range(SIGNATURE))
+_SETS = "k1 long, k2 long, n int, arr array<long>, wide binary, " + ", ".join(f"s{i} long" for i in range(SIGNATURE))
+
+
+def _wide_signature(hashes: np.ndarray) -> bytes:
+    """Parity bits of a set's hashes, at least as many as there are hashes; its halves' XOR is the next narrower one."""
+    width = 1 << max(0, len(hashes) - 1).bit_length()
+    parity = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+class _WideSignatures:
+    """The wide signatures of a block by width, each also folded to the next narrower one."""
+
+    def __init__(self, wide: list[bytes | None]):
+        self.width = np.array([0 if x is None else len(x) for x in wide])
+        self.at: dict[int, np.ndarray] = {}
+        self.bits: dict[int, np.ndarray] = {}
+        for w in {int(x) for x in self.width if x} | {int(x) // 2 for x in self.width if x}:
+            rows = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            self.at[w] = np.full(len(wide), -1)
+            self.at[w][rows] = np.arange(len(rows))
+            out = np.empty((len(rows), w), np.uint8)
+            for k, i in enumerate(rows):
+                x = np.frombuffer(wide[i], np.uint8)
+                out[k] = x if len(x) == w else x[:w] ^ x[w:]
+            self.bits[w] = out.view(np.uint64)
+
+    def sharpen(self, i: int, other: np.ndarray, differ: np.ndarray) -> None:
+        """Raise the numbers of differing bits of row ``i`` and others where both have wide signatures."""
+        own = int(self.width[i])
+        if not own:
+            return
+        widths = self.width[other]
+        for w, fit in ((own, (widths == own) | (widths == 2 * own)), (own // 2, widths == own // 2)):
+            if fit.any():
+                bits, at = self.bits[w], self.at[w]
+                sharp = np.bitwise_count(bits[at[other[fit]]] ^ bits[at[i]]).sum(1).astype(np.int64)
+                differ[fit] = np.maximum(differ[fit], sharp)
 
 
 def _sets(size: int):
@@ -196,12 +235,14 @@ def _sets(size: int):
                 sig = np.packbits(parity.reshape(b - a, 512), axis=1).view(">i8").astype(np.int64)
                 signed = h.view(np.int64)
                 order = np.lexsort((signed, doc))
+                edge = np.concatenate(([0], np.cumsum(n)))
+                wide = [_wide_signature(h[edge[i] : edge[i + 1]]) if n[i] > 64 * SIGNATURE else None for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), list_array(signed[order], n),
+                        pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), list_array(signed[order], n), pa.array(wide, pa.binary()),
                         *[pa.array(np.ascontiguousarray(sig[:, i])) for i in range(SIGNATURE)],
                     ],
-                    names=["k1", "k2", "n", "arr", *[f"s{i}" for i in range(SIGNATURE)]],
+                    names=["k1", "k2", "n", "arr", "wide", *[f"s{i}" for i in range(SIGNATURE)]],
                 )
 
     return run
@@ -303,12 +344,17 @@ def _tile_pairs(percent: int, nearest: bool):
                 sid, n, root, side = f("sid"), f("n").astype(np.int64), f("root"), f("side")
                 sig = np.stack([f(f"s{i}") for i in range(SIGNATURE)], 1).view(np.uint64)
                 one, two = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+                wide = _WideSignatures(part.field("wide").to_pylist())
                 for i in one:
                     other = two[(root[two] != root[i]) & (sid[two] != sid[i])]
                     small, large = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
                     other = other[small * 100 >= large * percent]
                     differ = np.bitwise_count(sig[other] ^ sig[i]).sum(1).astype(np.int64)
                     total = n[other] + n[i]
+                    if wide.width[i]:
+                        near = np.flatnonzero((100 + percent) * (total - differ) >= 2 * percent * total)
+                        other, differ, total = other[near], differ[near], total[near]
+                        wide.sharpen(i, other, differ)
                     passes = (100 + percent) * (total - differ) >= 2 * percent * total
                     if nearest and passes.any():
                         passes = np.flatnonzero(passes)
@@ -339,10 +385,10 @@ def _cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, percent
         "h", "sid", "root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
         F.when(F.col("own") == F.col("with"), 3).when(F.col("own") < F.col("with"), 1).otherwise(2).alias("side"),
     )
-    slim = sets.select("sid", "n", *[f"s{i}" for i in range(SIGNATURE)])
+    slim = sets.select("sid", "n", "wide", *[f"s{i}" for i in range(SIGNATURE)])
     return (
         placed.join(slim, "sid").groupBy("h", "i", "j")
-        .agg(F.collect_list(F.struct("sid", "n", "root", "side", *[f"s{i}" for i in range(SIGNATURE)])).alias("rows"))
+        .agg(F.collect_list(F.struct("sid", "n", "root", "side", "wide", *[f"s{i}" for i in range(SIGNATURE)])).alias("rows"))
         .select("rows").mapInArrow(_tile_pairs(percent, nearest), _TILE).distinct()
     )
 
