@@ -278,7 +278,9 @@ def test_base_scores_equal_brute_force(odd, monkeypatch):
 def test_language_model_of_odd_tables(spark, odd):
     empty = spark.createDataFrame([], SCHEMA)
     assert recurrent_lm.score_documents(empty, learns()).count() == 0
-    rows = recurrent_lm.score_documents(odd.where("doc_id < 20"), F.lit(False)).collect()
+    named = odd.withColumns({"a b": F.lit(1), "score": F.lit("mine"), "x.y": F.array(F.lit(1))})
+    rows = recurrent_lm.score_documents(named.where("doc_id < 20"), F.lit(False)).collect()
+    assert {"a b", "x.y"} <= set(rows[0].asDict()) and isinstance(rows[0]["score"], float)
     assert rows and all(r.n_known == 0 and r.train_tokens == 0 for r in rows)
 
 
