@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from peerlens import Roles
 from peerlens.operators import coverage, search
 from peerlens.operators.rules import MERCHANT_RULE, RULES
+from peerlens.plans import coverage_queries
 
 COVER = Roles("issuer", ("region",), metric="amount", secondary=("cnt",), time="q")
 
@@ -159,3 +160,12 @@ def test_an_empty_universe(spark, universe):
     start = spark.createDataFrame([("A", 1.0)], "peer string, w double")
     found = coverage.refine_weights(volumes.where("false"), units.where("false"), start, 0.5, 2.0, samples=4).collect()
     assert [(r["w"], r["released_units"], r["search_state"]) for r in found] == [(1.0, 0, "search_complete")]
+
+
+def test_release_decision_counts_the_whole_partition(spark):
+    """Both decisions stand beside the number of units that the stated weights release."""
+    where = "/root/testdata/sf0.001"
+    got = {r["weights"]: r for r in coverage_queries.release_decision(spark, where).collect()}
+    released = coverage_queries.release_partition(spark, where).where("released").count()
+    assert set(got) == {"stated", "searched"}
+    assert all(r["released_units"] == released and r["reached"] and r["failures"] == 0 for r in got.values())
