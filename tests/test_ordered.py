@@ -142,3 +142,14 @@ def test_largest_k_limits_before_the_shuffle(spark):
     top = largest_k(df, ["g"], F.col("x"), "t", 2)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["x"] for r in top.collect()) == [994, 995, 996, 997, 998, 999]
+
+
+def test_percentiles_keep_only_the_open_buckets(spark, monkeypatch):
+    """No table of all values is written on the way, only those of the bucket that holds the answer."""
+    kept, plain = [], ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df: (kept.append(plain(df)), kept[-1])[1])
+    df = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") + 1.0).alias("x"), F.lit(1.0).alias("w"))
+    assert weighted_percentile_or_plain(df, ["g"], "x", "w", 0.5).first()["percentile"] == 10_000.0
+    none = df.withColumn("w", F.lit(0.0))
+    assert weighted_percentile_or_plain(none, ["g"], "x", "w", 0.5).first()["percentile"] == 10_000.5
+    assert max(t.count() for t in kept) < 1000
