@@ -53,3 +53,15 @@ def test_a_difference_names_its_units(spark, rows):
     assert root != other and coverage.digest_differences(before, after).count() == 3
     assert "r3" in got["changed"] and "r5" in got["missing"] and "r9" in got["added"]
     assert coverage.digest_differences(before, before).count() == 0
+
+
+def test_exact_parts_cut_at_the_point(spark):
+    """Whole numbers leave nothing to a cast from double to decimal; the parts still make the number."""
+    from peerlens.functions.scalar import as_double, exact_parts
+
+    values = [12345.67, -12345.67, 7.0, 0.0, 1e20, 2.0**53]
+    whole, rest = exact_parts(F.col("x"))
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", whole.alias("w"), rest.alias("r"), as_double(whole, rest).alias("d")).collect()
+    assert [int(r["w"]) for r in rows[:4]] == [12345, -12345, 7, 0] and all(r["d"] == r["x"] for r in rows)
+    strange = spark.createDataFrame([(float("inf"),), (float("nan"),), (None,)], "x double").select(whole.alias("w"), rest.alias("r")).collect()
+    assert all(r["w"] is None and r["r"] is None for r in strange)
