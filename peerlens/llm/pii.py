@@ -150,9 +150,6 @@ def with_candidates(docs: DataFrame, background: bool = False) -> DataFrame:
         gates["word"] = F.lit(True)
     tag = lambda g: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(g).alias("g"))
     spans = {g: _spans(text, p, gates[g]) for g, p in patterns.items()}
-    if background:
-        # Words are many and alike: a sixteenth of them, by a hash, is example enough.
-        spans["word"] = F.filter(spans["word"], lambda x: F.pmod(F.xxhash64(x["m"]), F.lit(16)) == 0)
     found = F.concat(*[F.transform(s, tag(g)) for g, s in spans.items()])
     return docs.withColumn("__found", found).withColumn("__cand", F.transform("__found", lambda x: _features(x, F.col("__text")))).drop("__found")
 
@@ -164,39 +161,32 @@ def _tree(node, value: Callable[[str], Column]) -> Column:
     return F.when(value(FEATURES[split.featureIndex()]) <= float(split.threshold()), _tree(node.leftChild(), value)).otherwise(_tree(node.rightChild(), value))
 
 
-def train_pii_model(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, precision: float = 0.95, trees: int = 10) -> PiiModel:
-    """Fit and calibrate the trees on about ``sample_docs`` documents, chosen by a hash of the text.
+def train_pii_model(docs: DataFrame, text_col: str = "text", precision: float = 0.95, trees: int = 10) -> PiiModel:
+    """Fit and calibrate the trees on the candidates of all documents.
 
-    Half of them that hold base spans or secrets, as those are rare, and half of all.
-    A sample with only one class gives a model that adds nothing.
+    Alike examples are one row with their number as its weight.  A third of the texts, by
+    a hash, is left out of the fit and calibrates.  Documents with only one class give a
+    model that adds nothing.
     """
-    total = docs.count()
-    draw = F.pmod(F.xxhash64(text_col), F.lit(1 << 30))
-    rare = F.col(text_col).rlike(r"@|[0-9]{3}|[:=]")
-    some = docs.select(text_col, draw.alias("__draw")).where(F.col("__draw") < int(min(1.0, 8 * sample_docs / max(total, 1)) * (1 << 30)))
-    likely = some.where(rare)
-    n_likely = likely.count()
-    sample = likely.where(F.pmod(F.xxhash64("__draw", F.lit(1)), F.lit(1 << 20)) < int(min(1.0, sample_docs / 2 / max(n_likely, 1)) * (1 << 20))).unionByName(
-        docs.select(text_col, draw.alias("__draw")).where(F.col("__draw") < int(min(1.0, sample_docs / 2 / max(total, 1)) * (1 << 30)))
-    )
-    based = with_base(sample, text_col)
+    fold = F.pmod(F.xxhash64(text_col), F.lit(3)).alias("__fold")
+    based = with_base(docs.select(text_col, fold), text_col)
     base = F.concat(*[F.transform(f"__{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in BASE])
     formats = r"^(?:[^@]+@[^@]+\.[^@]+|[0-9]+(?:\.[0-9]+){3}|[0-9](?:[\x20-]?[0-9]){12,18}|\+[0-9][\x20().0-9-]+[0-9])$"
     rows = with_candidates(based.withColumn("__base", base), background=True).select(
-        "__draw", F.explode("__cand").alias("c"), "__base"
+        "__fold", F.explode("__cand").alias("c"), "__base"
     )
     vouched = F.exists("__base", lambda b: (b["s"] < F.col("c.e")) & (b["e"] > F.col("c.s"))) | (F.col("c.g") == "named")
     rows = rows.withColumn("label", F.when(vouched, 1.0).otherwise(0.0)).where(
         (F.col("label") == 1.0) | ~F.col("c.m").rlike(formats)
-    ).select("label", "c.g", F.pmod(F.xxhash64("__draw", F.lit(2)), F.lit(3)).alias("fold"), *[f"c.{f}" for f in FEATURES])
+    ).select("label", "c.g", F.col("__fold").alias("fold"), *[f"c.{f}" for f in FEATURES])
     # The fit and the calibration read the examples many times; they are made once.
-    rows = write_scratch(rows, "examples")
+    rows = write_scratch(rows.groupBy("label", "g", "fold", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n")), "examples")
     fit = rows.where("fold > 0")
-    classes = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = {r["label"] for r in fit.select("label").distinct().collect()}
     if len(classes) < 2:
         return PiiModel(None, {})
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = GBTClassifier(maxIter=trees, maxDepth=3, maxBins=32, seed=3, labelCol="label").fit(assembled.transform(fit))
+    model = GBTClassifier(maxIter=trees, maxDepth=3, maxBins=32, seed=3, labelCol="label", weightCol="n").fit(assembled.transform(fit))
     parts = [(w, t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees)]
 
     def score(value: Callable[[str], Column]) -> Column:
@@ -204,8 +194,8 @@ def train_pii_model(docs: DataFrame, text_col: str = "text", sample_docs: int =
         return 1 / (1 + F.exp(-2 * margin))
 
     bins = (
-        rows.where("fold = 0").select("g", "label", F.floor(score(F.col) * 20).alias("bin"))
-        .groupBy("g", "bin").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+        rows.where("fold = 0").select("g", "label", "n", F.floor(score(F.col) * 20).alias("bin"))
+        .groupBy("g", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     )
     thresholds = {}
     for g in GENERATORS:

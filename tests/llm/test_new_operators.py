@@ -300,3 +300,25 @@ def test_the_model_learns_order(spark):
     held = [r for r in recurrent_lm.score_documents(docs, learns(), share=1.0).collect() if zlib.crc32(str(r.doc_id).encode()) % 10 == 0]
     score, base = (sum(r[k] for r in held) / sum(r.n_tokens for r in held) for k in ("score", "base_score"))
     assert score > 0.75 * base
+
+
+def test_pii_learns_from_every_document(spark, monkeypatch):
+    """No document and no long word is left out of the examples."""
+    from peerlens.llm import pii
+
+    kept, plain = [], pii.write_scratch
+    monkeypatch.setattr(pii, "write_scratch", lambda df, name: (kept.append(plain(df, name)), kept[-1])[1])
+    texts = [(f"an incomprehensible{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} word, mail to user{i}@example.org now",) for i in range(6000)]
+    pii.train_pii_model(spark.createDataFrame(texts, "text string").repartition(4))
+    seen = {r["g"]: r["n"] for r in kept[0].groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    assert seen["word"] == 6000 and seen["address"] == 6000
+
+
+def test_recurrent_model_trains_on_every_stream(spark, monkeypatch):
+    """The default leaves no document out of the weights' training."""
+    kept, plain = [], recurrent_lm.write_scratch
+    monkeypatch.setattr(recurrent_lm, "write_scratch", lambda df, name: (kept.append((name, plain(df, name))), kept[-1][1])[1])
+    docs = spark.createDataFrame([(i, f"one two three number{i % 50}") for i in range(400)], "doc_id long, text string").repartition(2)
+    recurrent_lm.score_documents(docs, F.lit(True)).count()
+    streams = next(t for name, t in kept if name == "streams")
+    assert sum(len(r["numbers"]) // 4 for r in streams.collect()) == 400 * 5
