@@ -8,7 +8,7 @@ factored: the probability of a word is that of its class, a softmax over the rec
 state, times that within the class, a softmax too, or for the classes by rank the word's
 share of the class's occurrences in the corpus.
 
-Training is data-parallel.  A documented share of the learning documents is cut into
+Training is data-parallel.  The learning documents are cut into
 streams of word numbers; in each round the tasks train from the same weights on their own
 streams, with the state carried from window to window and backpropagation within a
 window, and the weights that come out are averaged by number of words, a few at a time.
@@ -38,18 +38,20 @@ from .vocabulary import coded_words, count_words, part_codes
 OWN_WORDS = 4095
 KNOWN_WORDS = 1 << 16
 CLASSES = 64
-#: Size of the state, words of a window, texts side by side in training, most side by side in scoring.
+#: Size of the state, words of a window, texts side by side in training (in short and in whole streams),
+#: most side by side in scoring.
 HIDDEN = 16
 WINDOW = 32
-TRAIN_LANES = 64
+TRAIN_LANES = (64, 512)
 LANES = 384
 #: Words whose output is computed together in scoring.
 OUTPUT_WORDS = 1 << 14
 #: Words of a training stream; text scored together (bytes).
-STREAM_WORDS = 1 << 17
+STREAM_WORDS = 1 << 20
 SCORE_BYTES = 16 << 20
-#: Share of the learning documents whose streams train the weights, and rounds of averaging.
-SHARE = 0.125
+#: Share of the learning documents whose streams train the weights (all, unless a caller asks for less),
+#: and rounds of averaging.
+SHARE = 1.0
 ROUNDS = 3
 #: Weights that meet in one task when they are averaged.
 FAN_IN = 16
@@ -226,7 +228,9 @@ def train_on(weights: Weights, vocabulary: Vocabulary, stream: np.ndarray) -> We
     weights = {k: v.copy() for k, v in weights.items()}
     squares = {k: np.full(v.shape, 1e-4, np.float32) for k, v in weights.items()}
     n = weights["state"].shape[0]
-    lanes = max(1, min(TRAIN_LANES, len(stream) // WINDOW))
+    least, most = TRAIN_LANES
+    # A longer stream has more lanes, not more windows: what a step costs does not depend much on its lanes.
+    lanes = max(1, min(max(least, min(most, len(stream) // (WINDOW * least))), len(stream) // WINDOW))
     steps = -(-len(stream) // lanes)
     padded = np.concatenate((stream, np.full(steps * lanes - len(stream), -1, stream.dtype))).reshape(lanes, steps).T
     before = np.vstack((np.zeros((1, lanes), stream.dtype), padded[:-1]))
@@ -405,7 +409,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, share: float = SHARE, rounds
     """
     like = first_weights(vocabulary, hidden)
     chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))
-    streams = write_scratch(texts.where(chosen).select("text").mapInArrow(_streams(vocabulary), "stream long, numbers binary"), "streams")
+    streams = write_scratch((texts if share >= 1 else texts.where(chosen)).select("text").mapInArrow(_streams(vocabulary), "stream long, numbers binary"), "streams")
     count, now = streams.count(), pack(like)
     schema, draw = "stream long, weights binary, n long", F.pmod(F.xxhash64("stream"), F.lit(1 << 30))
     for r in range(rounds):
