@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,49 @@ def test_passages_around_a_unique_body_are_found(spark):
             ), (size, one, two, first)
 
 
+def test_passages_whose_seeds_all_begin_elsewhere_are_found(spark):
+    """Of texts that share two seeds' worth of words, every pair with a passage is in one class, whichever comes first."""
+    rnd = random.Random(5)
+    new = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    line, passages = new(16), [new(60) for _ in range(6)]
+    # A line in all texts; each passage, with the line in its midst, in two of them; the others have the line alone.
+    rows = [(2 * i + k, new(30) + p[:30] + line + p[30:] + new(30)) for i, p in enumerate(passages) for k in (0, 1)]
+    rows += [(100 + i, new(50) + line + new(50)) for i in range(60)]
+    # Pieces of every passage stand alone in further texts, so that these may come first at any seed.
+    pieces = [p[a : a + 16] for p in passages for a in range(0, 48, 4)]
+    rows += [(200 + i, new(40) + p + new(40)) for i, p in enumerate(pieces * 20)]
+    found = fuzzy_passages.find_fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in found} == {frozenset((2 * i, 2 * i + 1)) for i in range(6)}
+    for r in found:
+        assert r.start <= 33 and r.end >= 103 and r.similarity >= 0.9
+
+
+def test_first_texts_of_seeds_across_batches():
+    """Batches may cut a seed's texts anywhere, and a seed may fill several of them."""
+    rnd = random.Random(8)
+    for size in (1, 2, 3, 7, 1000):
+        rows = sorted({(rnd.randint(-6, 6), rnd.randint(-9, 9)): 0 for _ in range(120)} | {(7, u): 0 for u in range(40)})
+        rows = [(h, u, 100 * h + u) for h, u in rows for _ in range(rnd.randint(1, 2))]
+        cuts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        kinds = (pa.int64(), pa.int64(), pa.int32())
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in c], t) for k, t in enumerate(kinds)], names=["h", "uid", "pos"]) for c in cuts]
+        got = sorted(tuple(r.values()) for b in fuzzy_passages._star(iter(batches)) for r in b.to_pylist())
+        want = []
+        for h in {r[0] for r in rows}:
+            own = sorted({r[1:] for r in rows if r[0] == h})
+            if len(own) > 1:
+                want.append((h, own[0][0], own[-1][0], own[0][1], own[-1][1], len(own)))
+                want += [(h, u, own[0][0], x, own[0][1], 0) for u, x in own[1:]]
+        assert got == sorted(want)
+
+
+def test_equal_texts_hang_on_the_smallest_id(spark):
+    text = " ".join(f"word{i}" for i in range(50))
+    rows = [(7, text), (3, text), (9, text), (9, text), (None, text), (11, "few words " * 10)]
+    found = fuzzy_passages.find_fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {((r.doc_id or -1), r.other_id, r.start, r.end, r.similarity) for r in found} == {(3, 9, 0, 50, 1.0)} | {(i, 3, 0, 50, 1.0) for i in (-1, 7, 9)} and len(found) == 4
+
+
 def test_cut_finds_every_stretch_of_passage_length():
     """cut() against all stretches of one diagonal, and its rows against their words."""
     rnd = random.Random(22)
