@@ -48,11 +48,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 #: The stages learn models, sample and cut trees, which plain SQL does not express.
 ORACLE_SQL: str | None = None
+#: Bytes of a batch that a Python worker is sent at once: two workers of an executor hold a few of these each, beside the heap.
+BATCH_BYTES = 4 << 20
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents table; what each returns is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = write_scratch(stage(spark, docs, sf_dir), name)
+    docs, limit = spark.read.parquet(f"{sf_dir}/documents.parquet"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    spark.conf.set(limit, str(BATCH_BYTES))
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = write_scratch(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,6 +18,7 @@ item into blocks of bounded bytes, and each block is one broadcast and one scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +34,10 @@ RATE = 0.08
 PASSAGE, SHORT, STRIDE = 120, 64, 8
 #: Bytes of an item that hold a whole short passage at every offset.
 QUOTE = SHORT + STRIDE - 1
-#: Regions aligned at once.
+#: Regions aligned at once; hits of whole items counted at once; bytes of text searched at once.
 _ALIGNED = 1 << 14
+_HITS = 1 << 18
+_TEXT_BYTES = 1 << 18
 #: Bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 22
@@ -123,20 +126,32 @@ def _promising(index: PassageIndex, place_in_doc: np.ndarray, slot: np.ndarray,
     """Hits with enough others in a diagonal band of an item for its least demanding passage.
 
     A passage's diagonals are its item's but for a constant.  Bands are counted by a
-    hash; a collision only lets more hits through.
+    hash; a collision only lets more hits through.  A gram that many items have makes many
+    hits: they are made twice, a slice at a time, first to be counted, then to be judged.
     """
     count = index.home_first[slot + 1] - index.home_first[slot]
-    place = _ranges(index.home_first[slot], count)
-    hit = np.repeat(np.arange(len(slot)), count)
-    item = index.home[place]
-    band = np.floor_divide(place_in_doc[hit] - index.home_offset[place], int(index.budget.max()) + 1)
-    pair = mix((doc[hit] * len(index.home_need) + item).astype(np.uint64))
-    bits = max(16, int(2 * len(hit)).bit_length() + 2)
-    one, two = ((mix(pair + b.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64) for b in (band, band - 1))
-    total = np.bincount(one, minlength=1 << bits) + np.bincount(two, minlength=1 << bits)
-    ok = np.maximum(total[one], total[two]) >= index.home_need[item]
+    ends = np.cumsum(count)
+    bits = min(20, max(16, int(2 * ends[-1]).bit_length() + 2))
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] + _HITS, _HITS))
+    cuts = np.unique(np.append(cuts, len(slot)))
+
+    def hits() -> Iterator[tuple[np.ndarray, ...]]:
+        for a, b in zip(cuts, cuts[1:]):
+            place = _ranges(index.home_first[slot[a:b]], count[a:b])
+            hit = np.repeat(np.arange(a, b), count[a:b])
+            item = index.home[place]
+            band = np.floor_divide(place_in_doc[hit] - index.home_offset[place], int(index.budget.max()) + 1)
+            pair = mix((doc[hit] * len(index.home_need) + item).astype(np.uint64))
+            one, two = ((mix(pair + x.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64) for x in (band, band - 1))
+            yield hit, item, one, two
+
+    total = np.zeros(1 << bits, np.int64)
+    for _, _, one, two in hits():
+        total += np.bincount(one, minlength=1 << bits)
+        total += np.bincount(two, minlength=1 << bits)
     keep = np.zeros(len(slot), dtype=bool)
-    keep[hit[ok]] = True
+    for hit, item, one, two in hits():
+        keep[hit[np.maximum(total[one], total[two]) >= index.home_need[item]]] = True
     return keep
 
 
@@ -168,11 +183,37 @@ def _regions(index: PassageIndex, data: np.ndarray, offsets: np.ndarray) -> tupl
     at, slot, doc = at[~lonely], slot[~lonely], doc[~lonely]
     keep = _promising(index, at - offsets[doc], slot, doc)
     at, slot, doc = at[keep], slot[keep], doc[keep]
+    found = [_enough(index, *hits) for hits in _occurrences(index, at - offsets[doc], slot, doc)]
+    doc, passage, band, shared = (np.concatenate([f[i] for f in found]) if found else none[i] for i in range(4))
+    return doc, passage, band * (index.budget[passage] + 1), shared
+
+
+def _occurrences(index: PassageIndex, place_in_doc: np.ndarray, slot: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Document, passage, offset in it and diagonal of all hits, some documents at a time.
+
+    A document with very many hits goes by parts of the passages.
+    """
     count = index.first[slot + 1] - index.first[slot]
-    place = _ranges(index.first[slot], count)
-    at, doc = np.repeat(at, count), np.repeat(doc, count)
-    passage, diagonal = index.passage[place], at - offsets[doc] - index.offset[place]
-    offset = index.offset[place]
+    begin = np.flatnonzero(np.diff(doc, prepend=-1))
+    ends = np.cumsum(count)
+    upto = ends[np.append(begin[1:], len(doc)) - 1] if len(doc) else np.zeros(0, np.int64)
+    for own in chunks(np.concatenate(([0], upto)), _HITS):
+        a, b = begin[own[0]], (np.append(begin, len(doc)))[own[1]]
+        parts = -(-int(count[a:b].sum()) // _HITS)
+        inner = [(a + x, a + y) for x, y in chunks(np.concatenate(([0], np.cumsum(count[a:b]))), _HITS)] if parts > 1 else [(a, b)]
+        for part in range(parts):
+            pieces = []
+            for x, y in inner:
+                place, hit = _ranges(index.first[slot[x:y]], count[x:y]), np.repeat(np.arange(x, y), count[x:y])
+                if parts > 1:
+                    mine = index.passage[place] % parts == part
+                    place, hit = place[mine], hit[mine]
+                pieces.append((doc[hit], index.passage[place], index.offset[place], place_in_doc[hit] - index.offset[place]))
+            yield tuple(np.concatenate(c) for c in zip(*pieces))
+
+
+def _enough(index: PassageIndex, doc: np.ndarray, passage: np.ndarray, offset: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, passage, band and shared q-grams of the bands that have as many as the lemma asks for."""
     # Bands of width 2 s start every s = budget + 1 diagonals: any k + 1 neighbours share one.
     step = index.budget[passage] + 1
     band = np.floor_divide(diagonal, step)
@@ -187,8 +228,7 @@ def _regions(index: PassageIndex, data: np.ndarray, offsets: np.ndarray) -> tupl
     begin = np.flatnonzero(new)
     shared = np.add.reduceat(fresh.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
     enough = shared >= index.need[passage[begin]]
-    doc, passage, band = doc[begin][enough], passage[begin][enough], band[begin][enough]
-    return doc, passage, band * (index.budget[passage] + 1), shared[enough]
+    return doc[begin][enough], passage[begin][enough], band[begin][enough], shared[enough]
 
 
 def banded_alignment(passage: np.ndarray, region: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,10 +251,9 @@ def banded_alignment(passage: np.ndarray, region: np.ndarray, width: int) -> tup
 def find_passages(index: PassageIndex, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
     """For each document: (item, start, end, edits), the best place of each item, by item."""
     best: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(len(offsets) - 1)]
-    folded = _FOLD[data]
-    for a, b in chunks(offsets, 1 << 20):
+    for a, b in chunks(offsets, _TEXT_BYTES):
         at = offsets[a : b + 1] - offsets[a]
-        text = folded[offsets[a] : offsets[b]]
+        text = _FOLD[data[offsets[a] : offsets[b]]]
         doc, passage, diagonal, _ = _regions(index, text, at)
         sizes = np.array([len(index.text[p]) for p in passage], np.int64)
         groups = [np.flatnonzero(sizes == m) for m in np.unique(sizes)]

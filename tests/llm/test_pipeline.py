@@ -1,9 +1,12 @@
 """The pipeline's stages in turn, each compared with a brute-force version on its own input."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -69,3 +72,35 @@ def test_mixing_and_sharding(stages):
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert Counter(r.doc_id for r in stages[5][1]) == copies
+
+
+def test_python_workers_get_batches_of_bounded_bytes(spark, monkeypatch):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(spark, docs, sf_dir):
+        wide = docs.select(F.repeat(F.lit("x"), 1 << 16).alias("text"))
+        return wide.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes), ("all", lambda spark, docs, sf_dir: docs)])
+    before = spark.conf.get(limit, None)
+    got = [r.n for r in corpus_pipeline.run(spark, SF).collect()]
+    assert sum(got) >= 3 * corpus_pipeline.BATCH_BYTES and max(got) <= corpus_pipeline.BATCH_BYTES + (1 << 17)
+    assert spark.conf.get(limit, None) == before
+
+
+def test_common_grams_of_a_benchmark_take_bounded_memory():
+    """Every item ends with one common passage; a text that repeats it hits all items everywhere."""
+    rng = np.random.default_rng(5)
+    common = "all items of this benchmark end with these very same words"
+    items = [(i, "".join(map(chr, rng.integers(97, 123, 200))) + common) for i in range(300)]
+    index = decontamination.PassageIndex.build(items)
+    noise = ["".join(map(chr, rng.integers(65, 91, 3000))) for _ in range(40)]
+    texts = [x[:1500] + common[:30] + x[1500:] for x in noise] + [items[7][1]]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    tracemalloc.start()
+    found = decontamination.find_passages(index, data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 7 in [h[0] for h in found[-1]]
+    assert peak < 64 << 20
