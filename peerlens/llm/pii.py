@@ -112,14 +112,12 @@ def with_base(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({f"__{kind}": F.filter(_spans(text, pattern, gates[kind]), _checks(kind)) for kind, pattern in BASE.items()})
 
 
-def _features(x: Column, text: Column) -> Column:
-    """A struct of the candidate (s, e, m, g) and its FEATURES as doubles."""
-    m = x["m"]
+def _features(x: Column) -> dict[str, Column]:
+    """The FEATURES of a candidate (m, before, after) as doubles."""
+    m, before, after = x["m"], x["before"], x["after"]
     n = F.length(m)
     left = lambda c: F.length(F.regexp_replace(m, c, ""))
     share = lambda c: ((n - left(c)) / n)
-    before = F.substring(text, F.greatest(F.lit(1), x["s"] - CONTEXT + 1), F.least(x["s"], F.lit(CONTEXT)))
-    after = F.substring(text, x["e"] + 1, F.lit(1))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     values = {
         "length": n, "digit_share": share("[0-9]"), "letter_share": share(r"\p{L}"), "upper_share": share(r"\p{Lu}"),
@@ -131,27 +129,35 @@ def _features(x: Column, text: Column) -> Column:
         "word_before": flag(before.rlike(r"(?i)(?:token|key|secret|passw|mail|phone|tel|call|card|ip|address|account|ssn|id)\W*$")),
         "space_after": flag((after == "") | after.rlike(r"[\s.,;:!?\"')#$%&*]")),
     }
-    return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["g"].alias("g"), m.alias("m"), *[v.cast("double").alias(k) for k, v in values.items()])
+    return {k: v.cast("double") for k, v in values.items()}
 
 
-def with_candidates(docs: DataFrame, background: bool = False) -> DataFrame:
-    """The rows of with_base() with __cand: the generators' spans and their features.
+def _found(background: bool = False) -> Column:
+    """The generators' spans in a row of with_base(): array<struct<s, e, m, g, before, after>>.
 
     With ``background`` long words are proposed too, as examples of what is nothing.
     """
     text, digit = F.col("__text"), F.col("__digit")
     gates = {
-        "address": F.contains(text, F.lit("@")), "number": digit, "opaque": F.lit(True),
+        "address": F.contains(text, F.lit("@")), "number": digit & text.rlike(r"[0-9](?:[\x20().-]{0,2}+[0-9]){6}"),
+        "opaque": text.rlike(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24}"),
         "named": text.rlike(r"(?i)(?:key|token|secret|passw(?:or)?d)[\"']?\s{0,3}[:=]"),
     }
     patterns = dict(GENERATORS)
     if background:
         patterns["word"] = r"(?<!\p{L})\p{L}{11,}+"
         gates["word"] = F.lit(True)
-    tag = lambda g: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(g).alias("g"))
-    spans = {g: _spans(text, p, gates[g]) for g, p in patterns.items()}
-    found = F.concat(*[F.transform(s, tag(g)) for g, s in spans.items()])
-    return docs.withColumn("__found", found).withColumn("__cand", F.transform("__found", lambda x: _features(x, F.col("__text")))).drop("__found")
+    before = lambda x: F.substring(text, F.greatest(F.lit(1), x["s"] - CONTEXT + 1), F.least(x["s"], F.lit(CONTEXT)))
+    tag = lambda g: lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(g).alias("g"),
+        before(x).alias("before"), F.substring(text, x["e"] + 1, F.lit(1)).alias("after"))
+    return F.concat(*[F.transform(_spans(text, p, gates[g]), tag(g)) for g, p in patterns.items()])
+
+
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """The rows of with_base() with __cand: the generators' spans and their features."""
+    scored = lambda x: F.struct(*[x[c].alias(c) for c in ("s", "e", "g", "m")], *[v.alias(k) for k, v in _features(x).items()])
+    return docs.withColumn("__cand", F.transform(_found(), scored))
 
 
 def _tree(node, value: Callable[[str], Column]) -> Column:
@@ -172,13 +178,12 @@ def train_pii_model(docs: DataFrame, text_col: str = "text", precision: float =
     based = with_base(docs.select(text_col, fold), text_col)
     base = F.concat(*[F.transform(f"__{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in BASE])
     formats = r"^(?:[^@]+@[^@]+\.[^@]+|[0-9]+(?:\.[0-9]+){3}|[0-9](?:[\x20-]?[0-9]){12,18}|\+[0-9][\x20().0-9-]+[0-9])$"
-    rows = with_candidates(based.withColumn("__base", base), background=True).select(
-        "__fold", F.explode("__cand").alias("c"), "__base"
-    )
+    # explode() alone makes Spark find all candidates twice: first to ask whether a document has any.
+    rows = based.select("__fold", F.explode_outer(_found(background=True)).alias("c"), base.alias("__base")).where("c IS NOT NULL")
     vouched = F.exists("__base", lambda b: (b["s"] < F.col("c.e")) & (b["e"] > F.col("c.s"))) | (F.col("c.g") == "named")
     rows = rows.withColumn("label", F.when(vouched, 1.0).otherwise(0.0)).where(
         (F.col("label") == 1.0) | ~F.col("c.m").rlike(formats)
-    ).select("label", "c.g", F.col("__fold").alias("fold"), *[f"c.{f}" for f in FEATURES])
+    ).select("label", "c.g", F.col("__fold").alias("fold"), *[v.alias(k) for k, v in _features(F.col("c")).items()])
     # The fit and the calibration read the examples many times; they are made once.
     rows = write_scratch(rows.groupBy("label", "g", "fold", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n")), "examples")
     fit = rows.where("fold > 0")

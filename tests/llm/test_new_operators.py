@@ -314,6 +314,16 @@ def test_pii_learns_from_every_document(spark, monkeypatch):
     assert seen["word"] == 6000 and seen["address"] == 6000
 
 
+def test_pii_examples_are_found_once(spark, monkeypatch):
+    """The scan of the training does not look for all candidates a second time, to ask whether there are any."""
+    from peerlens.llm import pii
+
+    plans, plain = [], pii.write_scratch
+    monkeypatch.setattr(pii, "write_scratch", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, name))[1])
+    pii.train_pii_model(spark.createDataFrame([("nothing to see here",)], "text string"))
+    assert plans[0].count("regexp_extract_all(__text#") + plans[0].count("regexp_extract_all(coalesce(") == len(pii.BASE) + len(pii.GENERATORS) + 1
+
+
 def test_recurrent_model_trains_on_every_stream(spark, monkeypatch):
     """The default leaves no document out of the weights' training."""
     kept, plain = [], recurrent_lm.write_scratch
