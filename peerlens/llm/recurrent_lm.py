@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks, list_array, text_bytes, write_scratch
+from .common import chunks, list_array, small_batches, text_bytes, write_scratch
 from .vocabulary import coded_words, count_words, part_codes
 
 #: Words with vectors of their own; words whose counts every task knows; classes of the former.
@@ -44,6 +44,8 @@ HIDDEN = 16
 WINDOW = 32
 TRAIN_LANES = (64, 512)
 LANES = 384
+#: Logits that lie as near each other have exponentials that float32 holds.
+SAFE_RANGE = 80
 #: Words whose output is computed together in scoring.
 OUTPUT_WORDS = 1 << 14
 #: Words of a training stream; text scored together (bytes).
@@ -189,19 +191,30 @@ def _gates(weights: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray,
     return keep, reset, new, own, new + keep * (h - new)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+def _lowered(logits: np.ndarray) -> np.ndarray:
+    """The logits less what keeps their exponentials finite: one number for all rows, if none of them vanishes by that."""
+    top = logits.max()
+    logits -= top if top - logits.min() < SAFE_RANGE else logits.max(1, keepdims=True)
+    return logits
+
+
+def _row_sums(a: np.ndarray) -> np.ndarray:
+    return a @ np.ones(a.shape[1], a.dtype)
+
+
+def _softmax_less(logits: np.ndarray, at: np.ndarray, share: np.float32) -> np.ndarray:
+    """The softmax of each row less 1 at one place, times ``share``; the logits are used up."""
+    np.exp(_lowered(logits), out=logits)
+    logits *= (share / _row_sums(logits))[:, None]
+    logits[np.arange(len(at)), at] -= share
     return logits
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each row, the log of the softmax at one place; the logits are used up."""
-    logits -= logits.max(1, keepdims=True)
-    picked = logits[np.arange(len(at)), at]
+    picked = _lowered(logits)[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    return picked - np.log(logits.sum(1))
+    return picked - np.log(_row_sums(logits))
 
 
 def _by_class(classes: np.ndarray, n_own: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -256,9 +269,9 @@ def train_on(weights: Weights, vocabulary: Vocabulary, stream: np.ndarray) -> We
         share = np.float32(1 / len(given))
         # Output: class, then word within its class.
         classes = vocabulary.class_of[target]
-        d = _softmax(s @ weights["cls"] + weights["cls_bias"])
-        d[np.arange(len(d)), classes] -= 1
-        d *= share
+        logits = s @ weights["cls"]
+        logits += weights["cls_bias"]
+        d = _softmax_less(logits, classes, share)
         d_state = d @ weights["cls"].T
         steps_out = [("cls", s.T @ d, slice(None)), ("cls_bias", d.sum(0), slice(None))]
         for c, at in _by_class(classes, n_own):
@@ -266,9 +279,9 @@ def train_on(weights: Weights, vocabulary: Vocabulary, stream: np.ndarray) -> We
             if b - a == 1:
                 continue
             here = s[at]
-            d = _softmax(here @ weights["word"][a:b].T + weights["word_bias"][a:b])
-            d[np.arange(len(at)), target[at] - a] -= 1
-            d *= share
+            logits = here @ weights["word"][a:b].T
+            logits += weights["word_bias"][a:b]
+            d = _softmax_less(logits, target[at] - a, share)
             d_state[at] += d @ weights["word"][a:b]
             steps_out += [("word", d.T @ here, slice(a, b)), ("word_bias", d.sum(0), slice(a, b))]
         d_out = np.zeros((len(xs) * lanes, n), np.float32)
@@ -442,21 +455,28 @@ def _scorer(vocabulary: Vocabulary, weights: bytes, like: Weights, keep: str):
         for c, (a, b) in enumerate(zip(vocabulary.rare_start, vocabulary.rare_start[1:])):
             within[a:b] = np.log10(count[a:b] / vocabulary.rare_total[c])
 
-        def scored(held: list) -> pa.RecordBatch:
-            nonlocal rows
-            kept = pa.concat_arrays([x[0] for x in held])
-            number, code, sizes = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+        def totalled(keeps: pa.Array, code: np.ndarray, number: np.ndarray, sizes: np.ndarray) -> tuple:
+            """What is held of some texts until they are scored: no text, and four bytes for a word that is known."""
             text = np.repeat(np.arange(len(sizes)), sizes)
             total = lambda v: np.bincount(text, weights=v, minlength=len(sizes))
-            log_p = score_texts(model, vocabulary, _with_ends(vocabulary.inputs(number), sizes), sizes + 1)
             far = number < 0
             pairs = pa.table({"text": text[far], "code": code[far].view(np.int64)}).group_by(["text", "code"]).aggregate([([], "count_all")]).sort_by("text")
-            per_text = np.bincount(pairs.column("text").to_numpy(), minlength=len(sizes))
+            return (
+                pa.concat_arrays([keeps, keeps.slice(0, 0)]), _with_ends(vocabulary.inputs(number), sizes), sizes + 1,
+                total(count[number] > 0).astype(np.int64) + int(count[0] > 0), total(base[number]) + base[0], total(within[number]),
+                np.bincount(pairs.column("text").to_numpy(), minlength=len(sizes)), pairs.column("code").to_numpy(), pairs.column("count_all").to_numpy().astype(np.int32),
+            )
+
+        def scored(held: list) -> pa.RecordBatch:
+            nonlocal rows
+            kept = pa.concat_arrays([x[0] for x in held])
+            sizes, known, based, shares, per_text, far, times = (np.concatenate([x[i] for x in held]) for i in range(2, 9))
+            numbers = np.concatenate([x[1] for x in held])
+            held.clear()
+            log_p = score_texts(model, vocabulary, numbers, sizes)
             out = pa.record_batch([
-                kept, pa.array((part << 33) + rows + np.arange(len(sizes))), pa.array(sizes + 1),
-                pa.array(total(count[number] > 0).astype(np.int64) + int(count[0] > 0)),
-                pa.array(total(base[number]) + base[0]), pa.array(log_p / np.log(10) + total(within[number])),
-                list_array(pairs.column("code").to_numpy(), per_text), list_array(pairs.column("count_all").to_numpy().astype(np.int32), per_text),
+                kept, pa.array((part << 33) + rows + np.arange(len(sizes))), pa.array(sizes), pa.array(known), pa.array(based),
+                pa.array(log_p / np.log(10) + shares), list_array(far, per_text), list_array(times, per_text),
             ], names=[keep] + [c.split()[0] for c in _SCORED.split(", ")])
             rows += len(sizes)
             return out
@@ -466,12 +486,12 @@ def _scorer(vocabulary: Vocabulary, weights: bytes, like: Weights, keep: str):
             begun = 0
             column, keeps = batch.column("text"), batch.column(keep)
             for a, code, number, sizes in _numbered(vocabulary, column):
-                held.append((keeps.slice(a, len(sizes)), number, code, sizes))
+                held.append(totalled(keeps.slice(a, len(sizes)), code, number, sizes))
                 size += 6 * len(code)
                 begun = a + len(sizes)
                 if size >= SCORE_BYTES:
                     yield scored(held)
-                    held, size = [], 0
+                    size = 0
             assert begun == len(column)
         if held:
             yield scored(held)
@@ -496,6 +516,11 @@ def score_documents(
     replaced, others stay.  With nothing to learn from, every word is unknown; an empty
     table gives no rows.
     """
+    with small_batches(docs.sparkSession):
+        return _score_documents(docs, learn, text_col, share, rounds, hidden)
+
+
+def _score_documents(docs: DataFrame, learn: Column, text_col: str, share: float, rounds: int, hidden: int) -> DataFrame:
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     learns = F.coalesce(learn, F.lit(False))
     words, seed = count_words(docs.select(F.lit(PART).alias("part"), F.col(text_col).alias("text"), learns.cast("int").alias("counted")))

@@ -49,7 +49,7 @@ def coded_words(
     low[breaks[data]] = 10
     starts, ends, first = words(low, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    cuts = np.concatenate(([0], np.cumsum(breaks[data])))
+    cuts = np.concatenate(([0], np.cumsum(breaks[data]))) if breaks.any() else np.zeros(len(data) + 1, np.int64)
     spread = np.random.default_rng(seed).permutation(256).astype(np.uint8) if seed else np.arange(256, dtype=np.uint8)
     code = mix(SpanHash(spread[low])(starts, ends) ^ parts[doc])
     code[code == 0] = 1

@@ -332,3 +332,27 @@ def test_recurrent_model_trains_on_every_stream(spark, monkeypatch):
     recurrent_lm.score_documents(docs, F.lit(True)).count()
     streams = next(t for name, t in kept if name == "streams")
     assert sum(len(r["numbers"]) // 4 for r in streams.collect()) == 400 * 5
+
+
+def test_scoring_holds_few_bytes_a_word(monkeypatch):
+    """Until texts are scored together, a known word takes a few bytes, and nothing as wide as all words meets at the end."""
+    import tracemalloc
+    from dataclasses import replace
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(recurrent_lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    text = " ".join(f"number{i % 60:06}" for i in range(1000))
+    code = next(recurrent_lm._numbered(small_vocabulary(60), pa.array([text])))[1]
+    v = replace(small_vocabulary(60), codes=np.unique(code))
+    w = recurrent_lm.first_weights(v, 4)
+    batch = pa.record_batch({"kept": pa.array(range(100)), "text": pa.array([text] * 100)})
+    run = recurrent_lm._scorer(v, recurrent_lm.pack(w), w, "kept")
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch] * 24)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2400 and most < 40 * 2.4e6
