@@ -522,3 +522,39 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
             assert np.frombuffer(coded, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
         most = max(most, encoder.size)
     assert encoder.older and most < 20_000 + 4 * 60 * 2 * (tokens.ENTRY_BYTES + 40)
+
+
+def test_an_encoder_serves_all_tasks_of_a_worker(monkeypatch):
+    """Each task gets a copy of its function; the tokenizer and the memory of pieces stay."""
+    import pyarrow as pa
+    import public_tokenizers
+    from pyspark import cloudpickle
+
+    made, begin = [], tokens.Encoder.__init__
+    monkeypatch.setattr(tokens.Encoder, "__init__", lambda self, path: (made.append(path), begin(self, path))[1])
+    tokens._ENCODERS.clear()
+    sent = cloudpickle.dumps(tokens._write_shards(public_tokenizers.path("byte_bpe_50k.json"), 0))
+    batch = pa.record_batch({"doc_id": pa.array([1, 2]), "text": pa.array(["one text", None]), "part": pa.array([0, 0], pa.int32())})
+    for _ in range(3):
+        assert sum(b.num_rows for b in cloudpickle.loads(sent)(iter([batch]))) == 1
+    assert len(made) == 1
+
+
+def test_ids_of_long_texts_and_of_pieces_that_share_a_hash(monkeypatch):
+    """Texts cut for their length, texts with special tokens, and hashes that say nothing change no id."""
+    import public_tokenizers
+
+    rnd = random.Random(8)
+    alphabet = "streéd'  \n\t 漢7½.,!🙂lm"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.choice((0, 3, 30, 400)))) for _ in range(60)]
+    texts += ["it's <|endoftext|> and 'll 'rest", "<|endof", "text|>", " ", "'"]
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = tokens.SpanHash
+    for limit, few in ((1 << 20, False), (64, False), (1 << 20, True)):
+        encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+        monkeypatch.setattr(tokens, "ENCODE_BYTES", limit)
+        if few:
+            monkeypatch.setattr(tokens, "SpanHash", lambda data: lambda a, b: plain(data)(a, b) % np.uint64(97))
+        for _ in range(2):
+            assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
