@@ -181,6 +181,8 @@ def _regions(index: PassageIndex, data: np.ndarray, offsets: np.ndarray) -> tupl
     left, right = np.searchsorted(at, at - span), np.searchsorted(at, at + span, side="right")
     lonely = right - left < index.need.min()
     at, slot, doc = at[~lonely], slot[~lonely], doc[~lonely]
+    if not len(at):
+        return none
     keep = _promising(index, at - offsets[doc], slot, doc)
     at, slot, doc = at[keep], slot[keep], doc[keep]
     found = [_enough(index, *hits) for hits in _occurrences(index, at - offsets[doc], slot, doc)]

@@ -104,3 +104,12 @@ def test_common_grams_of_a_benchmark_take_bounded_memory():
     tracemalloc.stop()
     assert 7 in [h[0] for h in found[-1]]
     assert peak < 64 << 20
+
+
+def test_a_lonely_gram_of_an_item_leaves_a_document_alone(spark):
+    """All that is searched at once shares eight bytes with an item, too few for any passage."""
+    item = "".join(map(chr, np.random.default_rng(6).integers(97, 123, 200)))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, "ZZ" + item[50:58] + "ZZ"), (2, item[50:58] + " and " + item[90:98]), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == {1, 2, 3}
