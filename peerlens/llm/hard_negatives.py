@@ -10,7 +10,9 @@ block's rows from both sides.  A block is read for an anchor only if these bound
 of its rows into what the anchor looks for: among the nearest rows of its own label, or
 among the first negatives of one of its score windows.  What an anchor's own block gives
 is known first and sets the marks that other blocks have to reach.  Anchors travel in
-tiles of neighbours on the curve; a block's share of the work is a matrix product.
+tiles of neighbours on the curve; a block's share of the work is a matrix product.  What
+is chosen is a bit for each anchor: a crowd of tiles meets a run of blocks in one task,
+so vectors are sent once for each such meeting and not once for each pair.
 
 The queries are a stated set (the anchors) against all rows, in blocks: where the zones
 exclude nothing, as with vectors without clusters in many dimensions, every anchor meets
@@ -39,8 +41,10 @@ PAGE_BLOCKS = 512
 HILBERT_BITS = 6
 #: Bytes of vectors in one part of the written blocks.
 PART_BYTES = 32 << 20
-#: Tiles whose best rows a task holds before it hands them on.
-HELD_TILES = 32
+#: Bytes of vectors of a run of blocks and of a crowd of tiles, which meet in one task.
+RUN_BYTES, CROWD_BYTES = 16 << 20, 4 << 20
+#: Found rows that a tile may hold beyond twice those it keeps.
+HELD_ROWS = 1 << 12
 #: At most so many parts are named when parts that nobody needs are left unread.
 NAMED_PARTS = 5000
 
@@ -82,6 +86,8 @@ def inner_bounds(anchors: np.ndarray, low: np.ndarray, high: np.ndarray) -> tupl
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of the rows of two matrices of whole numbers."""
     size = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    if size < 2**24:  # every sum is exact in a float
+        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if size < 2**52:  # every sum is exact in a double
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
@@ -219,7 +225,7 @@ def _anchors(dims: int, positives: int):
 
 
 def _packed(key: str, windows: int):
-    """The anchors of a tile or a block, each once with all its windows, as one row."""
+    """The anchors of a tile (or of a block, which is then their tile), each once with all its windows, as one row."""
 
     def run(table: pa.Table) -> pa.Table:
         seen: dict[tuple[int, int], int] = {}
@@ -234,10 +240,7 @@ def _packed(key: str, windows: int):
         values = [np.array(ids, np.int64).tobytes(), np.array(labels, np.int64).tobytes(), b"".join(vectors)]
         values += [np.array(x, np.int64).tobytes() for x in (marks, tops)]
         columns = [table.column(key).slice(0, 1)] + [pa.array([v], pa.binary()) for v in values]
-        names = [key] + [c.split()[0] for c in _TILE.split(", ")][1:]
-        if key == "block":
-            columns, names = [table.column("part").slice(0, 1), *columns, table.column("tile").slice(0, 1)], ["part", *names, "tile"]
-        return pa.table(columns, names=names)
+        return pa.table(columns, names=[c.split()[0] for c in _TILE.split(", ")])
 
     return run
 
@@ -267,11 +270,11 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield page()
 
 
-_TASK = "part int, block long, tile long, ids binary, labels binary, vectors binary, marks binary, tops binary"
+_TASK = "part int, block long, tile long, who binary"
 
 
 def _choose(dims: int, same_label: bool):
-    """For each tile and page: the blocks to read, each with the anchors that need it.
+    """For each tile and page: the blocks to read, each with a bit for every anchor: whether it needs the block.
 
     An anchor needs a block if a row there may score from its mark up to its top; the
     marks and tops of an anchor are one for its positives, one for each window for its
@@ -293,16 +296,10 @@ def _choose(dims: int, same_label: bool):
                 else:
                     need &= (labels[:, None] != first) | (first != last)
                 some = np.flatnonzero(need.any(0))
-                out: dict[str, list] = {c.split()[0]: [] for c in _TASK.split(", ")}
-                for b in some:
-                    who = need[:, b]
-                    for c, v in (("part", int(parts[b])), ("block", int(blocks[b])), ("tile", row["tile"]), ("ids", ids[who].tobytes()),
-                                 ("labels", labels[who].tobytes()), ("vectors", vectors[who].astype(np.int32).tobytes()),
-                                 ("marks", marks[who].tobytes()), ("tops", tops[who].tobytes())):
-                        out[c].append(v)
                 if len(some):
-                    kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 5
-                    yield pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+                    who = np.packbits(need[:, some], axis=0).T
+                    columns = [pa.array(parts[some].astype(np.int32)), pa.array(blocks[some]), pa.array(np.full(len(some), row["tile"]))]
+                    yield pa.record_batch([*columns, pa.array([w.tobytes() for w in who], pa.binary())], names=[c.split()[0] for c in _TASK.split(", ")])
 
     return run
 
@@ -311,55 +308,55 @@ _FOUND = "anchor_id long, anchor_row long, win int, id long, score long"
 
 
 def _score(dims: int, keep: int, same_label: bool):
-    """The first ``keep`` rows of each anchor and window among the blocks of a task.
+    """The first ``keep`` rows of each anchor and window of a crowd of tiles among a run of blocks.
 
     An anchor is named by its id and a hash of its label and vector, as rows may share an id.
     """
 
-    def best(rows: np.ndarray) -> np.ndarray:
-        """Rows (anchor, hash, window, id, score): the first of each anchor and window, by score, then id."""
-        rows = rows[np.lexsort((rows[:, 3], -rows[:, 4], rows[:, 2], rows[:, 1], rows[:, 0]))]
-        edge = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(1))))
+    def best(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (anchor, window, id, score): the first of each anchor and window, by score, then id; which are the last that fit."""
+        rows = rows[np.lexsort((rows[:, 2], -rows[:, 3], rows[:, 1], rows[:, 0]))]
+        edge = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
         place = np.arange(len(rows)) - np.repeat(edge, np.diff(np.append(edge, len(rows))))
-        return rows[place < keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        names = [c.split()[0] for c in _FOUND.split(", ")]
-
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(rows[:, i].copy()) for i in range(5)]
-            columns[2] = columns[2].cast(pa.int32())
-            return pa.record_batch(columns, names=names)
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, labels, vectors = (f(row[c]) for c, f in (("ids", _longs), ("labels", _longs), ("vectors", lambda v: _unpack(v, dims))))
-                marks, tops = (_longs(row[c]).reshape(len(ids), -1) for c in ("marks", "tops"))
-                there, there_labels = _longs(row["there_ids"]), _longs(row["there_labels"])
-                scores = product(vectors, _unpack(row["there_vectors"], dims))
-                fits = labels[:, None] == there_labels
-                fits = fits & (ids[:, None] != there) if same_label else ~fits
-                scores[~fits] = _NEVER
-                # The block is in order of the ids, so a stable sort breaks ties by them.
-                order = np.argsort(-np.maximum(scores, _NEVER + 1), axis=1, kind="stable")
-                ranked = np.take_along_axis(scores, order, 1)
-                who = np.array([row_hash(int(a), v) for a, v in zip(labels, vectors)], np.int64)
-                parts = []
-                for w in range(marks.shape[1]):
-                    skip = (ranked > tops[:, w : w + 1]).sum(1)
-                    for k in range(keep):
-                        at = np.minimum(skip + k, ranked.shape[1] - 1)
-                        value = ranked[np.arange(len(ids)), at]
-                        ok = np.flatnonzero((skip + k < ranked.shape[1]) & (value != _NEVER) & (value >= marks[:, w]))
-                        parts.append(np.stack([ids[ok], who[ok], np.full(len(ok), w), there[order[ok, at[ok]]], value[ok]], axis=1))
-                held.setdefault(row["tile"], []).append(np.concatenate(parts))
-                if len(held[row["tile"]]) >= 16:
-                    held[row["tile"]] = [best(np.concatenate(held[row["tile"]]))]
-                if len(held) > HELD_TILES:
-                    yield out(best(np.concatenate(held.pop(next(iter(held))))))
-        for rows in held.values():
-            yield out(best(np.concatenate(rows)))
+        return rows[place < keep], (place == keep - 1)[place < keep]
+
+    def tile_rows(row: dict, there: dict[int, tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+        ids, labels, vectors = _longs(row["ids"]), _longs(row["labels"]), _unpack(row["vectors"], dims)
+        marks, tops = (_longs(row[c]).reshape(len(ids), -1).copy() for c in ("marks", "tops"))
+        held, kept, n_held = [np.zeros((0, 4), np.int64)], 0, 0
+        for ask in row["asks"]:
+            block_ids, block_labels, block_vectors = there[ask["block"]]
+            some = np.flatnonzero(np.unpackbits(np.frombuffer(ask["who"], np.uint8), count=len(ids)))
+            scores = product(vectors[some], block_vectors)
+            open_ = marks[some] <= tops[some]
+            low = np.where(open_, marks[some], np.iinfo(np.int64).max).min(1)
+            high = np.where(open_, tops[some], _NEVER).max(1)
+            same = labels[some][:, None] == block_labels
+            i, j = np.nonzero((scores >= low[:, None]) & (scores <= high[:, None]) & (same if same_label else ~same))
+            if same_label:
+                other = ids[some[i]] != block_ids[j]
+                i, j = i[other], j[other]
+            anchor, value = some[i], scores[i, j]
+            for w in range(marks.shape[1]):
+                ok = np.flatnonzero((value >= marks[anchor, w]) & (value <= tops[anchor, w]))
+                held.append(np.stack([anchor[ok], np.full(len(ok), w), block_ids[j[ok]], value[ok]], axis=1))
+                n_held += len(ok)
+            if n_held > 2 * kept + HELD_ROWS:
+                rows, last = best(np.concatenate(held))
+                marks[rows[last, 0], rows[last, 1]] = rows[last, 3]  # a later row must reach the last one kept
+                held, kept, n_held = [rows], len(rows), len(rows)
+        rows, _ = best(np.concatenate(held))
+        named = np.unique(rows[:, 0])
+        who = np.zeros(len(ids), np.int64)
+        who[named] = [row_hash(int(labels[i]), vectors[i]) for i in named]
+        return [ids[rows[:, 0]], who[rows[:, 0]], rows[:, 1], rows[:, 2], rows[:, 3]]
+
+    def run(tiles: pa.Table, blocks: pa.Table) -> pa.Table:
+        there = {r["block"]: (_longs(r["ids"]), _longs(r["labels"]), _unpack(r["vectors"], dims)) for r in blocks.to_pylist()} if tiles.num_rows else {}
+        found = [tile_rows(row.as_py(), there) for batch in tiles.to_batches() for row in batch.to_struct_array()]
+        columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(5)]
+        columns[2] = columns[2].astype(np.int32)
+        return pa.table([pa.array(c) for c in columns], names=[c.split()[0] for c in _FOUND.split(", ")])
 
     return run
 
@@ -371,14 +368,37 @@ def row_hash(label: int, vector: np.ndarray) -> int:
     return (zlib.crc32(data, label & 0xFFFFFFFF) << 31) ^ zlib.adler32(data[::-1], 1)
 
 
-def _read_for(tasks: DataFrame, blocks: DataFrame, dims: int, keep: int, same_label: bool) -> DataFrame:
-    """Rank rows in the chosen blocks: anchor_id, anchor_row, win, id, score, place."""
+def _runs(blocks: DataFrame, dims: int, n_rows: int) -> Column:
+    """The run of a row's part and block: blocks one after the other of about RUN_BYTES, whatever the size of the parts."""
+    n_parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
+    n_runs, in_part = max(1, -(-n_rows * dims * 4 // RUN_BYTES)), max(1, -(-n_rows // (n_parts * BLOCK_ROWS)))
+    # Blocks of a part are numbered from 1.
+    at = F.least(F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) - 1, F.lit(in_part - 1))
+    return F.call_function("div", (F.col("part").cast("long") * in_part + at) * n_runs, F.lit(n_parts * in_part)).cast("int").alias("run")
+
+
+def _read_for(tasks: DataFrame, tiles: DataFrame, blocks: DataFrame, run: Column, dims: int, keep: int, same_label: bool) -> DataFrame:
+    """Rank rows in the chosen blocks: anchor_id, anchor_row, win, id, score, place.
+
+    Bits and vectors are not broadcast: what repeats is written in a few bytes, by which
+    Spark would take it to be small.
+    """
     tasks = write_scratch(tasks, "chosen")
     parts = [r[0] for r in tasks.select("part").distinct().limit(NAMED_PARTS + 1).collect()]
     if len(parts) <= NAMED_PARTS:  # folders of parts that nobody needs are not listed for reading
         blocks = blocks.where(F.col("part").isin(parts)) if parts else blocks.where("false")
-    there = blocks.select("block", F.col("ids").alias("there_ids"), F.col("labels").alias("there_labels"), F.col("vectors").alias("there_vectors"))
-    found = tasks.drop("part").join(there, "block").drop("block").mapInArrow(_score(dims, keep, same_label), _FOUND)
+    # Tiles go in crowds by their order, as neighbours need the same blocks.
+    size = max(1, CROWD_BYTES // (TILE_ANCHORS * dims * 4))
+    crowds = tiles.select("tile", F.floor((F.row_number().over(Window.orderBy("tile")) - 1) / size).cast("int").alias("crowd"))
+    asks = tasks.join(crowds.hint("merge"), "tile").groupBy(run, "crowd", "tile").agg(
+        F.sort_array(F.collect_list(F.struct("block", "who"))).alias("asks"))
+    asks = write_scratch(asks, "asks")
+    crowd = asks.join(tiles.hint("merge"), "tile").drop("tile")
+    # Some numbers a row, so it may be broadcast, which spares the blocks a move.
+    wanted = write_scratch(asks.select("run", "crowd", F.explode("asks.block").alias("block")).distinct(), "wanted")
+    there = blocks.select("block", "ids", "labels", "vectors").join(wanted, "block")
+    key = "run", "crowd"
+    found = crowd.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(_score(dims, keep, same_label), _FOUND)
     order = Window.partitionBy("anchor_id", "anchor_row", "win").orderBy(F.col("score").desc(), "id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
 
@@ -416,17 +436,21 @@ def hard_negatives(
     # One number pair for each dimension reaches the driver.
     seen = {r["d"]: (float(r["a"]), float(r["b"])) for r in whole.select(F.posexplode("q").alias("d", "x")).groupBy("d").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect()}
     blocks, _ = write_blocks(whole, dims, [seen[d] for d in range(dims)], size.n)
+    run = _runs(blocks, dims, size.n)
     pages = write_scratch(blocks.select("part", "block", "low", "high", "first_label", "last_label").mapInArrow(_pages, _PAGE), "pages")
     numbered = write_scratch(pages.withColumn("at", F.row_number().over(Window.orderBy("page")) - 1), "pages")
     n_pages = numbered.count()
     anchors = write_scratch(blocks.select("part", "block", "ids", "labels", "anchors", "vectors").mapInArrow(_anchors(dims, positives), _ANCHOR), "anchors")
 
-    def choose(of: DataFrame, windows: int, same_label: bool) -> DataFrame:
-        tiles = of.groupBy("tile").applyInArrow(_packed("tile", windows), _TILE)
+    def packed(of: DataFrame, key: str, windows: int) -> DataFrame:
+        return write_scratch(of.groupBy(key).applyInArrow(_packed(key, windows), _TILE), "tiles")
+
+    def choose(tiles: DataFrame, same_label: bool) -> DataFrame:
         dealt = tiles.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1))))
-        return dealt.join(numbered, "at").drop("at", "page").mapInArrow(_choose(dims, same_label), _TASK)
+        return dealt.join(numbered.hint("merge"), "at").drop("at", "page").mapInArrow(_choose(dims, same_label), _TASK)
 
-    best = write_scratch(_read_for(choose(anchors, 1, True), blocks, dims, positives, True), "positives")
+    tiles = packed(anchors, "tile", 1)
+    best = write_scratch(_read_for(choose(tiles, True), tiles, blocks, run, dims, positives, True), "positives")
     percent = lambda pct: F.lit(pct) * F.col("score")
     wanted = write_scratch(
         anchors.drop("win", "mark", "top").join(best, ["anchor_id", "anchor_row"]).where("score >= 0").select(
@@ -436,11 +460,13 @@ def hard_negatives(
         "windows",
     )
     # What the own block holds of each window first: the last of that is the mark for other blocks.
-    own = wanted.groupBy("block").applyInArrow(_packed("block", positives), f"part int, block long, {_TILE.split(', ', 1)[1]}, tile long")
-    near = _read_for(own.select(*[c.split()[0] for c in _TASK.split(", ")]), blocks, dims, negatives, False)
+    own = packed(wanted, "block", positives)
+    every = own.select((F.shiftright("tile", 32)).cast("int").alias("part"), F.col("tile").alias("block"), "tile", F.unhex(F.repeat(F.lit("FF"), F.ceil(F.octet_length("ids") / 64).cast("int"))).alias("who"))
+    near = write_scratch(_read_for(every, own, blocks, run, dims, negatives, False), "near")
     known = near.where(F.col("place") == negatives).select("anchor_id", "anchor_row", "win", F.col("score").alias("known"))
     raised = wanted.join(known, ["anchor_id", "anchor_row", "win"], "left").withColumn("mark", F.greatest("mark", "known")).drop("known")
-    found = _read_for(choose(raised, positives, False), blocks, dims, negatives, False)
+    tiles = packed(raised, "tile", positives)
+    found = _read_for(choose(tiles, False), tiles, blocks, run, dims, negatives, False)
     positive = best.select("anchor_id", "anchor_row", (F.col("place") - 1).alias("win"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     return found.join(positive, ["anchor_id", "anchor_row", "win"]).select(
         "anchor_id", "positive_id", F.col("place").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score",

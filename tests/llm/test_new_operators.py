@@ -169,6 +169,29 @@ def test_zones_leave_blocks_unread(spark, monkeypatch):
     assert chosen[-1] < pairs / 2
 
 
+def test_vectors_are_not_sent_for_each_pair(spark, monkeypatch):
+    """What is chosen is some bits for each tile and block, however many blocks an anchor meets; no side with vectors is broadcast."""
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(hard_negatives, "RUN_BYTES", 16 * 16 * 4 * 3, raising=False)
+    monkeypatch.setattr(hard_negatives, "CROWD_BYTES", 1, raising=False)
+    chosen, plans = [], []
+    plain = hard_negatives._read_for
+
+    def read_for(tasks, *rest):
+        rows = tasks.collect()
+        chosen.append((len(rows), sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray)))))
+        out = plain(tasks, *rest)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(hard_negatives, "_read_for", read_for)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16)], int(rng.integers(3)), 0, 0, 0) for i in range(400)]
+    assert mined(spark.createDataFrame(rows, EMBEDDINGS)) == brute_negatives([r[:3] for r in rows])
+    assert chosen and all(n and size <= 32 * n for n, size in chosen)  # an anchor has a bit, of 64 bytes of vector each
+    assert all("strategy=merge" in p for p in plans)
+
+
 def test_hard_negatives_of_empty_and_one_sided_tables(spark):
     assert mined(spark.createDataFrame([], EMBEDDINGS)) == []
     assert mined(spark.createDataFrame([(0, [1.0], 1, 0, 0, 0), (7, [1.0], 1, 0, 0, 0)], EMBEDDINGS)) == []
