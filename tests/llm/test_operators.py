@@ -462,6 +462,19 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_parts_without_a_near_passage_have_no_hits(monkeypatch):
+    """Texts are searched some at a time; in some of these parts hits are too few for a passage."""
+    rnd = random.Random(35)
+    item = words(60, rnd, "abcdefghij")
+    index = decontamination.PassageIndex.build([(7, item)])
+    texts = [item[40:48], "", words(9, rnd, "vwxyz"), "v " + item + " w", item[:8] + " v", item[100:200]]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    for size in (1, 30, 1 << 18):
+        monkeypatch.setattr(decontamination, "_TEXT_BYTES", size)
+        assert [[h[0] for h in hits] for hits in decontamination.find_passages(index, data, offsets)] == [[], [], [], [7], [], [7]]
+
+
 def test_quotes_of_the_stated_length_are_found_at_every_offset():
     rnd = random.Random(31)
     item = words(90, rnd).encode()[:300].decode(errors="ignore")
