@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -166,6 +167,22 @@ def test_passages_whose_seeds_all_begin_elsewhere_are_found(spark):
         assert r.start <= 33 and r.end >= 103 and r.similarity >= 0.9
 
 
+def test_steps_of_passages_leave_no_shuffle_files(spark, docs, monkeypatch):
+    """Shuffle files go with the step that needed them, and chains are aligned some at a time with the same result."""
+    some = docs.where("doc_id % 3 = 0")
+    want = Counter(fuzzy_passages.find_fuzzy_passages(some).collect())
+    live = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(3)
+    before = live()
+    monkeypatch.setattr(fuzzy_passages, "SENT_BLOCKS", 300, raising=False)
+    monkeypatch.setattr(fuzzy_passages, "SENT_TIMES", 0, raising=False)
+    found = fuzzy_passages.find_fuzzy_passages(some)
+    time.sleep(3)  # files go in the background
+    assert live() - before <= 2
+    assert Counter(found.collect()) == want and want
+
+
 def test_first_texts_of_seeds_across_batches():
     """Batches may cut a seed's texts anywhere, and a seed may fill several of them."""
     rnd = random.Random(8)
